@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tripwright.llm import bpe, pii, simhash
+from tripwright.llm import bpe, langid, packing, pii, preference, quality, sharding, simhash, topk, vecdedup
 from tripwright.llm.common import table
 
 
@@ -23,10 +23,37 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.links(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_preferences(table(spark, sf_dir, "conversations"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_byte_bpe": op1_byte_bpe,
-    "op2_pii": op2_pii,
-    "op3_simhash": op3_simhash,
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_pii, op3_simhash, op4_quality, op5_language, op6_topk, op7_sharding, op8_vector_dedup, op9_preference, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
