@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled:
     got = got.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     if got.empty:
         return Model(None, None, 1.0)
-    return co_train(np.stack(got["t"].to_numpy()).astype(float), np.stack(got["m"].to_numpy()).astype(float), got["y"].to_numpy(int))
+    return co_train(np.stack(got["t"].to_numpy()), np.stack(got["m"].to_numpy()), got["y"].to_numpy(int))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
