@@ -242,4 +242,6 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             yield pd.concat([frame["doc_id"].reset_index(drop=True), out], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # As text, so that pandas does not turn ids beside a null into floats.
+    out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -98,7 +98,9 @@ def train(docs: DataFrame, sample: int = 2000) -> Model:
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame[[has_letter(x) for x in frame["text"]]]
+            frame = frame[np.array([has_letter(x) for x in frame["text"]], bool)]
+            if frame.empty:
+                continue
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "x": [features(x).astype("f4") for x in frame["text"]]})
 
     got = picked.mapInPandas(vectors, "doc_id long, lang string, x array<float>").toPandas().sort_values(["doc_id", "lang"])
@@ -112,14 +114,14 @@ def train(docs: DataFrame, sample: int = 2000) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``_lid`` (lang_pred, score, is_ambiguous), from the text alone."""
+    """Add ``__tw_language`` (lang_pred, score, is_ambiguous), from the text alone."""
 
     @F.pandas_udf("lang_pred string, score double, is_ambiguous boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield model.predict(batch.reset_index(drop=True))
 
-    return docs.withColumn("_lid", run(F.col(text)))
+    return docs.withColumn("__tw_language", run(F.col(text)))
 
 
 def identify(docs: DataFrame, sample: int = 2000) -> DataFrame:
@@ -129,4 +131,4 @@ def identify(docs: DataFrame, sample: int = 2000) -> DataFrame:
     document all are.  A null doc_id is not held out and not learned from.
     """
     model = train(docs.where("doc_id IS NOT NULL"), sample)
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", _held_out("doc_id").alias("held_out"), "_lid.lang_pred", "_lid.score", "_lid.is_ambiguous")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", _held_out("doc_id").alias("held_out"), "__tw_language.lang_pred", "__tw_language.score", "__tw_language.is_ambiguous")

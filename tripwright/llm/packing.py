@@ -49,11 +49,11 @@ def tokenized(docs: DataFrame, ranks_path: str, limit: int, end: int, special: d
                 for k, (start, length) in enumerate(cut(len(tokens), limit)):
                     part = tokens[start : start + length]
                     rows.append((doc, k, start, length, zlib.crc32(part.tobytes())) + ((part.astype("i4"),) if ids else ()))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids)
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    # As text, so that pandas does not turn ids beside a null into floats.
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:

@@ -29,6 +29,8 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z0-9._@+-]{0,64}[0-9@])[A-Za-z0-9+][A-Za-z0-9._@+-]{4,62}[A-Za-z0-9](?![A-Za-z0-9._@+-])"
 #: The word before a span, with the marks between them.
 _BEFORE = r"(\p{L}[\p{L}\p{M}'_-]{0,31})([^\p{L}\p{N}]{1,8})$"
+#: Columns that a scan adds; the prefix keeps them apart from a table's own.
+BASE, CANDIDATES = "__tw_base", "__tw_candidates"
 _SPAN = "array<struct<start:int,end:int,rank:int,value:string,before:string>>"
 
 
@@ -55,16 +57,16 @@ _PASSES = (
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``base`` and ``candidates``, arrays of spans, to each row.  A null text has none."""
-    kept = [c for c in docs.columns if c not in ("base", "candidates")]
-    out = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    out = out.select(*kept, "_t", F.expr("contains(_t, '@')").alias("_at"), F.expr("_t RLIKE '[0-9]'").alias("_digit"))
-    gates = ("_at", "_digit AND contains(_t, '.')", "_digit", "_digit AND contains(_t, '+')")
-    found = [_located("_t", p, k, gate).alias(f"_s{k}") for k, (p, gate) in enumerate(zip((_EMAIL, _IP, _CARD, _PHONE), gates))]
-    out = out.select(*kept, *found, _located("_t", _TOKEN, 9, "_digit OR _at").alias("_c"))
-    passed = ", ".join(f"filter(_s{k}, x -> {test})" for k, test in enumerate(_PASSES))
-    out = out.select(*kept, F.expr(f"array_sort(concat({passed}), (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE a.rank - b.rank END)").alias("base"), "_c")
-    return out.withColumn("candidates", F.expr("CASE WHEN size(_c) = 0 THEN _c ELSE filter(_c, c -> NOT exists(base, b -> b.start < c.end AND c.start < b.end)) END")).drop("_c")
+    """Add BASE and CANDIDATES, arrays of spans, to each row.  A null text has none."""
+    kept = [f"`{c}`" for c in docs.columns]
+    out = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__tw_t"))
+    out = out.select(*kept, "__tw_t", F.expr("contains(__tw_t, '@')").alias("__tw_at"), F.expr("__tw_t RLIKE '[0-9]'").alias("__tw_digit"))
+    gates = ("__tw_at", "__tw_digit AND contains(__tw_t, '.')", "__tw_digit", "__tw_digit AND contains(__tw_t, '+')")
+    found = [_located("__tw_t", p, k, gate).alias(f"__tw_s{k}") for k, (p, gate) in enumerate(zip((_EMAIL, _IP, _CARD, _PHONE), gates))]
+    out = out.select(*kept, *found, _located("__tw_t", _TOKEN, 9, "__tw_digit OR __tw_at").alias("__tw_c"))
+    passed = ", ".join(f"filter(__tw_s{k}, x -> {test})" for k, test in enumerate(_PASSES))
+    out = out.select(*kept, F.expr(f"array_sort(concat({passed}), (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE a.rank - b.rank END)").alias(BASE), "__tw_c")
+    return out.withColumn(CANDIDATES, F.expr(f"CASE WHEN size(__tw_c) = 0 THEN __tw_c ELSE filter(__tw_c, c -> NOT exists({BASE}, b -> b.start < c.end AND c.start < b.end)) END")).drop("__tw_c")
 
 
 def _pattern(before: str) -> Column:
@@ -76,7 +78,7 @@ def _pattern(before: str) -> Column:
 
 def occurrences(scanned: DataFrame, key: str) -> DataFrame:
     """One row for each distinct (text, span) that stands behind a pattern: seeds have rank 0 to 3, candidates 9."""
-    spans = scanned.select(key, F.explode(F.concat("base", "candidates")).alias("s"))
+    spans = scanned.select(key, F.explode(F.concat(BASE, CANDIDATES)).alias("s"))
     return spans.select(key, "s.start", "s.end", "s.rank", "s.value", _pattern("s.before").alias("pattern")).where("pattern IS NOT NULL").distinct()
 
 
@@ -108,13 +110,13 @@ def bootstrap(found: DataFrame, rounds: int = 3, prior: float = 2.0, least_score
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    return docs.withColumn("__tw_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
 
 
 def _discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(_key, more)``: the spans that each text gains.  Texts are known by digest, so copies gain the same."""
-    hits = found.where("rank = 9").join(patterns, "pattern").select("_key", F.struct("start", "end", F.col("kind").alias("rank")).alias("s"))
-    return hits.groupBy("_key").agg(F.collect_set("s").alias("more"))
+    """``(__tw_key, more)``: the spans that each text gains.  Texts are known by digest, so copies gain the same."""
+    hits = found.where("rank = 9").join(patterns, "pattern").select("__tw_key", F.struct("start", "end", F.col("kind").alias("rank")).alias("s"))
+    return hits.groupBy("__tw_key").agg(F.collect_set("s").alias("more"))
 
 
 def _listed(spans: str) -> str:
@@ -129,10 +131,10 @@ def find(docs: DataFrame) -> DataFrame:
     and the digest are of the base spans, which may overlap across kinds; ``spans``
     also lists the discovered ones, ``n_found`` in number, which overlap no base span.
     """
-    scanned = materialize(scan(_keyed(docs.select("doc_id", "text"), "text").select("doc_id", "text", "_key")).drop("text"))
-    found = materialize(occurrences(scanned, "_key"))
+    scanned = materialize(scan(_keyed(docs.select("doc_id", "text"), "text").select("doc_id", "text", "__tw_key")).drop("text"))
+    found = materialize(occurrences(scanned, "__tw_key"))
     more = _discovered(found, bootstrap(found))
-    out = scanned.select("doc_id", "_key", F.expr("transform(base, x -> struct(x.start, x.end, x.rank))").alias("base")).join(more, "_key", "left")
+    out = scanned.select("doc_id", "__tw_key", F.expr(f"transform({BASE}, x -> struct(x.start, x.end, x.rank))").alias("base")).join(more, "__tw_key", "left")
     order = "(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE a.rank - b.rank END"
     counts = [F.expr(f"CAST(size(filter(base, x -> x.rank = {k})) AS BIGINT)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     every = f"array_sort(concat(base, coalesce(more, CAST(array() AS array<struct<start:int,end:int,rank:int>>))), {order})"
@@ -147,14 +149,14 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     columns = docs.columns
     scanned = scan(_keyed(docs, text), text)
-    found = materialize(occurrences(scanned, "_key"))
+    found = materialize(occurrences(scanned, "__tw_key"))
     more = _discovered(found, bootstrap(found))
     labels = "array(" + ", ".join(f"'{v}'" for v in LABELS.values()) + ")"
     order = "(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start WHEN a.end <> b.end THEN b.end - a.end ELSE a.rank - b.rank END"
-    out = scanned.withColumn("_base", F.expr("transform(base, x -> struct(x.start, x.end, x.rank))")).join(more, "_key", "left")
-    out = out.withColumn("_all", F.expr(f"array_sort(concat(_base, coalesce(more, CAST(array() AS array<struct<start:int,end:int,rank:int>>))), {order})"))
-    cleared = F.expr(f"""CASE WHEN size(_all) = 0 THEN `{text}` ELSE aggregate(_all, struct(0 AS at, CAST(array() AS array<string>) AS out),
+    out = scanned.join(more.withColumnRenamed("more", "__tw_more"), "__tw_key", "left")
+    out = out.withColumn("__tw_all", F.expr(f"array_sort(concat(transform({BASE}, x -> struct(x.start, x.end, x.rank)), coalesce(__tw_more, CAST(array() AS array<struct<start:int,end:int,rank:int>>))), {order})"))
+    cleared = F.expr(f"""CASE WHEN size(__tw_all) = 0 THEN `{text}` ELSE aggregate(__tw_all, struct(0 AS at, CAST(array() AS array<string>) AS out),
         (a, x) -> CASE WHEN x.end <= a.at THEN a
             ELSE struct(x.end AS at, concat(a.out, CASE WHEN x.start < a.at THEN CAST(array() AS array<string>) ELSE array(substring(`{text}`, a.at + 1, x.start - a.at), element_at({labels}, x.rank + 1)) END) AS out) END,
         a -> concat(array_join(a.out, ''), substring(`{text}`, a.at + 1))) END""")
-    return out.withColumn(text, cleared).select(*columns)
+    return out.withColumn(text, cleared).select(*[f"`{c}`" for c in columns])

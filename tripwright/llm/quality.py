@@ -110,6 +110,8 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4,
 
 def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
+        if frame.empty:
+            continue
         yield pd.DataFrame(
             {
                 "doc_id": frame["doc_id"],
@@ -139,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``_q`` (score, text_score, meta_score) to each row."""
+    """Add ``__tw_quality`` (score, text_score, meta_score) to each row."""
 
     @F.pandas_udf("score double, text_score double, meta_score double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -148,7 +150,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             m = np.stack([meta_view(*x) for x in zip(lang, source, chars)]) if len(text) else np.zeros((0, META_DIM))
             yield pd.DataFrame(dict(zip(("score", "text_score", "meta_score"), model.score(t, m))))
 
-    return docs.withColumn("_q", run("text", "lang", "source", "n_chars"))
+    return docs.withColumn("__tw_quality", run("text", "lang", "source", "n_chars"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = 3000, unlabelled: int = 3000) -> DataFrame:
@@ -159,4 +161,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelle
     """
     model = train(docs, labels, labelled, unlabelled)
     out = score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
-    return out.select("doc_id", "_q.score", "_q.text_score", "_q.meta_score", (F.col("_q.score") >= threshold).alias("kept"))
+    return out.select("doc_id", "__tw_quality.score", "__tw_quality.text_score", "__tw_quality.meta_score", (F.col("__tw_quality.score") >= threshold).alias("kept"))

@@ -2,9 +2,9 @@
 
 A partial partition is a vector of subset sizes.  The two with the largest spread
 are combined in opposite order, again and again, until one is left.  Groups are
-differenced in chunks, each into many more subsets than there are shards; the
-subsets and some single groups of all sizes, which leave the last step room to even
-out, are the items of the next level, until few enough are left for one last
+differenced in chunks.  Half of a chunk makes a few subsets, half of the rest as many
+smaller ones, and so on; the subsets and some single groups, of many sizes so that the
+last step can even out, are the items of the next level, until few enough are left for one last
 differencing into the shards.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tripwright.llm.common import gapless_index, materialize
 
-CHUNK, SUBSETS, SINGLES, LAST = 4096, 64, 64, 20_000
+CHUNK, BANDS, SUBSETS, SINGLES, LAST = 4096, 6, 12, 48, 20_000
 
 
 def difference(sizes: np.ndarray, parts: int) -> np.ndarray:
@@ -66,8 +66,12 @@ def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = frame["item"].iloc[0].hex() if len(frame) else ""
         names = np.empty(len(frame), object)
         names[single] = [f"{x.hex()}.s" for x in frame["item"][single]]
-        rest = frame["size"][~single].to_numpy(np.int64)
-        names[~single] = [f"{first}.{k}" for k in difference(rest, SUBSETS)]
+        rest = np.flatnonzero(~single)
+        turn = np.arange(1, len(rest) + 1)
+        band = np.minimum(np.bitwise_count((turn & -turn) - 1), BANDS - 1)  # how often 2 divides the turn: half of them never
+        for b in range(BANDS):
+            own = rest[band == b]
+            names[own] = [f"{first}.{b}.{k}" for k in difference(frame["size"].to_numpy(np.int64)[own], SUBSETS)]
         return pd.DataFrame({"item": frame["item"], "parent": [x.encode() for x in names], "size": frame["size"]})
 
     for frame in frames:

@@ -171,5 +171,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if nameless.isEmpty():
         return out
     lone = groups(docs).where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
-    marked = nameless.withColumn("_fp", F.lpad(F.lower(F.hex(_fingerprints("text"))), 16, "0"))
-    return out.unionByName(marked.join(lone, marked["_fp"] == lone["fingerprint"], "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
+    marked = nameless.withColumn("__tw_fp", F.lpad(F.lower(F.hex(_fingerprints("text"))), 16, "0"))
+    return out.unionByName(marked.join(lone, marked["__tw_fp"] == lone["fingerprint"], "left_semi").dropDuplicates(["__tw_fp"]).drop("__tw_fp"))

@@ -34,6 +34,8 @@ def _signatures(vectors: np.ndarray, passes: int) -> np.ndarray:
 def _prepared(passes: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            if frame.empty:
+                continue
             rows = []
             by_size: dict[int, list[int]] = {}
             vectors = [np.asarray(x, np.float64) for x in frame["embedding"]]
@@ -131,15 +133,15 @@ def links(vectors: DataFrame, least: float = 0.98, passes: int = PASSES, window:
 
     Vectors link at equal, non-null labels and a cosine of ``least`` or more.  Null,
     empty and zero vectors and those with null or non-finite components link with
-    nothing.  Several rows of one vec_id count as one, the smallest (label, vector);
+    nothing.  Several rows of one vec_id count as one, the smallest usable (label, vector);
     a null vec_id has no row.  Equal vectors of a label are one class and compared
     once.  A group's links are counted exactly; a pass can miss a pair only where the
     bits of all passes keep it apart, which is how recall can fall short of 1.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    one = vectors.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("s")).select("vec_id", "s.label", "s.embedding")
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    ready = one.where(usable).withColumn("label", F.col("label").cast("long")).mapInPandas(_prepared(passes), "vec_id long, label long, digest binary, v binary, signs array<long>")
+    one = vectors.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.when(usable, F.struct("label", "embedding"))).alias("s")).select("vec_id", "s.label", "s.embedding")
+    ready = one.where("embedding IS NOT NULL").withColumn("label", F.col("label").cast("long")).mapInPandas(_prepared(passes), "vec_id long, label long, digest binary, v binary, signs array<long>")
     ready = materialize(ready)
     classes = materialize(ready.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     reps = ready.join(classes.select(F.col("rep").alias("vec_id"), "rep", "copies"), "vec_id").select("rep", "copies", "label", "v", F.octet_length("v").alias("dim"), "signs")
@@ -156,5 +158,5 @@ def links(vectors: DataFrame, least: float = 0.98, passes: int = PASSES, window:
     known = classes.join(grouped.select("rep", "root"), "rep", "left").join(counted, "rep", "left")
     known = known.select("label", "digest", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     named = ready.select("vec_id", "label", "digest").join(known, ["label", "digest"]).select("vec_id", "n_links", "component_id")
-    alone = one.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = one.where("embedding IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
