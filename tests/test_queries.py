@@ -11,7 +11,7 @@ from tests.compare import difference
 from tripwright.functions import bands, codes, geo, temporal, text
 from tripwright.operators import association, contract, profile, recommend, split
 from tripwright.functions.keys import ITEM_TIE_KEY, USER_TIE_KEY
-from tripwright.plans.queries import ORACLE_SQL, QUERIES
+from tripwright.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -1 +1,6 @@
+"""Queries over the driver's tables, by topic, each registered with its oracle."""
 
+from tripwright.plans import queries
+from tripwright.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "queries"]

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwright.functions import bands, codes, geo, keys, temporal, text
 from tripwright.operators import association, contract, identity, profile, ranking, recommend, split
+from tripwright.plans.registry import query
 from tripwright.sources import mapping
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 SEED = "inner-v1"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with its oracle unless SQL cannot express it."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return contract.events(mapping.visits(spark, d), mapping.trips(spark, d))
 
@@ -356,14 +340,13 @@ def numeric_flags(spark: SparkSession, d: str) -> DataFrame:
     return profile.numeric(mapping.table(spark, d, "lineitem"), ["l_discount", "l_tax", "l_quantity"])
 
 
-@query("""WITH c AS (SELECT CAST(o_custkey % 97 * (o_custkey % 97) AS VARCHAR) AS label, count(*) AS n FROM orders WHERE o_orderkey % 37 = 0 GROUP BY ALL), h AS (SELECT coalesce(sum(n), 0) AS hidden FROM c WHERE n < 10),
+@query("""WITH c AS (SELECT CAST(orders AS VARCHAR) AS label, count(*) AS n FROM (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY ALL) GROUP BY ALL), h AS (SELECT coalesce(sum(n), 0) AS hidden FROM c WHERE n < 10),
   s AS (SELECT *, hidden > 0 AND hidden + coalesce(sum(n) OVER (ORDER BY n, label DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 10 AS merged FROM c, h WHERE n >= 10),
   t AS (SELECT (SELECT hidden FROM h) + coalesce(sum(n), 0) AS n FROM s WHERE merged)
   SELECT label, n FROM s WHERE NOT merged UNION ALL SELECT '<suppressed>', CAST(n AS BIGINT) FROM t WHERE n > 0""")
 def value_counts_suppressed(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("o_custkey") % 97
-    counts = mapping.table(spark, d, "orders").where("o_orderkey % 37 = 0").groupBy((m * m).cast("string").alias("label")).agg(F.count("*").alias("n"))
-    return profile.safe_counts(counts)
+    per = mapping.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").cast("string").alias("label"))
+    return profile.safe_counts(per.groupBy("label").agg(F.count("*").alias("n")))
 
 
 @query(f"""{M} SELECT 'kind' AS field, count(*) AS observed, 0::BIGINT AS blank, count_if(kind NOT IN {VALID}) AS outside, count(DISTINCT CASE WHEN kind NOT IN {VALID} THEN kind END) AS distinct_outside FROM visits
@@ -433,6 +416,14 @@ def nb_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 # Places
 
+
+def _titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct source titles (name and brand) and catalogue titles (name), with their bigrams."""
+    named = mapping.table(spark, d, "part")
+    grams = lambda c, key: named.select(c.alias(key)).distinct().withColumn("grams", text.bigrams(F.col(key)))
+    return grams(F.concat_ws(" ", "p_name", "p_brand"), "source_id"), grams(F.col("p_name"), "content_id")
+
+
 COORD = "33 + (p_partkey * 7919 % 6000) / 1000.0::DOUBLE AS lat, 124 + (p_partkey * 104729 % 8500) / 1000.0::DOUBLE AS lon"
 HAV = "6371000.0 * 2 * atan2(sqrt(h), sqrt(1 - h))"
 
@@ -491,19 +482,12 @@ def sgg_compat(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ok", codes.sgg_compatible(F.col("c"), F.col("r"), F.col("g")))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_name AS nm FROM part WHERE p_partkey <= 300), g AS (SELECT DISTINCT id, substr(nm, CAST(i AS INT), 2) AS g FROM p, range(1, 200) t(i) WHERE i < length(nm)),
-  s AS (SELECT a.id AS source_id, b.id AS content_id, count(*) AS shared FROM g a JOIN g b ON a.g = b.g WHERE a.id % 10 = 0 GROUP BY ALL)
+@query("""WITH p AS (SELECT DISTINCT p_name || ' ' || p_brand AS nm FROM part), c AS (SELECT DISTINCT p_name AS nm FROM part),
+  a AS (SELECT DISTINCT nm, substr(nm, CAST(i AS INT), 2) AS g FROM p, range(1, 200) t(i) WHERE i < length(nm)), b AS (SELECT DISTINCT nm, substr(nm, CAST(i AS INT), 2) AS g FROM c, range(1, 200) t(i) WHERE i < length(nm)),
+  s AS (SELECT a.nm AS source_id, b.nm AS content_id, count(*) AS shared FROM a JOIN b USING (g) GROUP BY ALL)
   SELECT source_id, content_id, shared, CAST(row_number() OVER (PARTITION BY source_id ORDER BY shared DESC, content_id) AS INT) AS rank FROM s QUALIFY rank <= 5""")
 def bigram_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    named = mapping.table(spark, d, "part").where("p_partkey <= 300").select(F.col("p_partkey").alias("id"), text.bigrams(F.col("p_name")).alias("grams"))
-    return identity.bigram_candidates(named.where("id % 10 = 0").withColumnRenamed("id", "source_id"), named.withColumnRenamed("id", "content_id"), 5)
-
-
-@query()
-def name_variants(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
-    folded = mapping.table(spark, d, "part").select(name.alias("name")).distinct().withColumn("folded", text.fold("name"))
-    return folded.select("name", text.without_punctuation(F.col("folded")).alias("plain"), F.array_join(text.name_variants(F.col("folded")), "|").alias("variants"))
+    return identity.bigram_candidates(*_titles(spark, d), 5)
 
 
 # Sampling, top-k, rich profiles
