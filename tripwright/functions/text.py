@@ -29,6 +29,17 @@ def fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """NFKC with white space collapsed and case kept."""
+    return texts.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()))
+
+
+def squeeze(c: Column | str) -> Column:
+    """Lower case without white space: a key for names that are in NFKC."""
+    return F.regexp_replace(F.lower(c), r"\s+", "")
+
+
 def ascii_fold(c: Column) -> Column:
     """``fold`` for text that is known to be ASCII, without leaving the JVM."""
     return F.btrim(F.regexp_replace(F.lower(c), r"\s+", " "))
@@ -47,10 +58,3 @@ def bigrams(c: Column) -> Column:
     """The set of two-character substrings."""
     places = F.when(F.length(c) >= 2, F.sequence(F.lit(1), F.length(c) - 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(places, lambda i: F.substr(c, i, F.lit(2))))
-
-
-def name_variants(c: Column) -> Column:
-    """A name, the name without its bracketed part, and the bracketed part; two characters or more."""
-    outer = F.btrim(F.regexp_replace(c, r"\s*\([^)]*\)\s*", " "))
-    inner = F.transform(F.regexp_extract_all(c, F.lit(r"\(([^)]*)\)"), F.lit(1)), F.btrim)
-    return F.array_sort(F.filter(F.array_distinct(F.concat(F.array(c, outer), inner)), lambda x: F.length(x) >= 2))

@@ -7,8 +7,12 @@ before it left open.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tripwright.functions.geo import haversine
 
@@ -57,3 +61,19 @@ def bigram_candidates(source: DataFrame, catalog: DataFrame, top: int) -> DataFr
     shared = a.join(b, "g").groupBy("source_id", "content_id").agg(F.count("*").alias("shared"))
     order = Window.partitionBy("source_id").orderBy(F.desc("shared"), "content_id")
     return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+@F.pandas_udf(DoubleType())
+def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp similarity, which no built-in function gives."""
+    return pd.Series([SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right)], dtype=float)
+
+
+def fuzzy_candidates(source: DataFrame, catalog: DataFrame, retrieved: int, top: int) -> DataFrame:
+    """source_id, content_id, similarity, rank: the most similar of the ``retrieved`` titles that share the most bigrams.
+
+    The ids are the titles themselves, so each pair of titles is compared once.
+    """
+    pairs = bigram_candidates(source, catalog, retrieved).select("source_id", "content_id", F.round(ratio("source_id", "content_id"), 9).alias("similarity"))
+    order = Window.partitionBy("source_id").orderBy(F.desc("similarity"), "content_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
