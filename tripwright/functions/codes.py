@@ -67,3 +67,28 @@ def sgg_compatible(code: Column, regn: Column, signgu: Column) -> Column:
         .otherwise(province == regn)
     )
     return F.when(F.length(code) >= 5, long_code).when(F.length(code) == 2, short_code).otherwise(F.lit(False))
+
+
+def anomaly(value: Column, allowed: Iterable[str], listed: Iterable[str] = (), special: Iterable[str] = (), elsewhere: Iterable[str] = ()) -> Column:
+    """Why a code is outside its domain.
+
+    ``allowed`` is the documented domain; ``listed`` the reference table's codes of the
+    field's group, of which ``special`` are residual categories; ``elsewhere`` codes of
+    other groups.  They are codebooks, and small.
+    """
+    allowed, listed, special, elsewhere = map(list, (allowed, listed, special, elsewhere))
+    parts = F.split(value, r"[,;|/]", -1)
+    every = lambda known: F.forall(parts, lambda x: x.isin(*known) if known else F.lit(False))
+    blank = r"\s"
+    delimited = (
+        F.when(F.exists(parts, lambda x: x == ""), "delimited_representation_with_empty_component").when(F.exists(parts, lambda x: x.rlike(blank)), "delimited_representation_with_whitespace")
+        .when(every(allowed) & every(listed), "multiple_exact_hwp_and_reference_codes_delimited").when(every(allowed), "multiple_exact_hwp_domain_codes_delimited")
+        .when(every(listed), "multiple_exact_reference_codes_delimited").otherwise("delimited_components_not_fully_mapped")
+    )
+    one = lambda known: value.isin(*known) if known else F.lit(False)
+    whole = (
+        F.when(value.rlike(blank), "whitespace_or_format_representation").when(one(allowed), "in_domain").when(one(special), "reference_table_special_category")
+        .when(one(listed), "reference_table_entry_outside_manual_range").when(one(elsewhere), "reference_entry_for_other_code_group")
+        .when(value.rlike("^[0-9]+$"), "undocumented_numeric_code").otherwise("undocumented_non_numeric_representation")
+    )
+    return F.when(value.rlike(r"[,;|/]"), delimited).otherwise(whole)

@@ -83,3 +83,28 @@ def json_keys(frame: DataFrame, name: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def signatures(frame: DataFrame, unit: str, value: str) -> DataFrame:
+    """unit, signature, members, group: units with the same set of values are one group, the commonest numbered first.
+
+    Units are few (regions, tables); ``frame`` is aggregated to its distinct pairs before they meet.
+    """
+    per = frame.select(unit, F.col(value).cast("string").alias("v")).where("v IS NOT NULL").distinct().groupBy(unit).agg(F.array_join(F.array_sort(F.collect_set("v")), "|").alias("signature"))
+    groups = per.groupBy("signature").agg(F.count("*").alias("members"))
+    groups = groups.withColumn("group", F.row_number().over(Window.orderBy(F.desc("members"), "signature")))
+    return per.join(groups, "signature").select(unit, "signature", "members", "group")
+
+
+def presence(frame: DataFrame, unit: str, value: str) -> DataFrame:
+    """value, n_units, everywhere: in how many units each value occurs."""
+    pairs = frame.select(unit, F.col(value).cast("string").alias("value")).where("value IS NOT NULL").distinct()
+    total = pairs.agg(F.count_distinct(unit).alias("t"))
+    counts = pairs.groupBy("value").agg(F.count("*").alias("n_units"))
+    return counts.join(F.broadcast(total)).select("value", "n_units", (F.col("n_units") == F.col("t")).alias("everywhere"))  # one row
+
+
+def codebook_check(frame: DataFrame, field: str, book: DataFrame) -> DataFrame:
+    """code, in_book, rows: every code of the data or of ``book(code)``, and whether it is in which."""
+    seen = frame.where(F.col(field).isNotNull()).groupBy(F.col(field).cast("string").alias("code")).agg(F.count("*").alias("rows"))
+    return seen.join(book.select("code").distinct().withColumn("in_book", F.lit(True)), "code", "full").select("code", F.coalesce("in_book", F.lit(False)).alias("in_book"), F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by topic, each registered with its oracle."""
 
-from tripwright.plans import places, queries
+from tripwright.plans import dataset, places, queries, studies
 from tripwright.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "places", "queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "dataset", "places", "queries", "studies"]
