@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tripwright.llm import bpe, langid, packing, pii, preference, quality, sharding, simhash, topk, vecdedup
+from tripwright.llm import bpe, langid, nearcopies, packing, pii, preference, quality, sharding, simhash, topk, vecdedup
 from tripwright.llm.graph import components
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -218,6 +218,19 @@ def test_simhash_keeps_one_of_each_group(odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, nearcopies.keep_one])
+def test_one_row_stays_where_a_doc_id_has_several_texts(spark, keep):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(5, a, "x"), (5, b, "x"), (9, b, "x"), (7, c, "y"), (7, c, "x"), (3, c, "z"), (None, d, "x"), (None, d + " end", "x"), (None, a, "x")]
+    want = {(5, a, "x"), (5, b, "x"), (3, c, "z")}
+    for order in (rows, rows[::-1]):
+        got = [tuple(r) for r in keep(spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)).collect()]
+        named = [r for r in got if r[0] is not None]
+        assert set(named) == want and len(named) == 3
+        if keep is nearcopies.keep_one:  # one of the two near copies without ids
+            assert len(got) == 4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3)] + [(500, 501), (501, 500)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -46,3 +46,22 @@ def _small_star(pairs: DataFrame) -> DataFrame:
 
 def _state(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first())
+
+
+def keep_leaders(marked: DataFrame, links: DataFrame, mark: str) -> DataFrame:
+    """Of the rows of ``marked`` whose ``mark`` (a long) is equal or linked by ``links(a, b)``, one each, without ``mark``.
+
+    It is the row of the smallest (doc_id, mark, text), rows without a doc_id after all
+    others; a hash of the whole row decides between rows that agree in these.
+    ``marked`` is read several times, so it should be materialized.
+    """
+    columns = [f"`{c}`" for c in marked.columns if c != mark]
+    first = F.struct(F.isnull("doc_id"), "doc_id")
+    found = components(links).select(F.col("node").alias(mark), "root")
+    firsts = marked.groupBy(mark).agg(F.min(first).alias("first")).join(found, mark)
+    firsts = materialize(firsts.select("root", F.struct("first", F.col(mark).alias("mark")).alias("one")))
+    leaders = firsts.groupBy("root").agg(F.min("one").alias("leader"))
+    gone = firsts.join(leaders, "root").where("one.mark <> leader.mark").select(F.col("one.mark").alias(mark))
+    order = F.struct(F.isnull("doc_id"), "doc_id", "text", F.xxhash64(*columns))
+    kept = marked.join(gone, mark, "left_anti").groupBy(mark).agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return kept.select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tripwright.llm.common import group_batches, materialize
-from tripwright.llm.graph import components
+from tripwright.llm.graph import components, keep_leaders
 
 RADIUS = 3
 #: Five blocks of bits, as (lowest bit, width); any two make a key.
@@ -157,19 +157,9 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the row of the smallest doc_id stays.
+    """``docs`` without near-duplicates: of each group of linked rows one stays, as in ``keep_leaders``.
 
-    Repeated rows of one doc_id count as that document, of which one row stays, the
-    one with the smallest fingerprint's group; rows without a doc_id stay only if
-    their whole group has none, one for each.
+    A doc_id may stand on several rows; each row counts with its own text.
     """
-    named = groups(docs).where("doc_id IS NOT NULL")
-    # A doc_id may stand on several rows; it stays if any of its rows leads its group.
-    kept = named.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL")
-    if nameless.isEmpty():
-        return out
-    lone = groups(docs).where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
-    marked = nameless.withColumn("__tw_fp", F.lpad(F.lower(F.hex(_fingerprints("text"))), 16, "0"))
-    return out.unionByName(marked.join(lone, marked["__tw_fp"] == lone["fingerprint"], "left_semi").dropDuplicates(["__tw_fp"]).drop("__tw_fp"))
+    marked = materialize(docs.withColumn("__tw_fp", _fingerprints("text")))
+    return keep_leaders(marked, links(marked.select(F.col("__tw_fp").alias("fp")).distinct()), "__tw_fp")
