@@ -251,6 +251,32 @@ def test_quality_on_labels(spark, odd, empty):
     assert quality.classify(odd, labels.limit(0)).where("NOT kept").count() == 0
 
 
+def test_quality_with_few_labels_of_a_class(spark):
+    """0.5% low-quality labels: the sample of each class tells them apart, where the base rate would keep all."""
+    rng = random.Random(6)
+    good = [f"The {rng.choice('abcdef')}{rng.randint(0, 99)} house stood by a quiet river, and people came to see it." for _ in range(3980)]
+    bad = [f"$$$ WIN {rng.randint(0, 10**6)} WIN WIN {rng.randint(0, 10**6)} CLICK!!!" for _ in range(20)]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(good + bad)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    given = spark.createDataFrame([(i, int(i < 3980)) for i in range(4000) if i % 2], "doc_id long, quality int")
+    got = quality.classify(frame, given).toPandas().set_index("doc_id")
+    low = [i for i in range(3980, 4000) if i % 2 == 0]
+    assert got["score"].nunique() > 1 and got.loc[low, "score"].max() < got.loc[:3979, "score"].min() and not got.loc[low, "kept"].any() and got.loc[:3979, "kept"].all()
+
+
+def test_quality_hands_over_from_all_unlabelled(spark, monkeypatch):
+    """A later round hands over other documents than an earlier one, out of more than any sample."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(6000)
+    labels, sizes, fit = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("doc_id % 20 = 0"), [], quality._fit
+    seen, chances = [], quality._chances
+    monkeypatch.setattr(quality, "_fit", lambda x, y: sizes.append(len(x)) or fit(x, y))
+    monkeypatch.setattr(quality, "_chances", lambda f, w: seen.append(f.count()) or chances(f, w))
+    quality.train(docs, labels, rounds=3, step=50)
+    assert seen == [6000] * 3
+    grown = sizes[::2], sizes[1::2]
+    assert len(sizes) == 8 and any(all(b >= a + 50 for a, b in zip(side, side[1:])) for side in grown)
+
+
 def test_language_on_held_out(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripwright.llm.common import materialize
 from tripwright.llm.langid import fit_linear
 
 #: Classes of bytes: lower, upper, digit, space, newline, other letters' bytes, and the marks.
@@ -73,71 +74,109 @@ class Model:
         return _sigmoid(_logit(z, self.joint)), _sigmoid(z[:, 0]), _sigmoid(z[:, 1])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4, step: int = 200, sure: float = 0.97, least: int = 20) -> Model:
-    """``y`` is +1, -1, or 0 where unlabelled.  Every third labelled row is kept for calibration.
+def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Both classes weigh the same; with under 20 rows of either, the weights are held closer to zero."""
+    ups, downs = (y > 0).sum(), (y < 0).sum()
+    return fit_linear(x, y[:, None].astype(float), np.where(y > 0, 1 / max(ups, 1), 1 / max(downs, 1)), 1e-5 if min(ups, downs) >= 20 else 1e-3, 150)
 
-    A round hands over at most ``step`` documents a side, and only those at ``sure``
-    or more.  With fewer than ``least`` labels of either class, the score is the base rate.
-    """
-    known = np.flatnonzero(y)
-    prior = float((y[known] > 0).mean()) if len(known) else 1.0
-    if min((y > 0).sum(), (y < 0).sum()) < least:
-        return Model(None, None, prior)
-    held, fit = known[::3], np.setdiff1d(known, known[::3])
-    views, given = (text, meta), [y.copy(), y.copy()]
-    for g in given:
-        g[held] = 0
-    pool, weights = np.flatnonzero(y == 0), [None, None]
-    for turn in range(rounds + 1):
-        for k in (0, 1):
-            rows = np.flatnonzero(given[k])
-            sides = given[k][rows]
-            balance = np.where(sides > 0, 1 / max((sides > 0).sum(), 1), 1 / max((sides < 0).sum(), 1))
-            weights[k] = fit_linear(views[k][rows], sides[:, None].astype(float), balance, 1e-5, 150)
-        if turn == rounds:
-            break
-        for k in (0, 1):
-            p = _sigmoid(_logit(views[k][pool], weights[k]))
-            for side, q in ((1, p), (-1, 1 - p)):
-                best = np.argsort(-q, kind="stable")[:step]
-                best = pool[best[q[best] >= sure]]
-                new = best[given[1 - k][best] == 0]
-                given[1 - k][new] = side
-    z = np.stack([_logit(text[held], weights[0]), _logit(meta[held], weights[1])], axis=1)
-    joint = fit_linear(z, y[held][:, None].astype(float), None, 1e-3, 300)
-    return Model((weights[0], weights[1]), joint, prior)
 
+def _held(y: np.ndarray) -> np.ndarray:
+    """Every third row of each class."""
+    return np.sort(np.concatenate([np.flatnonzero(y == side)[::3] for side in (1, -1)]))
 
-def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _calibrated(z: np.ndarray, w: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """``w`` with the scale and shift under which its log-odds ``z`` of held-out labels say how often it is right."""
+    c = fit_linear(z[:, None], y[:, None].astype(float), share, 1e-3, 300)[:, 0]
+    return np.vstack([w[:-1] * c[0], w[-1:] * c[0] + c[1]])
+
+
+def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         if frame.empty:
             continue
         yield pd.DataFrame(
             {
                 "doc_id": frame["doc_id"],
-                "y": frame["y"],
-                "t": [text_view(x or "").astype("f4") for x in frame["text"]],
-                "m": [meta_view(a, b, c).astype("f4") for a, b, c in zip(frame["lang"], frame["source"], frame["n_chars"])],
+                "key": frame["key"],
+                "t": [text_view(x or "").astype("f4").tobytes() for x in frame["text"]],
+                "m": [meta_view(a, b, c).astype("u1").tobytes() for a, b, c in zip(frame["lang"], frame["source"], frame["n_chars"])],
             }
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled: int = 3000) -> Model:
-    """Fit on at most ``labelled`` and ``unlabelled`` documents, those of the smallest doc_id hash.
+def _stacked(t: pd.Series, m: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(t), "f4").reshape(len(t), -1).astype(float), np.frombuffer(b"".join(m), "u1").reshape(len(m), -1).astype(float)
+
 
-    Labels that contradict each other for one doc_id are left out, as are null ones.
+def _chances(features: DataFrame, weights: list[np.ndarray]) -> DataFrame:
+    """doc_id, key and each view's chance of good quality, of every row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                p = [_sigmoid(_logit(x, w)) for x, w in zip(_stacked(frame["t"], frame["m"]), weights)]
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], "p0": p[0], "p1": p[1]})
+
+    return features.mapInPandas(run, "doc_id long, key long, p0 double, p1 double")
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, rounds: int = 4, step: int = 200, sure: float = 0.97) -> Model:
+    """Co-train on at most ``labelled`` labelled documents, half of each class where there are enough, and all unlabelled ones.
+
+    Every third labelled document is kept for calibration, at the classes' shares of
+    all labels.  A round scores all unlabelled documents in Spark; each view hands the
+    other at most ``step`` new texts a side, those it is surest of, at a calibrated ``sure`` or more.
+    Labels that contradict each other for one doc_id and null ones are none.  With
+    labels of one class only, the score is the base rate.
     """
     clean = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("a"), F.max("quality").alias("b")).where("a = b")
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(clean.select("doc_id", F.when(F.col("a") > 0, 1).otherwise(-1).alias("y")), "doc_id")
+    known = materialize(known)
+    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
+        return Model(None, None, float(1 in total or not total))
+    prior = total[1] / (total[1] + total[-1])
+    ups = min(total[1], max(labelled // 2, labelled - total[-1]))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    one = ids.join(clean.select("doc_id", F.when(F.col("a") > 0, 1).otherwise(-1).alias("y")), "doc_id").orderBy(*order).limit(labelled)
-    two = ids.join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("y")).orderBy(*order).limit(unlabelled)
-    chosen = F.broadcast(one.union(two))  # at most labelled + unlabelled rows
-    got = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen, "doc_id").mapInPandas(_vectors, "doc_id long, y int, t array<float>, m array<float>").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    if got.empty:
-        return Model(None, None, 1.0)
-    return co_train(np.stack(got["t"].to_numpy()), np.stack(got["m"].to_numpy()), got["y"].to_numpy(int))
+    chosen = [known.where(F.col("y") == side).orderBy(*order).limit(n) for side, n in ((1, ups), (-1, min(total[-1], labelled - ups)))]
+    chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most ``labelled`` rows
+    keyed = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text", "lang", "source", "n_chars").alias("key"))
+    features = materialize(keyed.mapInPandas(_features, "doc_id long, key long, t binary, m binary"))
+    # A doc_id on several rows is learned from once, by its smallest key.
+    one = features.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("key", "t", "m")).alias("x")).select("doc_id", "y", "x.t", "x.m").orderBy("doc_id").toPandas()
+    y, views = one["y"].to_numpy(int), _stacked(one["t"], one["m"])
+    held = _held(y)
+    # A class of one or two labels is in both parts; there is nothing else to fit it on.
+    fit = np.sort(np.concatenate([np.setdiff1d(np.arange(len(y)), held), *[np.flatnonzero(y == side) for side in (1, -1) if (y == side).sum() < 3]])).astype(int)
+    rows, sides = [views[0][fit], views[1][fit]], [y[fit], y[fit]]
+    given: list[set[int]] = [set(), set()]
+    weights = [_fit(x, side) for x, side in zip(rows, sides)]
+    drawn = {side: (y[held] == side).sum() for side in (1, -1)}
+    share = np.array([total[side] / drawn[side] for side in y[held]])  # back to the shares of all labels
+    for _ in range(rounds):
+        sure_of = [_calibrated(_logit(x[held], w), w, y[held], share) for x, w in zip(views, weights)]
+        scored = _chances(features, sure_of).join(clean, "doc_id", "left_anti").groupBy("key").agg(F.max("p0").alias("p0"), F.max("p1").alias("p1"))
+        scored, new = materialize(scored), ({}, {})
+        for k in (0, 1):
+            for side, q in ((1, F.col(f"p{k}")), (-1, 1 - F.col(f"p{k}"))):
+                best = scored.select("key", q.alias("q")).where(F.col("q") >= sure).orderBy(F.desc("q"), "key").limit(step + len(given[1 - k])).collect()
+                for key in [r["key"] for r in best if r["key"] not in given[1 - k]][:step]:
+                    new[1 - k][key] = side
+        if not (new[0] or new[1]):
+            break
+        wanted = sorted({*new[0], *new[1]})
+        got = features.where(F.col("key").isin(wanted)).groupBy("key").agg(F.first("t").alias("t"), F.first("m").alias("m")).orderBy("key").toPandas()
+        handed = _stacked(got["t"], got["m"])
+        for k in (0, 1):
+            at = np.array([key in new[k] for key in got["key"]], bool)
+            rows[k] = np.concatenate([rows[k], handed[k][at]])
+            sides[k] = np.concatenate([sides[k], [new[k][key] for key in got["key"][at]]]).astype(int)
+            given[k] |= set(new[k])
+            weights[k] = _fit(rows[k], sides[k])
+    z = np.stack([_logit(views[0][held], weights[0]), _logit(views[1][held], weights[1])], axis=1)
+    joint = fit_linear(z, y[held][:, None].astype(float), share, 1e-3, 300)
+    return Model((weights[0], weights[1]), joint, prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -153,12 +192,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("__tw_quality", run("text", "lang", "source", "n_chars"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = 3000, unlabelled: int = 3000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = 3000) -> DataFrame:
     """doc_id, score, text_score, meta_score, kept of each row; kept at ``threshold`` or more.
 
-    Null texts count as empty, null metadata as a value of its own.  Without enough
+    Null texts count as empty, null metadata as a value of its own.  Without
     labels of both classes every score is the labels' base rate, 1 without labels.
     """
-    model = train(docs, labels, labelled, unlabelled)
+    model = train(docs, labels, labelled)
     out = score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
     return out.select("doc_id", "__tw_quality.score", "__tw_quality.text_score", "__tw_quality.meta_score", (F.col("__tw_quality.score") >= threshold).alias("kept"))
