@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The tie keys that decide the order of equal scores.
-ITEM_TIE_KEY = b"travel-recommendation-popularity-tie-v1"
-USER_TIE_KEY = b"travel-recommendation-cf-user-tie-v1"
+#: Keys of the digests that decide the order of equal scores.
+ITEM_TIE_KEY = b"tripwright item ties 1"
+USER_TIE_KEY = b"tripwright user ties 1"
 
 
 def surrogate_key(*parts: Column | str) -> Column:
