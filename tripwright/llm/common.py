@@ -31,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """``df``, its session told to hand texts to Python in Arrow batches of about ``most`` bytes, if nobody chose a bound.
+
+    Otherwise a batch is 10,000 rows however long their texts are, and a worker's
+    memory follows the longest ones.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` into the shared folder once and read it back."""
     spark = df.sparkSession
@@ -39,6 +51,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task ranks at about, in ``hash_buckets``.
+BUCKET_ROWS = 1 << 16
+
+
+def hash_buckets(df: DataFrame, *by: str | Column) -> Column:
+    """A bucket of each row by hash: 64 of them, and more where 64 would hold over BUCKET_ROWS rows each."""
+    return F.pmod(F.xxhash64(*by), F.lit(max(64, -(-df.count() // BUCKET_ROWS))))
+
+
 def gapless_index(df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column, name: str) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in the order (bucket, order).
 

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+from tripwright.llm.common import small_batches
+
+BINS, SLICE = 1024, 256
 
 
 def code(languages: int, seed: int = 7) -> np.ndarray:
@@ -30,11 +32,11 @@ def code(languages: int, seed: int = 7) -> np.ndarray:
 
 
 def features(text: str) -> np.ndarray:
-    """Square roots of hashed trigram counts of the lower-cased bytes, at length one."""
+    """Square roots of hashed trigram counts of the lower-cased bytes, at length one, in single precision."""
     data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
     grams = (data[:-2] * 2654435761 + data[1:-1] * 40503 + data[2:] * 97) * np.uint32(2246822519) >> np.uint32(22)
-    counts = np.sqrt(np.bincount(grams, minlength=BINS).astype(float))
-    return counts / (np.linalg.norm(counts) or 1.0)
+    counts = np.sqrt(np.bincount(grams, minlength=BINS).astype(np.float32))
+    return counts / (np.linalg.norm(counts) or np.float32(1))
 
 
 def has_letter(text: str | None) -> bool:
@@ -62,23 +64,29 @@ class Model:
     ambiguous: float = 0.05
 
     def losses(self, x: np.ndarray) -> np.ndarray:
-        margin = x @ self.weights[:-1] + self.weights[-1]
+        margin = x.astype(np.float64) @ self.weights[:-1] + self.weights[-1]
         return np.log1p(np.exp(-np.clip(margin[:, None, :] * self.code, -30, 30))).sum(axis=2)
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
-        """lang_pred, score, is_ambiguous: the score is the codeword's share under the losses."""
-        said = np.array([has_letter(x) for x in texts], bool)
+        """lang_pred, score, is_ambiguous: the score is the codeword's share under the losses.
+
+        Features exist for SLICE texts at a time, whatever the batch holds.
+        """
         lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-        unclear = np.ones(len(texts), bool)
-        if said.any() and self.languages:
-            loss = self.losses(np.stack([features(x) for x in texts[said]]))
+        unclear, values = np.ones(len(texts), bool), texts.array
+        said = [k for k, x in enumerate(values) if has_letter(x)] if self.languages else []
+        x = np.zeros((min(SLICE, len(said)), BINS), np.float32)
+        for at in range(0, len(said), SLICE):
+            own = said[at : at + SLICE]
+            for row, k in enumerate(own):
+                x[row] = features(values[k])
+            loss = self.losses(x[: len(own)])
             share = np.exp(loss.min(axis=1, keepdims=True) - loss)
             share /= share.sum(axis=1, keepdims=True)
-            best = loss.argmin(axis=1)
-            lang[said] = np.array(self.languages, object)[best]
-            score[said] = share.max(axis=1)
+            lang[own] = np.array(self.languages, object)[loss.argmin(axis=1)]
+            score[own] = share.max(axis=1)
             second = np.sort(share, axis=1)[:, -2] if share.shape[1] > 1 else np.zeros(len(share))
-            unclear[said] = share.max(axis=1) - second < self.ambiguous
+            unclear[own] = share.max(axis=1) - second < self.ambiguous
         return pd.DataFrame({"lang_pred": lang, "score": score, "is_ambiguous": unclear})
 
 
@@ -87,23 +95,27 @@ def _held_out(doc: str) -> Column:
 
 
 def train(docs: DataFrame, sample: int = 2000) -> Model:
-    """Fit on at most ``sample`` labelled documents, whole texts, those of the smallest doc_id hash.
+    """Fit on about ``sample`` labelled documents, whole texts, an equal number of each language where there are enough.
 
-    Labelled: a language, a letter in the text, and not held out.  The sample is the
-    only thing that comes to the driver, as feature vectors of BINS floats.
+    Labelled: a doc_id, a language, a letter in the text, and not held out.  Each
+    language gives those of the smallest doc_id hash, at least 20 of them, so that a rare one
+    has a codeword too.  A doc_id on several rows is learned from once, by its smallest
+    (language, text hash).  The sample is the only thing that comes to the driver,
+    as feature vectors of BINS single-precision floats.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out("doc_id")).select("doc_id", "lang")
-    chosen = labelled.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~_held_out("doc_id"))
+    one = labelled.groupBy("doc_id").agg(F.min(F.struct("lang", F.xxhash64("text").alias("key"))).alias("one")).select("doc_id", "one.*")
+    most = max(20, sample // max(1, one.select("lang").distinct().count()))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # limited before its shuffle
+    chosen = one.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+    picked = small_batches(docs).select("doc_id", "lang", "text", F.xxhash64("text").alias("key")).join(F.broadcast(chosen), ["doc_id", "lang", "key"])
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame[np.array([has_letter(x) for x in frame["text"]], bool)]
-            if frame.empty:
-                continue
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "x": [features(x).astype("f4") for x in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "x": [features(x) for x in frame["text"]]})
 
-    got = picked.mapInPandas(vectors, "doc_id long, lang string, x array<float>").toPandas().sort_values(["doc_id", "lang"])
+    seen = picked.select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, x array<float>")
+    got = seen.groupBy("doc_id", "lang").agg(F.first("x").alias("x")).toPandas().sort_values(["doc_id", "lang"])
     languages = sorted(got["lang"].unique().tolist())
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((BINS + 1, 0)))
@@ -121,14 +133,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield model.predict(batch.reset_index(drop=True))
 
-    return docs.withColumn("__tw_language", run(F.col(text)))
+    return small_batches(docs).withColumn("__tw_language", run(F.col(text)))
 
 
 def identify(docs: DataFrame, sample: int = 2000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, is_ambiguous of each row.
 
     A null, empty or letterless text is ``und`` with score 0.  Without any labelled
-    document all are.  A null doc_id is not held out and not learned from.
+    document all are.  A null doc_id is not held out and not learned from.  Repeated
+    rows are predicted alike; of several languages of one doc_id the smallest is learned.
     """
-    model = train(docs.where("doc_id IS NOT NULL"), sample)
+    model = train(docs, sample)
     return predict(docs.select("doc_id", "text"), model).select("doc_id", _held_out("doc_id").alias("held_out"), "__tw_language.lang_pred", "__tw_language.score", "__tw_language.is_ambiguous")

@@ -16,14 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import materialize
+from tripwright.llm.common import materialize, small_batches
 from tripwright.llm.langid import fit_linear
 
 #: Classes of bytes: lower, upper, digit, space, newline, other letters' bytes, and the marks.
 _CLASS = np.full(256, 15, np.uint8)
 for _k, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", bytes(range(128, 256)), b".", b",;:", b"!?", b"|", b"#$%&*", b"'\"-_", b"()[]{}<>", b"=+/\\~^")):
     _CLASS[np.frombuffer(_bytes, np.uint8)] = _k
-TEXT_DIM, META_DIM = 256 + 8, 64 + 16 + 8
+META_DIM, SLICE = 64 + 16 + 8, 256
 
 
 def text_view(text: str) -> np.ndarray:
@@ -60,11 +60,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``views`` are the two classifiers; ``joint`` turns their log-odds into the score's."""
+    """``views`` are the two classifiers; ``joint`` turns their log-odds into the score's.
+
+    ``exchanged`` holds, for each round, how many texts the text and the metadata view were handed.
+    """
 
     views: tuple[np.ndarray, np.ndarray] | None
     joint: np.ndarray | None
     prior: float
+    exchanged: tuple[tuple[int, int], ...] = ()
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.views is None:
@@ -141,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, rounds: int
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [known.where(F.col("y") == side).orderBy(*order).limit(n) for side, n in ((1, ups), (-1, min(total[-1], labelled - ups)))]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most ``labelled`` rows
-    keyed = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text", "lang", "source", "n_chars").alias("key"))
+    keyed = small_batches(docs).select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text", "lang", "source", "n_chars").alias("key"))
     features = materialize(keyed.mapInPandas(_features, "doc_id long, key long, t binary, m binary"))
     # A doc_id on several rows is learned from once, by its smallest key.
     one = features.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("key", "t", "m")).alias("x")).select("doc_id", "y", "x.t", "x.m").orderBy("doc_id").toPandas()
@@ -154,15 +158,17 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, rounds: int
     weights = [_fit(x, side) for x, side in zip(rows, sides)]
     drawn = {side: (y[held] == side).sum() for side in (1, -1)}
     share = np.array([total[side] / drawn[side] for side in y[held]])  # back to the shares of all labels
+    exchanged: list[tuple[int, int]] = []
     for _ in range(rounds):
         sure_of = [_calibrated(_logit(x[held], w), w, y[held], share) for x, w in zip(views, weights)]
         scored = _chances(features, sure_of).join(clean, "doc_id", "left_anti").groupBy("key").agg(F.max("p0").alias("p0"), F.max("p1").alias("p1"))
         scored, new = materialize(scored), ({}, {})
         for k in (0, 1):
+            fresh = scored.where(~F.col("key").isin(sorted(given[1 - k])))  # at most 2 x step x rounds keys
             for side, q in ((1, F.col(f"p{k}")), (-1, 1 - F.col(f"p{k}"))):
-                best = scored.select("key", q.alias("q")).where(F.col("q") >= sure).orderBy(F.desc("q"), "key").limit(step + len(given[1 - k])).collect()
-                for key in [r["key"] for r in best if r["key"] not in given[1 - k]][:step]:
-                    new[1 - k][key] = side
+                best = fresh.select("key", q.alias("q")).where(F.col("q") >= sure).orderBy(F.desc("q"), "key").limit(step).collect()
+                new[1 - k].update({r["key"]: side for r in best})
+        exchanged.append((len(new[0]), len(new[1])))
         if not (new[0] or new[1]):
             break
         wanted = sorted({*new[0], *new[1]})
@@ -176,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, rounds: int
             weights[k] = _fit(rows[k], sides[k])
     z = np.stack([_logit(views[0][held], weights[0]), _logit(views[1][held], weights[1])], axis=1)
     joint = fit_linear(z, y[held][:, None].astype(float), share, 1e-3, 300)
-    return Model((weights[0], weights[1]), joint, prior)
+    return Model((weights[0], weights[1]), joint, prior, tuple(exchanged))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -185,18 +191,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("score double, text_score double, meta_score double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, lang, source, chars in batches:
-            t = np.stack([text_view(x or "") for x in text]) if len(text) else np.zeros((0, TEXT_DIM))
-            m = np.stack([meta_view(*x) for x in zip(lang, source, chars)]) if len(text) else np.zeros((0, META_DIM))
-            yield pd.DataFrame(dict(zip(("score", "text_score", "meta_score"), model.score(t, m))))
+            out = np.zeros((len(text), 3))
+            for at in range(0, len(text), SLICE):
+                t = np.stack([text_view(x or "") for x in text.iloc[at : at + SLICE]])
+                m = np.stack([meta_view(*x) for x in zip(lang.iloc[at : at + SLICE], source.iloc[at : at + SLICE], chars.iloc[at : at + SLICE])])
+                out[at : at + SLICE] = np.stack(model.score(t, m), axis=1)
+            yield pd.DataFrame(out, columns=["score", "text_score", "meta_score"])
 
-    return docs.withColumn("__tw_quality", run("text", "lang", "source", "n_chars"))
+    return small_batches(docs).withColumn("__tw_quality", run("text", "lang", "source", "n_chars"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = 3000) -> DataFrame:
     """doc_id, score, text_score, meta_score, kept of each row; kept at ``threshold`` or more.
 
-    Null texts count as empty, null metadata as a value of its own.  Without
-    labels of both classes every score is the labels' base rate, 1 without labels.
+    Null texts count as empty, null metadata as a value of its own.  Rows that repeat
+    get the same score each.  Labels that contradict each other for a doc_id are none.
+    Without labels of both classes every score is the labels' base rate, 1 without labels.
     """
     model = train(docs, labels, labelled)
     out = score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tripwright.llm.common import group_batches, materialize
+from tripwright.llm.common import group_batches, materialize, small_batches
 from tripwright.llm.graph import components, keep_leaders
 
 RADIUS = 3
@@ -146,7 +146,7 @@ def groups(docs: DataFrame) -> DataFrame:
     component_id, or null if the group has none.  Equal fingerprints meet in one
     aggregate; only distinct ones are compared.
     """
-    printed = materialize(docs.select("doc_id", _fingerprints("text").alias("fp")))
+    printed = materialize(small_batches(docs).select("doc_id", _fingerprints("text").alias("fp")))
     prints = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(prints.select("fp"))).select(F.col("node").alias("fp"), "root")
     found = materialize(found.join(prints, "fp"))
@@ -161,5 +161,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A doc_id may stand on several rows; each row counts with its own text.
     """
-    marked = materialize(docs.withColumn("__tw_fp", _fingerprints("text")))
+    marked = materialize(small_batches(docs).withColumn("__tw_fp", _fingerprints("text")))
     return keep_leaders(marked, links(marked.select(F.col("__tw_fp").alias("fp")).distinct()), "__tw_fp")
