@@ -75,6 +75,22 @@ def gapless_index(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn("_local", local).join(starts, keys).withColumn(name, F.col("_start") + F.col("_local")).drop("_bucket", "_start", "_local")
 
 
+#: A key with more than one row in HOT is hot; there are fewer than HOT of them.
+HOT = 256
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in ``count`` how many of ``rows`` the key has.
+
+    Hot keys, fewer than HOT whatever the data, are broadcast, so that their rows
+    stay where they are; all others meet by a shuffle.  Both frames are read twice.
+    """
+    total, size = rows.count(), F.col(count)
+    hot, rest = F.broadcast(table.where(size * HOT > total).drop(count)), table.where(size * HOT <= total).drop(count)
+    first = rows.join(hot, key)
+    return first.unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, how), allowMissingColumns=True)
+
+
 def sorted_groups(frames: Iterable[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """The whole groups of a stream that is sorted by ``keys``; only the open group is held back."""
     for _, groups in group_batches(frames, keys):

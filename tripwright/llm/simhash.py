@@ -3,12 +3,13 @@
 Fingerprints at 3 or fewer differing bits agree on two of five blocks of bits, so
 they meet under one of ten keys.  Under a key they are compared 64 at a time: bit
 planes hold one bit of 64 fingerprints in each word, carry-save counters add the
-differing planes, and a block is left as soon as all its counters are past the
-radius.
+differing planes, and a block of 64 is abandoned once all its counters are past the
+radius.  The bits of the key are equal and not compared.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tripwright.llm.common import group_batches, materialize, small_batches
+from tripwright.llm.common import group_batches, join_by_key, materialize, small_batches
 from tripwright.llm.graph import components, keep_leaders
 
 RADIUS = 3
@@ -27,6 +28,8 @@ RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints that one task compares with each other at most; larger buckets are cut into pairs of parts.
 PART = 2048
+#: Buckets of at most SMALL members share blocks; dead blocks are dropped every STEP bits.
+SMALL, STEP = 8, 8
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -62,59 +65,133 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Boolean matrix: which fingerprints of ``left`` and ``right`` differ in at most ``radius`` <= 3 bits."""
-    table, out = planes(right), np.zeros((len(left), len(right)), bool)
-    step = max(1, (1 << 17) // table.shape[1])
+class Counters:
+    """Carry-save counters of differing bits, 0 to 3 and ``over``, for blocks of 64 lanes; dead blocks leave the working set."""
+
+    def __init__(self, over: np.ndarray):
+        self.over = over
+        self.ones, self.twos = np.zeros_like(over), np.zeros_like(over)
+
+    def add(self, carry: np.ndarray) -> None:
+        self.ones, carry = self.ones ^ carry, self.ones & carry
+        self.twos, carry = self.twos ^ carry, self.twos & carry
+        self.over = self.over | carry
+
+    def within(self, radius: int) -> np.ndarray:
+        past = (self.twos | self.ones, self.twos, self.twos & self.ones, np.uint64(0))[radius]
+        return ~(self.over | past)
+
+    def keep(self, live: np.ndarray) -> None:
+        self.ones, self.twos, self.over = self.ones[live], self.twos[live], self.over[live]
+
+
+def _lanes(blocks: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, 64 * word + lane) of the set lanes."""
+    at, lane = np.nonzero(np.unpackbits(words.reshape(-1, 1).view(np.uint8), axis=1, bitorder="little"))
+    return blocks[at], lane
+
+
+def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, skip: int = 0, same: bool = False, work: Counter | None = None) -> np.ndarray:
+    """``[n, 2]`` places of the pairs of ``left`` and ``right`` that differ in at most ``radius`` <= 3 bits.
+
+    A block is one fingerprint of ``left`` against 64 of ``right``.  Every STEP bits
+    the blocks in which all lanes are past the radius are abandoned.  Bits set in ``skip`` are
+    known to be equal and passed over.  With ``same``, ``right`` is ``left``: a pair is
+    found once, smaller place first, and itself not at all.  ``work`` counts the
+    blocks, and those abandoned before their last bit.
+    """
+    table, out = planes(right), []
+    width, order = table.shape[1], [b for b in range(64) if not skip >> b & 1]
+    empty = np.zeros(width, np.uint64)
+    if len(right) % 64:
+        empty[-1] = _ALL << np.uint64(len(right) % 64)
+    step = max(1, (1 << 15) // max(width, 1))
     for at in range(0, len(left), step):
         some = left[at : at + step]
-        ones, twos, over = (np.zeros((len(some), table.shape[1]), np.uint64) for _ in range(3))
-        for bit in range(64):
+        row, word = (x.ravel() for x in np.mgrid[: len(some), :width])
+        over = np.tile(empty, len(some))
+        if same:  # lanes at or before the row's own place
+            own = at + row - 64 * word
+            over |= np.where(own >= 63, _ALL, np.where(own < 0, np.uint64(0), (np.uint64(2) << np.clip(own, 0, 62).astype(np.uint64)) - np.uint64(1)))
+        counters = Counters(over)
+        counted = len(over)
+        for done, bit in enumerate(order):
+            if done % STEP == 0:
+                live = np.flatnonzero(counters.over != _ALL)
+                if len(live) < len(row):
+                    counters.keep(live)
+                    row, word = row[live], word[live]
+                if not len(row):
+                    break
             flip = np.where(some >> np.uint64(bit) & np.uint64(1), _ALL, np.uint64(0))
-            carry = table[bit] ^ flip[:, None]
-            ones, carry = ones ^ carry, ones & carry
-            twos, carry = twos ^ carry, twos & carry
-            over |= carry
-            if bit % 8 == 7 and (over == _ALL).all():
-                break  # every counter of the block is past the radius
-        if radius < 3:  # counts of 0 to 3 stand in (twos, ones)
-            over |= (twos & ones) if radius == 2 else twos if radius == 1 else twos | ones
-        lanes = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
-        out[at : at + step] = lanes[:, : len(right)].astype(bool)
-    return out
-
-
-def _spanning(hits: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the symmetric matrix; each node is opened once."""
-    edges, fresh = [], np.ones(len(hits), bool)
-    for root in range(len(hits)):
-        if not fresh[root]:
-            continue
-        fresh[root], todo = False, [root]
-        while todo:
-            at = todo.pop()
-            new = np.flatnonzero(hits[at] & fresh)
-            fresh[new] = False
-            edges += [(at, x) for x in new.tolist()]
-            todo += new.tolist()
-    return edges
+            counters.add(table[bit][word] ^ flip[row])
+        if work is not None:
+            work.update(blocks=counted, abandoned=counted - len(row))
+        if len(row):
+            block, lane = _lanes(np.arange(len(row)), counters.within(radius))
+            out.append(np.stack([at + row[block], 64 * word[block] + lane], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, work: Counter | None = None) -> np.ndarray:
+    """The places at which the two arrays, as long as each other, differ in at most ``radius`` bits: 64 pairs a block."""
+    table = planes(left ^ right)
+    over = np.zeros(table.shape[1], np.uint64)
+    if len(left) % 64:
+        over[-1] = _ALL << np.uint64(len(left) % 64)
+    counters, word = Counters(over), np.arange(table.shape[1])
+    for bit in range(64):
+        if bit % STEP == 0:
+            live = np.flatnonzero(counters.over != _ALL)
+            counters.keep(live)
+            word = word[live]
+        counters.add(table[bit][word])
+    if work is not None:
+        work.update(blocks=table.shape[1], abandoned=table.shape[1] - len(word))
+    block, lane = _lanes(np.arange(len(word)), counters.within(radius))
+    return 64 * word[block] + lane
+
+
+def _spanning(size: int, pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs that make a spanning forest of what the pairs connect."""
+    root, kept = np.arange(size), []
+    while len(pairs := pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]):
+        ends = np.sort(root[pairs], axis=1)
+        high, first = np.unique(ends[:, 1], return_index=True)  # each root hangs on one smaller root
+        kept.append(pairs[first])
+        up = np.arange(size)
+        up[high] = ends[first, 0]
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+    return np.concatenate(kept) if kept else np.zeros((0, 2), np.int64)
+
+
+def _key_mask(tab: int) -> int:
+    """The bits on which all fingerprints of a bucket of the table agree."""
+    return sum(((1 << width) - 1) << low for low, width in (BLOCKS[b] for b in list(combinations(range(5), 2))[tab]))
 
 
 def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links within sorted (table, key, i, j) groups: a spanning forest for each group."""
+    """Links within sorted (table, key, i, j) groups: a spanning forest for each group.
+
+    A large group is compared block by block; the pairs of many small ones, up to
+    SMALL members each, are put together into blocks.
+    """
     for _, groups in group_batches(frames, ["tab", "key", "i", "j"]):
-        rows: list[tuple[int, int]] = []
-        for (_, _, i, j), group in groups:
-            values = group["fp"].to_numpy().view("u8")
-            if len(values) == 2:  # the common case needs no planes
-                if int(values[0] ^ values[1]).bit_count() <= RADIUS:
-                    rows.append((int(group["fp"].iloc[0]), int(group["fp"].iloc[1])))
-                continue
-            if len(values) > 1:
-                signed = group["fp"].to_numpy()
-                rows += [(int(signed[a]), int(signed[b])) for a, b in _spanning(near(values, values))]
-        if rows:
-            yield pd.DataFrame(rows, columns=["a", "b"])
+        out, few = [], []
+        for (tab, _, _, _), group in groups:
+            values = group["fp"].to_numpy()
+            if len(values) <= SMALL:
+                few += [(values[x], values[y]) for x, y in combinations(range(len(values)), 2)]
+            else:
+                prints = values.view("u8")
+                out.append(values[_spanning(len(values), near(prints, prints, skip=_key_mask(int(tab)), same=True))])
+        if few:
+            ends = np.array(few, np.int64)
+            out.append(ends[near_pairs(*np.ascontiguousarray(ends.T).view("u8"))])
+        if out:
+            yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
 
 def _bits(fp: str, block: int) -> str:
@@ -147,13 +224,13 @@ def groups(docs: DataFrame) -> DataFrame:
     aggregate; only distinct ones are compared.
     """
     printed = materialize(small_batches(docs).select("doc_id", _fingerprints("text").alias("fp")))
-    prints = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     found = components(links(prints.select("fp"))).select(F.col("node").alias("fp"), "root")
     found = materialize(found.join(prints, "fp"))
     roots = found.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = found.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    classes = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = materialize(prints.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    return join_by_key(printed, classes, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
