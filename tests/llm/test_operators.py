@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -188,7 +189,27 @@ def test_simhash_bit_slices_equal_counting():
     base = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
     values = np.array([base[i % 5] ^ sum((np.uint64(1) << np.uint64(b) for b in rng.choice(64, i % 7, False)), np.uint64(0)) for i in range(300)], np.uint64)
     for radius in range(4):
-        assert (simhash.near(values, values, radius) == (np.bitwise_count(values[:, None] ^ values[None, :]) <= radius)).all()
+        want = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+        for n in (1, 63, 64, 300):
+            assert sorted(map(tuple, simhash.near(values[:n], values, radius).tolist())) == list(zip(*(x.tolist() for x in np.nonzero(want[:n]))))
+            assert sorted(map(tuple, simhash.near(values[:n], values[:n], radius, same=True).tolist())) == list(zip(*(x.tolist() for x in np.nonzero(np.triu(want[:n, :n], 1)))))
+        assert simhash.near_pairs(values, values[::-1].copy(), radius).tolist() == np.flatnonzero(want[np.arange(300), np.arange(300)[::-1]]).tolist()
+    edges = simhash._spanning(300, simhash.near(values, values, same=True))
+    assert len(edges) == 300 - len(set(roots(values, list(range(300)))))
+
+
+def test_simhash_abandons_blocks_past_the_radius():
+    """Of a bucket of unlike fingerprints nearly all blocks go before their last bit; those of near copies stay."""
+    rng, mask = np.random.default_rng(2), np.uint64(simhash._key_mask(0))
+    values = rng.integers(0, 1 << 63, 2048, dtype=np.uint64) & ~mask
+    work = Counter()
+    assert len(simhash.near(values, values, skip=int(mask), same=True, work=work)) == 0
+    assert work["blocks"] == 2048 * 32 and work["abandoned"] > 0.99 * work["blocks"]
+    work = Counter()
+    assert len(simhash.near_pairs(values, values[::-1].copy(), work=work)) == 0 and work["abandoned"] == work["blocks"] == 32
+    close, work = values[:1] ^ (np.uint64(1) << rng.integers(30, 64, 128).astype(np.uint64)), Counter()
+    assert len(simhash.near(close, close, skip=int(mask), same=True, work=work)) == 128 * 127 // 2
+    assert work["blocks"] - work["abandoned"] == 64 * 2 + 64 - 2  # all but those that lie wholly at or before the row itself
 
 
 @pytest.mark.parametrize("part", [2048, 16])
@@ -321,6 +342,24 @@ def test_topk_equals_brute_force(spark):
     assert [r.vec_id for r in topk.search(vectors(spark, rows[:2]), "vec_id % 50 = 0").collect()] == [1]
 
 
+def test_topk_histograms_count_every_score(spark, monkeypatch):
+    """With blocks far smaller than the table the result stays, and the first histograms hold all pairs of the queries."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 4)
+    rng = np.random.default_rng(9)
+    table = np.concatenate([rng.standard_normal((500, 8)), np.tile(rng.standard_normal(8), (200, 1))]).astype("f4")  # the last 200 tie for everyone
+    frame, rounds, counted = vectors(spark, [(i, list(map(float, v)), 1, "", "") for i, v in enumerate(table)]), [], topk.histograms
+    monkeypatch.setattr(topk, "histograms", lambda *a: rounds.append(counted(*a)) or rounds[-1])
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(frame, "vec_id % 50 = 0").collect())
+    ints, want = np.floor(256 * table.astype(float)).astype(int), []
+    for q in range(0, 700, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(ints @ ints[q]) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+    first = rounds[0].toPandas()
+    assert len(rounds) >= 2 and first.groupby("query_id")["n"].sum().tolist() == [699] * 14 and first["bin"].nunique() > 20
+
+
 def test_vector_links_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = []

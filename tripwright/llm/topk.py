@@ -1,14 +1,16 @@
 """Exact top-k search by distributed histogram selection.
 
-Queries and candidates meet in square blocks; a block scores all its pairs and hands
-on those that can still be among a query's k best.  Global histograms of the scores,
-one a query, are then refined bin by bin until each query's kth value is known;
-scores above it stay, and those at it are taken by the smaller id.
+Queries and candidates meet in square blocks.  In each round every block scores all its
+pairs and counts them by bin within the query's range; the blocks' histograms are
+added up, and the bin in which the kth score falls is the next, narrower range.  At
+the end each query's kth value is known; the blocks hand on the scores above it, and
+of those at it the smallest ids.  Blocks are scored again in each round, so that no
+score is ever stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from tripwright.llm.common import materialize
 
 BLOCK_QUERIES, BLOCK_ROWS, BINS = 1024, 8192, 1024
+#: Stands for the score of a query with itself.
+LEAST = np.iinfo(np.int64).min
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -33,17 +37,6 @@ def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return one.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("q"))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row the places of its k best: by score, then by smaller id (``ids`` ascend)."""
-    for row, values in enumerate(scores):
-        live = np.flatnonzero(values > np.iinfo(np.int64).min)
-        if len(live) > k:
-            kth = np.partition(values[live], len(live) - k)[len(live) - k]
-            above = live[values[live] > kth]
-            live = np.concatenate([above, live[values[live] == kth][: k - len(above)]])
-        yield row, live
-
-
 def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exact integer inner products, by floating point where that is exact."""
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
@@ -51,67 +44,85 @@ def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (queries.astype(kind) @ rows.astype(kind).T).astype("i8")
 
 
-def block_scores(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
-    """query_id, vec_id, score: every pair scored, what a block alone rules out left there.
+def _across(vectors: DataFrame, queries: DataFrame, run: Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``run(queries, ids, scores)`` over every block, for 128 queries at a time: a candidate's score, or LEAST for the query itself.
 
-    Only vectors of the query's own dimension are its candidates.
+    ``queries`` are rows (vec_id, q, dim and the state of the query).  Only vectors of
+    a query's own dimension are its candidates; ``ids`` ascend.
     """
-    vectors = vectors.withColumn("dim", F.size("q"))
-    total, asked = vectors.agg(F.count("*"), F.count_if(F.expr(is_query))).first()
-    across, down = max(1, -(-total // BLOCK_ROWS)), max(1, -(-asked // BLOCK_QUERIES))
+    across, down = max(1, -(-vectors.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select("vec_id", "q", "dim", place(across).alias("c"), every(down).alias("r"))
-    queries = vectors.where(is_query).select("vec_id", "q", "dim", place(down).alias("r"), every(across).alias("c"))
+    asked = queries.withColumn("r", place(down)).withColumn("c", every(across))
+    names = [x.split()[0] for x in schema.split(",")]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
         if len(left) and len(right):
             right = right.sort_values("vec_id")
             ids, table = right["vec_id"].to_numpy(), np.stack(right["q"].to_numpy())
             for at in range(0, len(left), 128):
                 part = left.iloc[at : at + 128]
                 scores = _products(np.stack(part["q"].to_numpy()), table)
-                own = part["vec_id"].to_numpy()
-                scores[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-                for row, best in _best(scores, ids, k):
-                    out.append((np.full(len(best), own[row]), ids[best], scores[row, best]))
-        names = ("query_id", "vec_id", "score")
-        return pd.DataFrame({n: np.concatenate([x[i] for x in out]) if out else np.zeros(0, "i8") for i, n in enumerate(names)})
+                scores[part["vec_id"].to_numpy()[:, None] == ids[None, :]] = LEAST
+                out.append(run(part, ids, scores))
+        return pd.DataFrame({n: np.concatenate([x[n] for x in out]) if out else np.zeros(0, "i8") for n in names})
 
     keys = ["c", "r", "dim"]
-    return queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(block, schema)
 
 
-def select(scored: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best of ``scored``, by refined histograms.
+def histograms(vectors: DataFrame, queries: DataFrame, width: int, span: int) -> DataFrame:
+    """query_id, bin, n: how many scores of all candidates lie in each ``width`` of the query's [low, low + span)."""
+
+    def run(part: pd.DataFrame, ids: np.ndarray, scores: np.ndarray) -> dict[str, np.ndarray]:
+        bins = (scores - part["low"].to_numpy()[:, None]) // width
+        row, at = np.nonzero((scores != LEAST) & (bins >= 0) & (bins < -(-span // width)))
+        kinds = -(-span // width)
+        found, n = np.unique(row * kinds + bins[row, at], return_counts=True)
+        return {"query_id": part["vec_id"].to_numpy()[found // kinds], "bin": found % kinds, "n": n}
+
+    return _across(vectors, queries, run, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
 
-    A round counts scores by bin, finds the bin in which the kth falls, and makes it
-    the range of the next round; after it, bins are one score wide.
-    """
-    low, high = scored.agg(F.min("score"), F.max("score")).first()
-    if low is None:
-        low = high = 0
-    state = scored.groupBy("query_id").agg(F.count("*").alias("n")).select("query_id", F.lit(low).cast("long").alias("low"), F.least("n", F.lit(k)).cast("long").alias("need"))
-    span = high - low + 1
-    while span > 1:
-        width = -(-span // BINS)
-        part = scored.join(state, "query_id").where((F.col("score") >= F.col("low")) & (F.col("score") < F.col("low") + span))
-        bins = part.groupBy("query_id", "low", "need", F.floor((F.col("score") - F.col("low")) / width).alias("bin")).agg(F.count("*").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-        bins = bins.withColumn("upto", F.sum("n").over(down)).where("upto >= need AND upto - n < need")
-        state = materialize(bins.select("query_id", (F.col("low") + F.col("bin") * width).alias("low"), (F.col("need") - F.col("upto") + F.col("n")).alias("need")))
-        span = width
-    kept = scored.join(state.select("query_id", "low"), "query_id").where("score >= low")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+def narrowed(bins: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+    """``queries`` with ``low`` and ``need`` of the bin in which the need-th score from above falls; the lowest bin where there are fewer."""
+    down = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    known = bins.join(queries.select(F.col("vec_id").alias("query_id"), "need"), "query_id").withColumn("upto", F.sum("n").over(down))
+    every = F.sum("n").over(Window.partitionBy("query_id"))
+    known = known.withColumn("need", F.least("need", every)).where("upto >= need AND upto - n < need")
+    state = known.select(F.col("query_id").alias("vec_id"), "bin", (F.col("need") - F.col("upto") + F.col("n")).alias("need"))
+    return queries.drop("need").join(state, "vec_id").withColumn("low", F.col("low") + F.col("bin") * width).drop("bin")
+
+
+def above(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, vec_id, score: the scores over each query's ``low``, and of each block the ``need`` smallest ids of those at it."""
+
+    def run(part: pd.DataFrame, ids: np.ndarray, scores: np.ndarray) -> dict[str, np.ndarray]:
+        low, need = part["low"].to_numpy()[:, None], part["need"].to_numpy()[:, None]
+        tie = (scores == low) & (scores != LEAST)
+        row, at = np.nonzero((scores > low) | (tie & (np.cumsum(tie, axis=1) <= need)))
+        return {"query_id": part["vec_id"].to_numpy()[row], "vec_id": ids[at], "score": scores[row, at]}
+
+    return _across(vectors, queries, run, "query_id long, vec_id long, score long")
 
 
 def search(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> DataFrame:
     """Each query's k best of all other vectors: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on vec_id.  A query with fewer candidates returns all;
-    without queries or usable vectors the result is empty.
+    without queries or usable vectors the result is empty.  The first range is that of
+    Cauchy and Schwarz; every round divides it by BINS, and after the last one bins are one score wide.
     """
-    usable = materialize(integers(vectors, scale))
-    return select(materialize(block_scores(usable, is_query, k)), k)
+    usable = materialize(integers(vectors, scale).withColumn("dim", F.size("q")))
+    longest = usable.agg(F.max(F.expr("aggregate(q, 0D, (a, x) -> a + x * x)"))).first()[0]
+    bound = int(longest or 0) + 1
+    queries = materialize(usable.where(is_query).withColumn("low", F.lit(-bound).cast("long")).withColumn("need", F.lit(k).cast("long")))
+    span = 2 * bound + 1
+    while span > 1:
+        width = -(-span // BINS)
+        queries, span = materialize(narrowed(histograms(usable, queries, width, span), queries, width)), width
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kept = above(usable, queries).withColumn("rank", F.row_number().over(order))
+    return kept.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
