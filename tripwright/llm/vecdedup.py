@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import group_batches, materialize
+from tripwright.llm.common import gapless_index, group_batches, join_by_key, materialize
 from tripwright.llm.graph import components
 
-PASSES, WINDOW, PART = 12, 24, 1024
+PASSES, WINDOW = 12, 24
+#: Rows of a block of a pass; members of a part of a group, at least and at most.
+BLOCK, SMALL, PART = 4096, 64, 2048
 
 
 def _signatures(vectors: np.ndarray, passes: int) -> np.ndarray:
@@ -45,7 +47,8 @@ def _prepared(passes: int):
                 table = np.stack([vectors[i] for i in places])
                 for i, signs in zip(places, _signatures(table, passes)):
                     data = vectors[i].tobytes()
-                    rows.append((frame["vec_id"].iloc[i], frame["label"].iloc[i], hashlib.sha256(data).digest(), data, signs))
+                    label = frame["label"].iloc[i]
+                    rows.append((frame["vec_id"].iloc[i], label, hashlib.sha256(f"{label}\0".encode() + data).digest(), data, signs))
             yield pd.DataFrame(rows, columns=["vec_id", "label", "digest", "v", "signs"])
 
     return run
@@ -57,24 +60,16 @@ def _unit(blobs: pd.Series) -> np.ndarray:
 
 
 def _windows(least: float, window: int):
-    """Compare each row of a sorted partition with the next ones of its pass, label and dimension."""
+    """Compare each row of a sorted block with the next ones of its pass, label and dimension; rows of one block have ``block`` equal."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail: pd.DataFrame | None = None
-        for frame in frames:
-            frame = pd.concat([tail, frame], ignore_index=True) if tail is not None else frame
-            seen = 0 if tail is None else len(tail)
-            tail = frame.iloc[-window:]
+        for _, groups in group_batches(frames, ["block", "dim"]):
             a, b = [], []
-            start = 0
-            keys = frame[["turn", "label", "dim"]].to_numpy()
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for stop in [*cuts.tolist(), len(frame)]:
-                own, ids, first = _unit(frame["v"].iloc[start:stop]), frame["rep"].to_numpy()[start:stop], start
-                start = stop
+            for _, frame in groups:
+                keys = frame["run"].to_numpy()
+                own, ids, mine = _unit(frame["v"]), frame["rep"].to_numpy(), frame["own"].to_numpy()
                 for step in range(1, min(window, len(own) - 1) + 1):
-                    hit = np.flatnonzero((own[:-step] * own[step:]).sum(axis=1) >= least)
-                    hit = hit[hit + step + first >= seen]  # pairs of two old rows are done
+                    hit = np.flatnonzero(mine[:-step] & (keys[:-step] == keys[step:]) & ((own[:-step] * own[step:]).sum(axis=1) >= least))
                     a.append(ids[hit])
                     b.append(ids[hit + step])
             if a:
@@ -85,6 +80,23 @@ def _windows(least: float, window: int):
     return run
 
 
+def _passes(reps: DataFrame, window: int) -> DataFrame:
+    """rep, dim, v, run, rank, block, own: every vector in each pass's order, cut into blocks of BLOCK rows.
+
+    Vectors are ranked over all passes at once, on narrow rows, so that where a
+    block ends depends on the order alone and not on partitions.  A block also holds
+    the ``window`` rows after it, which are its neighbours but not its own.
+    """
+    order = ["turn", "label", "dim", "sign", "rep"]
+    turns = reps.select("rep", "label", "dim", F.posexplode("signs").alias("turn", "sign"))
+    placed = materialize(turns.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()))
+    ranked = gapless_index(placed, [], [F.col(c) for c in order], F.col("pid"), "rank")
+    ranked = ranked.select("rep", F.xxhash64("turn", "label", "dim").alias("run"), "rank")
+    block, rest = F.floor(F.col("rank") / BLOCK), F.pmod("rank", F.lit(BLOCK))
+    where = F.when((rest < window) & (block > 0), F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(block.alias("block"), F.lit(True).alias("own"))))
+    return ranked.select("rep", "run", "rank", F.inline(where)).join(reps.select("rep", "dim", "v"), "rep")
+
+
 def _forest(pairs: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the pairs: at most one a vector leaves the task."""
     up: dict[int, int] = {}
@@ -135,28 +147,29 @@ def links(vectors: DataFrame, least: float = 0.98, passes: int = PASSES, window:
     empty and zero vectors and those with null or non-finite components link with
     nothing.  Several rows of one vec_id count as one, the smallest usable (label, vector);
     a null vec_id has no row.  Equal vectors of a label are one class and compared
-    once.  A group's links are counted exactly; a pass can miss a pair only where the
-    bits of all passes keep it apart, which is how recall can fall short of 1.
+    once.  A group's links are counted exactly; two groups stay apart only where the bits
+    of all passes keep all their links apart, which is how recall can fall short of 1.
+    The result does not depend on how ``vectors`` is partitioned.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     one = vectors.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.when(usable, F.struct("label", "embedding"))).alias("s")).select("vec_id", "s.label", "s.embedding")
-    ready = one.where("embedding IS NOT NULL").withColumn("label", F.col("label").cast("long")).mapInPandas(_prepared(passes), "vec_id long, label long, digest binary, v binary, signs array<long>")
+    ready = one.where("embedding IS NOT NULL").withColumn("label", F.col("label").cast("string")).mapInPandas(_prepared(passes), "vec_id long, label string, digest binary, v binary, signs array<long>")
     ready = materialize(ready)
-    classes = materialize(ready.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    classes = materialize(ready.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     reps = ready.join(classes.select(F.col("rep").alias("vec_id"), "rep", "copies"), "vec_id").select("rep", "copies", "label", "v", F.octet_length("v").alias("dim"), "signs")
     reps = materialize(reps)
-    turns = reps.select("rep", "label", "dim", "v", F.posexplode("signs").alias("turn", "sign"))
-    sorted_ = turns.repartitionByRange("turn", "label", "dim", "sign", "rep").sortWithinPartitions("turn", "label", "dim", "sign", "rep")
-    found = components(sorted_.mapInPandas(_windows(least, window), "a long, b long"))
+    blocks = _passes(reps, window).repartition("block").sortWithinPartitions("block", "dim", "rank")
+    found = components(blocks.mapInPandas(_windows(least, window), "a long, b long"))
     grouped = materialize(found.select(F.col("node").alias("rep"), "root").join(reps.select("rep", "copies", "v"), "rep"))
-    sizes = grouped.groupBy("root").agg(F.expr(f"CAST(ceil(count(*) / {PART}) AS INT)").alias("parts"))
+    # Eight parts or more above SMALL members, and larger ones for larger groups, so that a vector is copied seldom.
+    sizes = grouped.groupBy("root").agg(F.expr(f"CAST(ceil(count(*) / greatest({SMALL}, least({PART}, ceil(count(*) / 8)))) AS INT)").alias("parts"))
     cells = grouped.join(sizes, "root").withColumn("part", F.expr("CAST(pmod(xxhash64(rep), parts) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     cells = cells.select("rep", "copies", "v", "part", "root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     counted = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(_count(least), "rep long, n long")
     counted = counted.groupBy("rep").agg(F.sum("n").alias("n"))
     known = classes.join(grouped.select("rep", "root"), "rep", "left").join(counted, "rep", "left")
-    known = known.select("label", "digest", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    named = ready.select("vec_id", "label", "digest").join(known, ["label", "digest"]).select("vec_id", "n_links", "component_id")
+    known = known.select("digest", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    named = join_by_key(ready.select("vec_id", "digest"), materialize(known), "digest", "copies").select("vec_id", "n_links", "component_id")
     alone = one.where("embedding IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
