@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -22,7 +23,7 @@ from tripwright.llm import bpe, langid, nearcopies, packing, pii, preference, qu
 from tripwright.llm.graph import components
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-PLAIN = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PLAIN = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, base string, fingerprint string, label string"
 #: Nulls, empty and very long texts, repeated rows and doc_ids, and columns whose names operators use.
 ODD = [
@@ -148,6 +149,32 @@ def test_pii_patterns_of_high_confidence_discover(spark):
     assert rows[51].spans == "" and all(rows[i + 20].spans == "" for i in range(5))
 
 
+def test_pii_discovers_in_hops_and_in_all_forms(spark):
+    """Found values are the seeds of other patterns; groups of digits and long tokens are candidates."""
+    seeds = [f"note {i}; call us: +49 30 555 {1000 + i} soon" for i in range(12)]
+    first = [f"call us: 0301 55 7{10 + i} soon" for i in range(6)]  # no base form, behind a pattern of base seeds
+    second = [f"Fax number: 0301 55 7{10 + i}" for i in range(6)] + ["Fax number: (0399) 123 4567"]  # known values induce a second pattern
+    mails = [f"write to {'name' * 3}{i}@host{i}.org or wait" for i in range(8)] + ["write to " + "x1" * 60 + " or wait"]
+    clean = [f"chapter {i} has {i * 37} pages and the code A{i}77{i}99B of item 12.50.{i}" for i in range(40)]
+    texts = seeds + first + second + mails + clean
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r for r in sorted(pii.find(frame).collect())]
+    got = [texts[r.doc_id][int(x.split(":")[1]) : int(x.split(":")[2])] for r in rows for x in r.spans.split(",") if x and r.n_found]
+    want = [f"0301 55 7{10 + i}" for i in range(6)] * 2 + ["(0399) 123 4567", "x1" * 60]
+    assert sorted(got) == sorted(want)  # recall and precision of the planted ones
+    assert pii.redact(frame).where("doc_id = 24").first().text == "Fax number: [PHONE]"
+    one_hop = pii.bootstrap(pii.occurrences(pii.scan(frame), "doc_id"), rounds=1)
+    assert "1 number: " not in [r.pattern for r in one_hop.collect()]
+
+
+def test_pii_long_texts_of_many_numbers(spark):
+    text = " ".join(f"{i} a{i}b77 +1 222 333 {1000 + i % 9000}, x" for i in range(20000))
+    began = time.time()
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_phone == 20000 and time.time() - began < 60
+    assert pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text.count("[PHONE]") == 20000
+
+
 def test_pii_redacts_and_keeps_columns(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns
@@ -448,20 +475,56 @@ def test_preferences(spark):
     hello = ("user", "hello")
     rows = talk(64, hello, ("assistant", "hi"), ("user", "more")) + talk(128, hello, ("assistant", "hi"), ("user", "more"), ("assistant", "long answer"))
     rows += talk(3, ("user", "a"), ("assistant", "one"), ("user", "b"), ("assistant", "two")) + talk(4, ("user", "x"), ("assistant", "y")) + rows[:1]
+    rows += talk(6, ("user", "x2"), ("assistant", "y2")) + talk(7, ("system", "s"), ("user", "u"), ("assistant", "alone"))
     rows += [(None, 0, "user", "lost"), (5, None, None, None)]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame = spark.createDataFrame([(*r, "k", 0) for r in rows], "conv_id long, turn long, role string, text string, kind string, said int")
     got = {r.chosen_id: r for r in preference.format_preferences(frame).collect()}
-    assert set(got) == {128, 3, 4, 5}
+    assert set(got) == {128, 3, 4, 5, 6, 7}
     pair = got[128]
     assert (pair.rejected_id, pair.kind, pair.prefix_turns) == (64, "shared", 3)
     assert pair.prompt == "<|user|>\nhello\n<|assistant|>\nhi\n<|user|>\nmore\n" and pair.rejected_completion == "" and pair.rejected_mask == ""
     a, b = map(int, pair.chosen_mask.split(":"))
     assert pair.chosen_completion[a:b] == "long answer"
     assert (got[3].kind, got[3].prefix_turns, got[3].rejected_completion) == ("swapped", 3, "<|assistant|>\none\n")
-    assert (got[4].kind, got[4].prompt, got[4].prefix_turns) == ("single", "", 0)
+    for own, other, said in ((4, 6, "y2"), (6, 4, "y")):  # alike in the roles of their turns
+        pair = got[own]
+        a, b = map(int, pair.rejected_mask.split(":"))
+        assert (pair.kind, pair.rejected_id, pair.prefix_turns, pair.rejected_completion[a:b]) == ("borrowed", other, 1, said)
+    assert (got[7].kind, got[7].prefix_turns, got[7].chosen_completion, got[7].rejected_completion) == ("single", 2, "<|assistant|>\nalone\n", "")
+    assert (got[5].kind, got[5].prompt, got[5].chosen_completion) == ("single", "<||>\n\n", "")
     assert preference.format_preferences(frame.limit(0)).count() == 0
 
 
+def brute_format(chosen, rejected):
+    n = 0
+    while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+        n += 1
+    out = [n, "".join(f"<|{r}|>\n{t}\n" for r, t in chosen[:n])]
+    for side in (chosen, rejected):
+        text, mask = "", []
+        for role, said in side[n:]:
+            text += f"<|{role}|>\n"
+            if role == "assistant":
+                mask.append(f"{len(text)}:{len(text) + len(said)}")
+            text += said + "\n"
+        out += [text, ",".join(mask)]
+    return [out[0], out[1], out[2], out[4], out[3], out[5]]
+
+
+def test_preference_formatting_equals_brute_force(spark):
+    rng, rows = random.Random(12), []
+    for i in range(300):
+        side = lambda: [(rng.choice(("user", "assistant", "system", "")), rng.choice(("", "a", "é🙂", "long " * 3))) for _ in range(rng.randint(0, 6))]
+        base = side()
+        rows.append((i, base + side(), base + side()))
+    kind = "array<struct<role:string,text:string>>"
+    frame = spark.createDataFrame(rows, f"i long, chosen {kind}, rejected {kind}")
+    for r in preference.format_pairs(frame).collect():
+        assert list(r)[1:] == brute_format(*rows[r.i][1:])
+    long = spark.createDataFrame([(1, [("assistant", "w" * 1000)] * 3000, [("user", "x" * 10**6)])], f"i long, chosen {kind}, rejected {kind}")
+    assert list(preference.format_pairs(long).first())[1:] == brute_format([("assistant", "w" * 1000)] * 3000, [("user", "x" * 10**6)])
+
+
 def test_preference_pairs_within_a_hot_first_turn(spark):
     rows = [r for c in range(401) for r in talk(c, ("user", "same"), ("assistant", "w" * (c % 7)))]
     got = preference.format_preferences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas()

@@ -43,12 +43,33 @@ def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
     return df
 
 
+def _path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tripwright-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` into the shared folder once and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tripwright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path := _path(spark))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tripwright_path = path
+    return out
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like materialize, in buckets of ``key``: later joins on it move only the other side."""
+    spark, path = df.sparkSession, _path(df.sparkSession)
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables behind frames of ``materialize`` that nothing reads any more."""
+    for df in frames:
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(df._tripwright_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows that one task ranks at about, in ``hash_buckets``.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import materialize
+from tripwright.llm.common import bucketed, forget, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,8 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(_tidy(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))))
     state = _state(now)
     while True:
-        now = materialize(_small_star(_large_star(now)))
-        if (after := _state(now)) == state:
+        last, now = now, materialize(_small_star(_large_star(now)))
+        after = _state(now)
+        forget(last)
+        if after == state:
             break
         state = after
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
@@ -48,20 +52,23 @@ def _state(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first())
 
 
-def keep_leaders(marked: DataFrame, links: DataFrame, mark: str) -> DataFrame:
-    """Of the rows of ``marked`` whose ``mark`` (a long) is equal or linked by ``links(a, b)``, one each, without ``mark``.
+def keep_leaders(marked: DataFrame, mark: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of the rows of ``marked`` whose ``mark`` (a long) is equal or linked, one each, without ``mark`` and other ``__tw_`` columns.
 
-    It is the row of the smallest (doc_id, mark, text), rows without a doc_id after all
+    It is the row of the smallest (doc_id, mark, text hash), rows without a doc_id after all
     others; a hash of the whole row decides between rows that agree in these.
-    ``marked`` is read several times, so it should be materialized.
+    ``find`` gives the links ``(a, b)`` of a table with one row for each mark.  Whole
+    rows are shuffled once, to the buckets of their marks, where they stay.
     """
-    columns = [f"`{c}`" for c in marked.columns if c != mark]
-    first = F.struct(F.isnull("doc_id"), "doc_id")
+    columns = [f"`{c}`" for c in marked.columns]
+    order = F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text"), F.xxhash64(*columns))
+    one = marked.groupBy(mark).agg(F.min_by(F.struct(*[c for c in columns if c != f"`{mark}`"]), order).alias("row")).select(mark, "row.*")
+    one = bucketed(one, mark)
+    links = materialize(find(one))
     found = components(links).select(F.col("node").alias(mark), "root")
-    firsts = marked.groupBy(mark).agg(F.min(first).alias("first")).join(found, mark)
-    firsts = materialize(firsts.select("root", F.struct("first", F.col(mark).alias("mark")).alias("one")))
+    firsts = found.join(one.select(mark, "doc_id"), mark)
+    firsts = materialize(firsts.select("root", F.struct(F.isnull("doc_id"), "doc_id", F.col(mark).alias("mark")).alias("one")))
     leaders = firsts.groupBy("root").agg(F.min("one").alias("leader"))
-    gone = firsts.join(leaders, "root").where("one.mark <> leader.mark").select(F.col("one.mark").alias(mark))
-    order = F.struct(F.isnull("doc_id"), "doc_id", "text", F.xxhash64(*columns))
-    kept = marked.join(gone, mark, "left_anti").groupBy(mark).agg(F.min_by(F.struct(*columns), order).alias("row"))
-    return kept.select("row.*")
+    gone = materialize(firsts.join(leaders, "root").where("one.mark <> leader.mark").select(F.col("one.mark").alias(mark)))
+    forget(links, firsts)
+    return one.join(gone, mark, "left_anti").select(*[c for c in columns if not c.startswith("`__tw_")])

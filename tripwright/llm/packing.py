@@ -9,6 +9,7 @@ Pieces then take the planned places by their rank among the pieces of their leng
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,13 +22,29 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.bpe import load_ranks
-from tripwright.llm.common import gapless_index, materialize
+from tripwright.llm.common import gapless_index, hash_buckets, materialize, small_batches
 
 
 @lru_cache(maxsize=2)
-def _encoding(ranks_path: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Encoding:
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(ranks_path), special_tokens=dict(special))
+def _encoding(vocabulary_path: str) -> tiktoken.Encoding:
+    """The byte-level BPE of a ``tokenizers`` file: its vocabulary as ranks and its added tokens, encoded by tiktoken.
+
+    Ids of a vocabulary that was trained by merges ascend in the order of the merges,
+    so they are the ranks.
+    """
+    with open(vocabulary_path, encoding="utf-8") as file:
+        found = json.load(file)
+    added = {x["content"]: x["id"] for x in found["added_tokens"]}
+    byte_of = {c: b for b, c in bytes_to_characters().items()}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in found["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def bytes_to_characters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself where it is printable, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 def cut(total: int, limit: int) -> list[tuple[int, int]]:
@@ -36,12 +53,11 @@ def cut(total: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, limit) for at in range(first, total, limit)]
 
 
-def tokenized(docs: DataFrame, ranks_path: str, limit: int, end: int, special: dict[str, int], ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary_path: str, limit: int, end: int, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and the ids, if asked for) of each document's pieces."""
-    names = tuple(sorted(special.items()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(ranks_path, names)
+        encoding = _encoding(vocabulary_path)
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"].array, frame["text"].array):
@@ -53,7 +69,7 @@ def tokenized(docs: DataFrame, ranks_path: str, limit: int, end: int, special: d
 
     # As text, so that pandas does not turn ids beside a null into floats.
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return small_batches(docs).select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
@@ -113,7 +129,7 @@ def places(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(pieces: DataFrame, limit: int, bucket: Column, order: list[Column], buckets: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, limit: int, bucket: Column, order: list[Column]) -> DataFrame:
     """Add sequence_id and offset to ``pieces``, which has a ``length`` of 1 to ``limit`` on each row.
 
     ``pieces`` is read more than once and must be materialized.  The planned places
@@ -125,20 +141,20 @@ def pack(pieces: DataFrame, limit: int, bucket: Column, order: list[Column], buc
     # A place's ranks are cut at even strides, so that the join is by equality and a hot length is spread.
     stride = 1 << 16
     where = where.withColumn("step", F.explode(F.sequence(F.floor(F.col("low") / stride), F.floor((F.col("high") - 1) / stride))))
-    ranked = gapless_index(pieces, ["length"], order, F.pmod(F.xxhash64(bucket), F.lit(buckets)), "_rank")
+    ranked = gapless_index(pieces, ["length"], order, hash_buckets(pieces, bucket), "_rank")
     ranked = ranked.withColumn("step", F.floor(F.col("_rank") / stride))
     out = ranked.join(where, ["length", "step"]).where("_rank >= low AND _rank < high")
     nth = F.col("_rank") - F.col("low")
     return out.withColumn("sequence_id", F.col("first") + F.floor(nth / F.col("per"))).withColumn("offset", F.col("base") + F.pmod(nth, F.col("per")) * F.col("length")).drop("_rank", "step", "low", "high", "per", "first", "base")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, limit: int = 1024, end: int = 2, special: dict[str, int] | None = None, ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary_path: str, limit: int = 1024, end: int = 2, ids: bool = False) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
-    A document is its tokens and the ``end`` id; a null or empty text is that id
+    ``vocabulary_path`` is a byte-level BPE in the ``tokenizers`` format.  A document is its tokens and the ``end`` id; a null or empty text is that id
     alone.  Only documents beyond ``limit`` are cut.  Every row of ``docs`` is packed,
     repeated rows and rows without a doc_id too.
     """
-    pieces = materialize(tokenized(docs, ranks_path, limit, end, {"<|endoftext|>": 50256} if special is None else special, ids))
+    pieces = materialize(tokenized(docs, vocabulary_path, limit, end, ids))
     packed = pack(pieces, limit, F.struct("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if ids else []))

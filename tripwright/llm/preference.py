@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import gapless_index, materialize
+from tripwright.llm.common import gapless_index, hash_buckets, materialize
 
 _TURNS = "array<struct<role:string,text:string>>"
+FOLD = 256
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -30,10 +31,13 @@ def _render(turns: str) -> str:
 
 
 def _mask(turns: str) -> str:
-    """start:end, in code points of the completion, of what is trained on: assistants' texts."""
-    sized = f"transform({turns}, x -> struct(x.role AS role, length(x.role) + length(x.text) + 6 AS n))"
-    spans = f"""aggregate({sized}, struct(0 AS at, CAST(array() AS array<string>) AS out),
-        (a, x) -> struct(a.at + x.n AS at, CASE WHEN x.role = 'assistant' THEN concat(a.out, array(concat(a.at + length(x.role) + 5, ':', a.at + x.n - 1))) ELSE a.out END AS out), a -> a.out)"""
+    """start:end, in code points of the completion, of what is trained on: assistants' texts.
+
+    Folded by FOLD turns, so that no long array is appended to.
+    """
+    own = f"CASE WHEN x.role = 'assistant' THEN array(concat(b.at + length(x.role) + 5, ':', b.at + length(x.role) + length(x.text) + 5)) ELSE CAST(array() AS array<string>) END"
+    part = f"aggregate(slice({turns}, c * {FOLD} + 1, {FOLD}), struct(a.at AS at, CAST(array() AS array<string>) AS part), (b, x) -> struct(b.at + length(x.role) + length(x.text) + 6 AS at, concat(b.part, {own}) AS part), b -> struct(b.at AS at, concat(a.out, array(b.part)) AS out))"
+    spans = f"aggregate(sequence(0, (greatest(size({turns}), 1) - 1) DIV {FOLD}), struct(0 AS at, CAST(array() AS array<array<string>>) AS out), (a, c) -> {part}, a -> flatten(a.out))"
     return f"array_join({spans}, ',')"
 
 
@@ -58,35 +62,56 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: Places of the assistant's turns in ``turns``.
+_SPOKEN = "filter(transform(turns, (x, i) -> CASE WHEN x.role = 'assistant' THEN i ELSE -1 END), i -> i >= 0)"
+
+
 def pair_up(turns: DataFrame) -> DataFrame:
-    """chosen_id, rejected_id, kind, chosen, rejected: every conversation in one pair.
-
-    Conversations with the same first turn are paired, two by two in the order of
-    (conv_id mod 64, conv_id); the one in which assistants wrote more, or else of the
-    smaller conv_id, is chosen (kind ``shared``).  One without a partner is chosen
-    against itself with its last assistant turn put back to the one before it (kind
-    ``swapped``), or, with fewer than two assistant turns, against nothing (kind
-    ``single``).  Partners meet by rank, so no task holds all of one first turn.
+    """chosen_id, rejected_id, kind, chosen, rejected: every conversation in a pair.
+
+    Conversations with the same first turn are paired two by two; the one in which
+    assistants wrote more, or else of the smaller conv_id, is chosen (kind
+    ``shared``).  Each other one is chosen against itself with its last answer put back to
+    the answer before it (``swapped``); with one answer only, to the last answer of
+    the next conversation that is like it in the roles of its turns (``borrowed``); and
+    if none is, against what precedes the answer (``single``, an empty rejected
+    completion, as for conversations without any answer).  Partners meet by rank, so
+    no task holds all of one first turn or of one sequence of roles.
     """
     talks = conversations(turns).withColumn("first", F.unhex(F.sha2(F.expr("to_json(turns[0])"), 256)))
     talks = materialize(talks.withColumn("said", F.expr("aggregate(turns, CAST(0 AS BIGINT), (a, x) -> a + CASE WHEN x.role = 'assistant' THEN length(x.text) ELSE 0 END)")))
-    ranked = gapless_index(talks.select("conv_id", "first"), ["first"], [F.col("conv_id")], F.pmod("conv_id", F.lit(64)), "nth")
+    ranked = gapless_index(talks.select("conv_id", "first"), ["first"], [F.col("conv_id")], hash_buckets(talks, "conv_id"), "nth")
     ranked = ranked.select("conv_id", F.floor(F.col("nth") / 2).alias("pair"), F.pmod("nth", F.lit(2)).alias("side"))
     talks = talks.join(ranked, "conv_id")
     a, b = (talks.where(f"side = {k}").select("first", "pair", F.struct("conv_id", "turns", "said").alias(f"s{k}")) for k in (0, 1))
-    both = a.join(b, ["first", "pair"], "left")
-    swap = F.expr("s1 IS NOT NULL AND (s1.said > s0.said OR (s1.said = s0.said AND s1.conv_id < s0.conv_id))")
-    both = both.select(F.when(swap, F.col("s1")).otherwise(F.col("s0")).alias("c"), F.when(swap, F.col("s0")).otherwise(F.col("s1")).alias("r"))
-    spoken = "filter(transform(c.turns, (x, i) -> CASE WHEN x.role = 'assistant' THEN i ELSE -1 END), i -> i >= 0)"
-    both = both.withColumn("at", F.expr(spoken))
-    swapped = "transform(c.turns, (x, i) -> CASE WHEN i = element_at(at, -1) THEN c.turns[element_at(at, -2)] ELSE x END)"
-    return both.select(
-        F.col("c.conv_id").alias("chosen_id"), F.col("r.conv_id").alias("rejected_id"),
-        F.expr("CASE WHEN r IS NOT NULL THEN 'shared' WHEN size(at) > 1 THEN 'swapped' ELSE 'single' END").alias("kind"),
-        F.col("c.turns").alias("chosen"), F.expr(f"CASE WHEN r IS NOT NULL THEN r.turns WHEN size(at) > 1 THEN {swapped} END").alias("rejected"),
+    both = materialize(a.join(b, ["first", "pair"], "left"))
+    swap = F.expr("s1.said > s0.said OR (s1.said = s0.said AND s1.conv_id < s0.conv_id)")
+    two = both.where("s1 IS NOT NULL").select(F.when(swap, F.col("s1")).otherwise(F.col("s0")).alias("c"), F.when(swap, F.col("s0")).otherwise(F.col("s1")).alias("r"))
+    shared = two.select(F.col("c.conv_id").alias("chosen_id"), F.col("r.conv_id").alias("rejected_id"), F.lit("shared").alias("kind"), F.col("c.turns").alias("chosen"), F.col("r.turns").alias("rejected"))
+
+    alone = both.where("s1 IS NULL").select("s0.conv_id", "s0.turns").withColumn("at", F.expr(_SPOKEN))
+    own = alone.where("size(at) <> 1")
+    before = "slice(turns, 1, CASE WHEN size(at) = 0 THEN size(turns) ELSE element_at(at, -1) END)"
+    put_back = "CASE WHEN size(at) > 1 THEN transform(turns, (x, i) -> CASE WHEN i = element_at(at, -1) THEN turns[element_at(at, -2)] ELSE x END) ELSE " + before + " END"
+    swapped = own.select(F.col("conv_id").alias("chosen_id"), F.lit(None).cast("long").alias("rejected_id"), F.expr("CASE WHEN size(at) > 1 THEN 'swapped' ELSE 'single' END").alias("kind"), F.col("turns").alias("chosen"), F.expr(put_back).alias("rejected"))
+
+    few = materialize(alone.where("size(at) = 1").withColumn("roles", F.md5(F.expr("to_json(transform(turns, x -> x.role))"))))
+    few = gapless_index(few, ["roles"], [F.col("conv_id")], hash_buckets(few, "conv_id"), "nth")
+    sizes = few.groupBy("roles").agg(F.count("*").alias("many"))
+    next_ = few.select("roles", F.col("nth").alias("next"), F.col("conv_id").alias("rejected_id"), F.expr("turns[element_at(at, -1)]").alias("answer"))
+    met = few.join(sizes, "roles").withColumn("next", F.pmod(F.col("nth") + 1, "many")).join(next_, ["roles", "next"])
+    lone = F.col("many") == 1
+    borrowed = met.select(
+        F.col("conv_id").alias("chosen_id"), F.when(~lone, F.col("rejected_id")).alias("rejected_id"), F.when(lone, "single").otherwise("borrowed").alias("kind"), F.col("turns").alias("chosen"),
+        F.when(lone, F.expr(before)).otherwise(F.expr("transform(turns, (x, i) -> CASE WHEN i = element_at(at, -1) THEN answer ELSE x END)")).alias("rejected"),
     )
+    return shared.unionByName(swapped).unionByName(borrowed)
 
 
 def format_preferences(turns: DataFrame) -> DataFrame:
-    """The formatted pairs of a table of turns: one row a pair, each conversation in one."""
+    """The formatted pairs of a table of turns: one row a pair, each conversation chosen or rejected in one.
+
+    Only conv_id, turn, role and text are read, whatever other columns there are.  A
+    conversation that only lent an answer is chosen in a pair of its own.
+    """
     return format_pairs(pair_up(turns))

@@ -2,10 +2,10 @@
 
 A partial partition is a vector of subset sizes.  The two with the largest spread
 are combined in opposite order, again and again, until one is left.  Groups are
-differenced in chunks.  Half of a chunk makes a few subsets, half of the rest as many
+differenced in chunks, by Spark tasks.  Half of a chunk makes a few subsets, half of the rest as many
 smaller ones, and so on; the subsets and some single groups, of many sizes so that the
-last step can even out, are the items of the next level, until few enough are left for one last
-differencing into the shards.
+last step can even out, are the items of the next level.  There is at least one level,
+and more until LAST items or fewer are left for one last differencing into the shards.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import gapless_index, materialize
+from tripwright.llm.common import gapless_index, hash_buckets, join_by_key, materialize
 
-CHUNK, BANDS, SUBSETS, SINGLES, LAST = 4096, 6, 12, 48, 20_000
+CHUNK, BANDS, SUBSETS, SINGLES, LAST = 4096, 6, 12, 48, 4096
 
 
 def difference(sizes: np.ndarray, parts: int) -> np.ndarray:
@@ -55,46 +55,52 @@ def difference(sizes: np.ndarray, parts: int) -> np.ndarray:
     return np.array([labels[k][0] for k in range(n)])
 
 
-def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Items of a partition to the items of the next level, in chunks of CHUNK."""
-    held: list[pd.DataFrame] = []
-    count = 0
-
-    def done() -> pd.DataFrame:
-        frame = pd.concat(held, ignore_index=True).sort_values(["size", "item"], ignore_index=True)
-        single = np.arange(len(frame)) % max(8, len(frame) // SINGLES) == 0
-        first = frame["item"].iloc[0].hex() if len(frame) else ""
-        names = np.empty(len(frame), object)
-        names[single] = [f"{x.hex()}.s" for x in frame["item"][single]]
-        rest = np.flatnonzero(~single)
-        turn = np.arange(1, len(rest) + 1)
-        band = np.minimum(np.bitwise_count((turn & -turn) - 1), BANDS - 1)  # how often 2 divides the turn: half of them never
-        for b in range(BANDS):
-            own = rest[band == b]
-            names[own] = [f"{first}.{b}.{k}" for k in difference(frame["size"].to_numpy(np.int64)[own], SUBSETS)]
-        return pd.DataFrame({"item": frame["item"], "parent": [x.encode() for x in names], "size": frame["size"]})
-
-    for frame in frames:
-        for at in range(0, len(frame), CHUNK):
-            held.append(frame.iloc[at : at + CHUNK])
-            count += len(held[-1])
-            if count >= CHUNK:
-                yield done()
-                held, count = [], 0
-    if count:
-        yield done()
+def _chunk(singles: int):
+    """Items of a partition to the items of the next level, in chunks of CHUNK, about ``singles`` of which stay single."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        count = 0
+        for frame in frames:
+            for at in range(0, len(frame), CHUNK):
+                held.append(frame.iloc[at : at + CHUNK])
+                count += len(held[-1])
+                if count >= CHUNK:
+                    yield _merged(held, singles)
+                    held, count = [], 0
+        if count:
+            yield _merged(held, singles)
+
+    return run
+
+
+def _merged(held: list[pd.DataFrame], singles: int) -> pd.DataFrame:
+    frame = pd.concat(held, ignore_index=True).sort_values(["size", "item"], ignore_index=True)
+    single = np.arange(len(frame)) % max(2, len(frame) // singles) == 0
+    first = frame["item"].iloc[0].hex()
+    names = np.empty(len(frame), object)
+    names[single] = [f"{x.hex()}.s" for x in frame["item"][single]]
+    rest = np.flatnonzero(~single)
+    turn = np.arange(1, len(rest) + 1)
+    band = np.minimum(np.bitwise_count((turn & -turn) - 1), BANDS - 1)  # how often 2 divides the turn: half of them never
+    for b in range(BANDS):
+        own = rest[band == b]
+        names[own] = [f"{first}.{b}.{k}" for k in difference(frame["size"].to_numpy(np.int64)[own], SUBSETS)]
+    return pd.DataFrame({"item": frame["item"], "parent": [x.encode() for x in names], "size": frame["size"]})
 
 
 def assign(groups: DataFrame, shards: int) -> DataFrame:
     """``groups(item binary, size long)``, distinct items, to ``(item, shard)``.
 
-    What comes to the driver is bounded: each level leaves at most one item in 32,
-    and the last has at most LAST.
+    What comes to the driver is bounded by LAST.  A level leaves about one item in 34,
+    or, of the few items of a small table, up to one in two.
     """
     levels, now = [], groups
-    while (n := now.count()) > LAST:
+    while (n := now.count()) > LAST or not levels:
         parts = max(1, -(-n // (4 * CHUNK)))
-        level = materialize(now.repartition(parts, "item").sortWithinPartitions("item").mapInPandas(_chunk, "item binary, parent binary, size long"))
+        # The singles of all chunks are about LAST / 2 at least, however few chunks there are.
+        singles = max(SINGLES, LAST // 2 // max(1, -(-n // CHUNK)))
+        level = materialize(now.repartition(parts, "item").sortWithinPartitions("item").mapInPandas(_chunk(singles), "item binary, parent binary, size long"))
         levels.append(level)
         now = level.groupBy(F.col("parent").alias("item")).agg(F.sum("size").alias("size"))
     last = now.orderBy("item").toPandas()
@@ -105,7 +111,7 @@ def assign(groups: DataFrame, shards: int) -> DataFrame:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, buckets: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Even bytes for each shard: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Rows of equal texts, null ones among themselves, are one group and go to one
@@ -114,6 +120,8 @@ def shard(docs: DataFrame, shards: int = 8, buckets: int = 64) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.when(F.col("text").isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.sha2(body, 256))).alias("item"))
     rows = materialize(rows)
-    placed = materialize(rows.join(assign(rows.groupBy("item").agg(F.sum("size").alias("size")), shards), "item").drop("item"))
-    out = gapless_index(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)), "slot")
+    groups = materialize(rows.groupBy("item").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    found = materialize(assign(groups.select("item", "size"), shards).join(groups.select("item", "n"), "item"))
+    placed = materialize(join_by_key(rows, found, "item", "n").drop("item"))
+    out = gapless_index(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], hash_buckets(placed, "doc_id", "text_crc32"), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -238,5 +238,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A doc_id may stand on several rows; each row counts with its own text.
     """
-    marked = materialize(small_batches(docs).withColumn("__tw_fp", _fingerprints("text")))
-    return keep_leaders(marked, links(marked.select(F.col("__tw_fp").alias("fp")).distinct()), "__tw_fp")
+    marked = small_batches(docs).withColumn("__tw_fp", _fingerprints("text"))
+    return keep_leaders(marked, "__tw_fp", lambda one: links(one.select(F.col("__tw_fp").alias("fp"))))
