@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripwright.functions.codes import TOURISM_CORE, VISIT_KIND, in_domain
+from tripwright.operators.ranks import by_prefix, rank_in_buckets
 
 
 def hash_split(keys: DataFrame, unit: str, seed: str, fraction: float = 0.2) -> DataFrame:
     """region, unit, part: the first of the digest order in each region are validation, at least one and not all.
 
-    Ranks are by window over distinct keys of a region, not over their rows.
+    Ranks are over distinct keys, in buckets of the digest.
     """
     distinct = keys.select("region", unit).distinct().withColumn("_h", F.sha2(F.concat_ws("\0", F.lit(seed), unit), 256))
-    n = F.count("*").over(Window.partitionBy("region"))
-    cut = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * fraction, 0).cast("long")))
-    rank = F.row_number().over(Window.partitionBy("region").orderBy("_h", unit))
-    return distinct.withColumn("_n", cut).withColumn("_r", rank).select("region", unit, F.when(F.col("_r") <= F.col("_n"), "inner-validation").otherwise("inner-train").alias("part"))
+    sizes = distinct.groupBy("region").agg(F.count("*").alias("_n"))
+    cut = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * fraction, 0).cast("long")))
+    ranked = rank_in_buckets(distinct, ["region"], by_prefix("_h"), [F.col("_h"), F.col(unit)], "_r").join(sizes.select("region", cut.alias("_cut")), "region")
+    return ranked.select("region", unit, F.when(F.col("_r") <= F.col("_cut"), "inner-validation").otherwise("inner-train").alias("part"))
 
 
 def disagreement(trips: DataFrame, seed: str) -> DataFrame:

@@ -228,9 +228,11 @@ def _near_rows(entity: str) -> str:
     return f"SELECT region, {entity}, other, common, round(cosine, 9) AS cosine, CAST(rank AS INT) AS rank FROM near"
 
 
-CF_HITS = f"""asked AS (SELECT DISTINCT region, traveler FROM seen WHERE split = 'VL'),
-  ranked AS (SELECT region, traveler, poi, row_number() OVER (PARTITION BY region, traveler ORDER BY round(score, 12) DESC, {ITEM_TIE}) AS rank FROM scores JOIN asked USING (region, traveler) WHERE score > 0),
-  hits AS (SELECT DISTINCT s.region, s.trip AS query, s.poi, rank FROM seen s JOIN ranked USING (region, traveler, poi) WHERE s.split = 'VL' AND rank <= 20)"""
+LISTS = f"""asked AS (SELECT DISTINCT region, traveler FROM seen WHERE split = 'VL' AND (region, traveler) IN (SELECT (region, traveler) FROM scores WHERE score > 0)),
+  lists AS (SELECT a.region, a.traveler, u.poi, row_number() OVER (PARTITION BY a.region, a.traveler ORDER BY round(coalesce(score, 0), 12) DESC, u.tie) AS rank
+    FROM asked a JOIN (SELECT region, poi, {ITEM_TIE} AS tie FROM (SELECT DISTINCT region, poi FROM seen WHERE split = 'TL')) u ON u.region = a.region
+    LEFT JOIN scores s ON s.region = a.region AND s.traveler = a.traveler AND s.poi = u.poi QUALIFY rank <= 20)"""
+CF_HITS = f"""{LISTS}, hits AS (SELECT DISTINCT s.region, s.trip AS query, s.poi, rank FROM seen s JOIN lists USING (region, traveler, poi) WHERE s.split = 'VL')"""
 USER_SCORES = "scores AS (SELECT n.region, n.traveler, h.poi, sum(cosine) AS score FROM near n JOIN hist h ON n.region = h.region AND n.other = h.traveler GROUP BY ALL)"
 ITEM_SCORES = "scores AS (SELECT h.region, h.traveler, n.other AS poi, sum(cosine) AS score FROM hist h JOIN near n ON h.region = n.region AND h.poi = n.poi GROUP BY ALL)"
 
@@ -495,11 +497,19 @@ def bigram_retrieval(spark: SparkSession, d: str) -> DataFrame:
 VL = "rel AS (SELECT DISTINCT region, trip AS query, poi FROM seen WHERE split = 'VL'), cat AS (SELECT DISTINCT region, poi FROM seen WHERE split = 'TL')"
 
 
-@query(f"""{M}, {VL}, ranked AS (SELECT region, poi, row_number() OVER (PARTITION BY region ORDER BY sha256(encode('{SEED}') || unhex('00') || encode(poi)), poi) - 1 AS place, count(*) OVER (PARTITION BY region) AS size FROM cat),
-  w AS (SELECT region, query, count(*) AS n, any_value(size) AS size FROM rel JOIN (SELECT DISTINCT region, size FROM ranked) USING (region) GROUP BY ALL),
-  s AS (SELECT *, CAST(CAST('0x' || substr(sha256(encode('{SEED}') || unhex('00') || encode(query)), 1, 12) AS BIGINT) AS BIGINT) % size AS start FROM w),
-  st AS (SELECT s.*, unnest(range(0, least(size, n * 3))) AS step FROM s), dr AS (SELECT st.region, st.query, n, step, poi FROM st JOIN ranked r ON r.region = st.region AND r.place = (start + step) % st.size)
-  SELECT region, query, poi FROM (SELECT d.*, row_number() OVER (PARTITION BY region, query ORDER BY step) AS k FROM dr d WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.region = d.region AND rel.query = d.query AND rel.poi = d.poi)) WHERE k <= n * 2""")
+def _digits(*parts: str) -> str:
+    return "CAST(CAST('0x' || substr(sha256(" + " || unhex('00') || ".join(f"encode({p})" for p in parts) + "), 1, 12) AS BIGINT) AS BIGINT)"
+
+
+DRAWS = f"""places AS (SELECT region, poi, row_number() OVER (PARTITION BY region ORDER BY sha256(encode('{SEED}') || unhex('00') || encode(poi)), poi) - 1 AS place FROM cat),
+  size AS (SELECT region, count(*) AS size FROM cat GROUP BY ALL), prime AS (SELECT region, size, (SELECT min(v) FROM range(size, size + 400) p(v) WHERE v > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 2000) q(k) WHERE k * k <= v AND v % k = 0)) AS prime FROM size),
+  w AS (SELECT region, query, count(*) AS n FROM rel GROUP BY ALL),
+  st AS (SELECT w.*, prime, unnest(range(0, least(prime, n * 3 + prime - size))) AS step, {_digits(f"'{SEED}'", 'query')} % prime AS start, 1 + {_digits(f"'{SEED}'", "'stride'", 'query')} % greatest(prime - 1, 1) AS stride FROM w JOIN prime USING (region)),
+  draws AS (SELECT st.region, st.query, n, step, poi, row_number() OVER (PARTITION BY st.region, st.query ORDER BY step) AS k FROM st JOIN places p ON p.region = st.region AND p.place = (start + step * stride) % st.prime
+    WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.region = st.region AND rel.query = st.query AND rel.poi = p.poi))"""
+
+
+@query(f"{M}, {VL}, {DRAWS} SELECT region, query, poi FROM draws WHERE k <= n * 2")
 def sample_uniform(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     return ranking.sample_unobserved(e.where("split = 'VL'").select("region", F.col("trip").alias("query"), "poi").distinct(), e.where("split = 'TL'").select("region", "poi").distinct(), 2, SEED)
