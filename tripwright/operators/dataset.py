@@ -65,10 +65,13 @@ def item_features(master: DataFrame, pairs: DataFrame, run: str, classes: list[s
 
 
 def broken(context: DataFrame, items: DataFrame, facts: DataFrame) -> DataFrame:
-    """check, n: interactions without a trip or an item, and repeated keys; all must be 0 before the tables are written."""
+    """check, n: interactions without a trip or an item or unlike their trip, repeated keys and odd values; all must be 0 before the tables are written."""
     lost = lambda dim, key: facts.join(dim.select(key), key, "left_anti").agg(F.count("*").alias("n"))
     twice = lambda dim, *keys: dim.groupBy(*keys).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("n"))
     checks = {"trip_missing": lost(context, "trip_key"), "item_missing": lost(items, "item_key"), "trip_repeated": twice(context, "trip_key"), "item_repeated": twice(items, "item_key"), "interaction_repeated": twice(facts, "trip_key", "item_key")}
+    unlike = facts.join(context.select("trip_key", F.col("region").alias("_r"), F.col("split").alias("_s")), "trip_key").where("region <> _r OR split <> _s")
+    count = lambda rows: rows.agg(F.count("*").alias("n"))
+    checks |= {"trip_disagrees": count(unlike), "not_positive": count(facts.where("NOT observed_positive <=> 1")), "no_visit": count(facts.where("NOT coalesce(repeat_visit_count >= 1, false)"))}
     out = None
     for name, frame in checks.items():
         row = frame.select(F.lit(name).alias("check"), "n")

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by topic, each registered with its oracle."""
 
-from tripwright.plans import dataset, evaluation, places, queries, studies
+from tripwright.plans import dataset, evaluation, places, queries, studies, training
 from tripwright.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "dataset", "evaluation", "places", "queries", "studies"]
+__all__ = ["ORACLE_SQL", "QUERIES", "dataset", "evaluation", "places", "queries", "studies", "training"]

@@ -56,11 +56,6 @@ def dataset_interactions(spark: SparkSession, d: str) -> DataFrame:
     return dataset.interactions(_pairs(spark, d), RUN)
 
 
-@query("SELECT unnest(['trip_missing', 'item_missing', 'trip_repeated', 'item_repeated', 'interaction_repeated']) AS \"check\", 0::BIGINT AS n")
-def dataset_integrity(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.broken(_context(spark, d), _items(spark, d), dataset.interactions(_pairs(spark, d), RUN))
-
-
 @query(f"""{PAIRS}, b AS (SELECT region, split, count(*) AS trips, count(DISTINCT traveler) AS travelers FROM trips GROUP BY ALL),
   v AS (SELECT region, split, count(*) AS visits, count_if(poi <> '') AS visits_with_place, count(DISTINCT v.trip) AS trips_with_visits FROM visits v JOIN trips t ON v.trip = t.trip GROUP BY ALL),
   g AS (SELECT region, split, count(*) AS positives, count_if(core) AS core_positives, count(DISTINCT trip) AS trips_with_positive, count(DISTINCT CASE WHEN core THEN trip END) AS trips_with_core, count(DISTINCT poi) AS items FROM pairs GROUP BY ALL),
