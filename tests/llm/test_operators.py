@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -455,6 +456,32 @@ def test_sharding_law(spark, odd, empty):
     assert sharding.shard(odd).count() == len(ODD) and sharding.shard(empty).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=9), st.integers(2, 3))
+def test_differencing_against_all_partitions(sizes, parts):
+    """Brute force: the spread is never below the best one, and for equal sizes it is the best one."""
+    array = np.array(sizes, np.int64)
+    spread = lambda labels: int(np.ptp(np.bincount(labels, weights=array, minlength=parts)))
+    got = sharding.even_out(array, sharding.difference(array, parts), parts)
+    best = min((spread(np.array(x, np.int64)) for x in product(range(parts), repeat=len(sizes))), default=0)
+    assert len(got) == len(sizes) and spread(got) >= best
+    assert spread(got) <= spread(sharding.difference(array, parts)) <= max(sizes, default=0)
+    if len(set(sizes)) < 2:
+        assert spread(got) == best
+
+
+def test_sharding_differences_in_tasks_at_every_size(spark):
+    """Even a small table goes through a level of chunks, and little comes to the driver."""
+    groups = spark.createDataFrame([(bytes([i // 256, i % 256]), 10 + i * 7 % 311) for i in range(900)], "item binary, size long")
+    seen, kept = [], sharding.difference
+    sharding.difference = lambda sizes, parts: seen.append(len(sizes)) or kept(sizes, parts)
+    try:
+        out = sharding.assign(groups, 8)
+    finally:
+        sharding.difference = kept
+    assert len(seen) == 1 and seen[0] < 900 and out.count() == 900
+
+
 def test_sharding_in_levels_is_as_even(spark, monkeypatch):
     monkeypatch.setattr(sharding, "LAST", 500)
     rng = random.Random(4)

@@ -55,6 +55,27 @@ def difference(sizes: np.ndarray, parts: int) -> np.ndarray:
     return np.array([labels[k][0] for k in range(n)])
 
 
+def even_out(sizes: np.ndarray, labels: np.ndarray, parts: int, turns: int = 64) -> np.ndarray:
+    """``labels`` after exchanges of one item for another between the largest and the smallest subset, while one narrows their gap."""
+    labels = labels.copy()
+    for _ in range(turns if len(sizes) else 0):
+        totals = np.bincount(labels, weights=sizes, minlength=parts)
+        high, low = int(totals.argmax()), int(totals.argmin())
+        gap = totals[high] - totals[low]
+        ours, theirs = np.flatnonzero(labels == high), np.flatnonzero(labels == low)
+        if gap < 2 or not len(theirs):
+            break
+        theirs = theirs[np.argsort(sizes[theirs], kind="stable")]
+        above = np.searchsorted(sizes[theirs], sizes[ours] - gap / 2)
+        ours, at = np.tile(ours, 2), np.clip(np.concatenate([above, above - 1]), 0, len(theirs) - 1)  # the nearest on both sides
+        moved = sizes[ours] - sizes[theirs[at]]
+        best = int(np.abs(moved - gap / 2).argmin())
+        if not 0 < moved[best] < gap:
+            break
+        labels[ours[best]], labels[theirs[at[best]]] = low, high
+    return labels
+
+
 def _chunk(singles: int):
     """Items of a partition to the items of the next level, in chunks of CHUNK, about ``singles`` of which stay single."""
 
@@ -104,7 +125,8 @@ def assign(groups: DataFrame, shards: int) -> DataFrame:
         levels.append(level)
         now = level.groupBy(F.col("parent").alias("item")).agg(F.sum("size").alias("size"))
     last = now.orderBy("item").toPandas()
-    last["shard"] = difference(last["size"].to_numpy(np.int64), shards)
+    sizes = last["size"].to_numpy(np.int64)
+    last["shard"] = even_out(sizes, difference(sizes, shards), shards)
     out = groups.sparkSession.createDataFrame([(bytes(a), int(b)) for a, b in zip(last["item"], last["shard"])], "item binary, shard int")
     for level in reversed(levels):
         out = level.select("item", "parent").join(out.withColumnRenamed("item", "parent"), "parent").select("item", "shard")
