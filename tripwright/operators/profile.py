@@ -5,19 +5,34 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
 
 def columns(frame: DataFrame) -> DataFrame:
-    """column, rows, present, blank, distinct_values, min_length, max_length of every column, in one pass over long form."""
-    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in frame.columns]))
+    """column, rows, present, blank, distinct_values, non_finite, min_length, mean_length, max_length, least and greatest of every column, in one pass over long form.
+
+    ``least`` and ``greatest`` are of the finite numbers of numeric columns.
+    """
+    kinds = dict(frame.dtypes)
+    number = lambda c: F.col(c).cast("double") if kinds[c] in NUMBERS or kinds[c].startswith("decimal") else F.lit(None).cast("double")
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"), number(c).alias("x")) for c in frame.columns]))
+    odd = F.col("x").isNotNull() & (F.isnan("x") | (F.abs("x") == float("inf")))
     return frame.select(cells).groupBy("column").agg(
-        F.count("*").alias("rows"), F.count("v").alias("present"), F.count_if(F.btrim("v") == "").alias("blank"), F.count_distinct("v").alias("distinct_values"),
-        F.min(F.length("v")).cast("long").alias("min_length"), F.max(F.length("v")).cast("long").alias("max_length"),
+        F.count("*").alias("rows"), F.count("v").alias("present"), F.count_if(F.btrim("v") == "").alias("blank"), F.count_distinct("v").alias("distinct_values"), F.count_if(odd).alias("non_finite"),
+        F.min(F.length("v")).cast("long").alias("min_length"), F.round(F.avg(F.length("v")), 6).alias("mean_length"), F.max(F.length("v")).cast("long").alias("max_length"),
+        F.min(F.when(~odd, F.col("x"))).alias("least"), F.max(F.when(~odd, F.col("x"))).alias("greatest"),
     )
 
 
+def most_varied(frame: DataFrame, n: int = 8) -> list[str]:
+    """The ``n`` columns with the most distinct values, equal ones by name."""
+    one = frame.agg(*[F.count_distinct(c).alias(c) for c in frame.columns]).first().asDict()
+    return sorted(one, key=lambda c: (-one[c], c))[:n]
+
+
 def duplicates(frame: DataFrame) -> DataFrame:
     """How many rows repeat another: grouped by all columns, so that no task sees all rows."""
     return frame.groupBy(*frame.columns).agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("surplus"))
@@ -38,8 +53,18 @@ def containment(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     return out.agg(F.count("*").alias("distinct_values"), F.count_if(missing).alias("unmatched_values"), F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("unmatched_rows"))
 
 
-def months(frame: DataFrame, name: str) -> DataFrame:
-    return frame.groupBy(F.date_format(name, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+def month_of(column: Column, kind: str) -> Column:
+    """yyyy-MM of a ``date``, of a ``text`` that starts with a date in digits, or of an ``int`` of eight digits; null where it is none."""
+    if kind == "date":
+        return F.date_format(column, "yyyy-MM")
+    text = F.btrim(column) if kind == "text" else column.cast("string")
+    form = r"^(\d{4})[-./]?(\d{2})[-./]?\d{2}([ T]\d{1,2}:?\d{2}(:?\d{2}(\.\d+)?)?)?$" if kind == "text" else r"^(\d{4})(\d{2})\d{2}$"
+    found = F.concat_ws("-", F.regexp_extract(text, form, 1), F.regexp_extract(text, form, 2))
+    return F.when(found.rlike("^(19|20)[0-9]{2}-(0[1-9]|1[0-2])$"), found)
+
+
+def months(frame: DataFrame, name: str, kind: str = "date") -> DataFrame:
+    return frame.groupBy(month_of(F.col(name), kind).alias("month")).agg(F.count("*").alias("n"))
 
 
 def numeric(frame: DataFrame, names: list[str]) -> DataFrame:
@@ -81,6 +106,16 @@ def json_keys(frame: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("present"), F.count_if(F.col("v").isNull() | (F.col("v") == "")).alias("null_or_empty"))
 
 
+def json_types(frame: DataFrame, name: str) -> DataFrame:
+    """key, type, n, empty over JSON objects in a text column: object, array, string, number, boolean or null; an empty text, object or array is empty."""
+    values = frame.select(F.try_parse_json(name).alias("j")).lateralJoin(frame.sparkSession.tvf.variant_explode(F.col("j").outer())).select("key", "value")
+    schema, text = F.schema_of_variant("value"), F.to_json("value")
+    kind = (
+        F.when(schema == "VOID", "null").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").otherwise("number")
+    )
+    return values.where("key IS NOT NULL").groupBy("key", kind.alias("type")).agg(F.count("*").alias("n"), F.count_if(text.isin('""', "{}", "[]")).alias("empty"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

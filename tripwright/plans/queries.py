@@ -305,17 +305,25 @@ def degree_bands(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("region", bands.degree_band(F.col("n")).alias("band")).agg(F.count("*").alias("trips"))
 
 
-PROFILED = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+PROFILED = {"c_custkey": True, "c_name": False, "c_nationkey": True, "c_mktsegment": False, "c_acctbal": True}
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS present, count_if(trim({c}::VARCHAR) = '') AS blank, count(DISTINCT {c}) AS distinct_values, min(length({c}::VARCHAR)) AS min_length, max(length({c}::VARCHAR)) AS max_length FROM customer" for c in PROFILED))
+def _profiled(c: str, number: bool) -> str:
+    low, high = (f"CASE WHEN isfinite({c}::DOUBLE) THEN {c}::DOUBLE END",) * 2 if number else ("NULL::DOUBLE",) * 2
+    return f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS present, count_if(trim({c}::VARCHAR) = '') AS blank, count(DISTINCT {c}) AS distinct_values, {f"count_if(NOT isfinite({c}::DOUBLE))" if number else "0::BIGINT"} AS non_finite,
+  min(length({c}::VARCHAR)) AS min_length, round(avg(length({c}::VARCHAR)), 6) AS mean_length, max(length({c}::VARCHAR)) AS max_length, min({low}) AS least, max({high}) AS greatest FROM customer"""
+
+
+@query(" UNION ALL ".join(_profiled(c, n) for c, n in PROFILED.items()))
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
-    return profile.columns(mapping.table(spark, d, "customer").select(*PROFILED))
+    return profile.columns(mapping.table(spark, d, "customer"))
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT *, count(*) AS n FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 2) GROUP BY ALL)")
 def profile_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return profile.duplicates(mapping.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
+    """All columns of line items, of which the second lines stand twice."""
+    line = mapping.table(spark, d, "lineitem")
+    return profile.duplicates(line.union(line.where("l_linenumber = 2")))
 
 
 KEYED = ["l_orderkey", "l_partkey", "l_linenumber"]

@@ -83,23 +83,22 @@ def anomaly_classes(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("cause", codes.anomaly(F.col("value"), ["1", "3", "4", "5", "6", "7", "8"], listed=["1", "9", "11"], special=["9"], elsewhere=["12"]))
 
 
-SEGMENTS = "p AS (SELECT DISTINCT n_name AS unit, c_mktsegment AS v FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000)"
+SEGMENTS = "p AS (SELECT DISTINCT p_brand AS unit, p_size::VARCHAR AS v FROM part)"
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    rich = mapping.table(spark, d, "customer").where("c_acctbal > 5000")
-    return rich.join(mapping.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("unit"), "c_mktsegment")
+    return mapping.table(spark, d, "part").select(F.col("p_brand").alias("unit"), "p_size")
 
 
 @query(f"""WITH {SEGMENTS}, s AS (SELECT unit, string_agg(v, '|' ORDER BY v) AS signature FROM p GROUP BY ALL), g AS (SELECT signature, count(*) AS members FROM s GROUP BY ALL)
   SELECT unit, signature, members, CAST(row_ AS INT) AS "group" FROM s JOIN (SELECT *, row_number() OVER (ORDER BY members DESC, signature) AS row_ FROM g) USING (signature)""")
 def schema_groups(spark: SparkSession, d: str) -> DataFrame:
-    return profile.signatures(_segments(spark, d), "unit", "c_mktsegment")
+    return profile.signatures(_segments(spark, d), "unit", "p_size")
 
 
 @query(f"WITH {SEGMENTS} SELECT v AS value, count(*) AS n_units, count(*) = (SELECT count(DISTINCT unit) FROM p) AS everywhere FROM p GROUP BY ALL")
 def region_presence(spark: SparkSession, d: str) -> DataFrame:
-    return profile.presence(_segments(spark, d), "unit", "c_mktsegment")
+    return profile.presence(_segments(spark, d), "unit", "p_size")
 
 
 @query(f"""{M}, b AS (SELECT CAST(i AS VARCHAR) AS code FROM range(1, 31) t(i) WHERE i NOT BETWEEN 14 AND 20), s AS (SELECT kind AS code, count(*) AS rows FROM visits GROUP BY ALL)
