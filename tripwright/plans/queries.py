@@ -391,19 +391,26 @@ def _context(spark: SparkSession, d: str) -> DataFrame:
     return mapping.visits(spark, d).join(t, "trip")
 
 
-@query(f"""{LONG}, o AS (SELECT split, feature, target, fv, tv, count(*) AS o FROM long WHERE fv IS NOT NULL AND tv IS NOT NULL GROUP BY ALL),
+CRAMER = f"""{LONG}, o AS (SELECT split, feature, target, fv, tv, count(*) AS o FROM long WHERE fv IS NOT NULL AND tv IS NOT NULL GROUP BY ALL),
   r AS (SELECT split, feature, target, fv, sum(o) AS r FROM o GROUP BY ALL), c AS (SELECT split, feature, target, tv, sum(o) AS c FROM o GROUP BY ALL),
   m AS (SELECT r.split, r.feature, r.target, r, c, coalesce(o, 0) AS o FROM r JOIN c ON r.split = c.split AND r.feature = c.feature AND r.target = c.target LEFT JOIN o ON o.split = r.split AND o.feature = r.feature AND o.target = r.target AND o.fv = r.fv AND o.tv = c.tv),
   n AS (SELECT split, feature, target, CAST(sum(o) AS BIGINT) AS n, count(DISTINCT fv) AS rows, count(DISTINCT tv) AS cols FROM o GROUP BY ALL),
   x AS (SELECT m.split, m.feature, m.target, sum((o - r * c / n::DOUBLE) * (o - r * c / n::DOUBLE) / (r * c / n::DOUBLE)) AS chi FROM m JOIN n USING (split, feature, target) GROUP BY ALL)
-  SELECT split, feature, target, n, rows, cols, 'observed' AS status, round(sqrt(chi / (n * least(rows - 1, cols - 1))), 6) AS cramers_v FROM n JOIN x USING (split, feature, target)""")
+  SELECT split, feature, target, n, rows, cols, 'observed' AS status, round(sqrt(chi / (n * least(rows - 1, cols - 1))), 6) AS cramers_v FROM n JOIN x USING (split, feature, target)"""
+
+
+@query(CRAMER)
 def contingency_cramers_v(spark: SparkSession, d: str) -> DataFrame:
     return association.contingency(_context(spark, d), CONTEXT, PLACE, ["split"])
 
 
-@query()
+#: The upper tail of the chi-square distribution, by the series of the lower one.
+TAIL = "round((SELECT greatest(0, least(1, 1 - sum(exp((a + k) * ln(chi / 2) - chi / 2 - lgamma(a + k + 1))))) FROM range(0, 2000) t(k)), 6) AS p"
+
+
+@query(CRAMER.replace("cols, 'observed'", f"cols, {TAIL}, 'observed'").replace("FROM n JOIN x USING (split, feature, target)", "FROM (SELECT *, (rows - 1) * (cols - 1) / 2.0::DOUBLE AS a FROM n JOIN x USING (split, feature, target))"))
 def contingency_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return association.contingency(_context(spark, d), CONTEXT, PLACE, ["split"], p_value=True)
+    return association.contingency(_context(spark, d), CONTEXT, PLACE, ["split"], p_value=True).withColumn("p", F.round("p", 6))
 
 
 @query(f"""{M}, p AS (SELECT DISTINCT t.split, t.trip, segment, kind FROM visits v JOIN trips t ON v.trip = t.trip) SELECT split, segment, kind, count(*) AS trips FROM p GROUP BY ALL""")
