@@ -461,11 +461,20 @@ def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "id").select("id", F.round(geo.haversine(*map(F.col, ("lat", "lon", "lat2", "lon2"))), 3).alias("metres"), geo.in_korea(F.col("lat"), F.col("lon")).alias("inside"))
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS id, {COORD} FROM part), r AS (SELECT a.id AS l_id, b.id AS r_id, {_h('a', 'b')} AS h FROM p a JOIN p b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.02 AND abs(a.lon - b.lon) < 0.03)
-  SELECT l_id, r_id, round({HAV}, 3) AS metres FROM r WHERE {HAV} <= 900""")
+#: Points close enough together to have neighbours.
+DENSE = "37 + (p_partkey * 7919 % 3000) / 10000.0::DOUBLE AS lat, 127 + (p_partkey * 104729 % 3000) / 10000.0::DOUBLE AS lon"
+
+
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return mapping.table(spark, d, "part").select(k.alias("id"), F.col("p_type").alias("region"), (37 + (k * 7919 % 3000) / 10000.0).alias("lat"), (127 + (k * 104729 % 3000) / 10000.0).alias("lon"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, {DENSE} FROM part), r AS (SELECT a.id AS l_id, b.id AS r_id, {_h('a', 'b')} AS h FROM p a JOIN p b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.02 AND abs(a.lon - b.lon) < 0.03)
+  SELECT l_id, r_id, round({HAV}, 3) AS metres FROM r WHERE {HAV} <= 800""")
 def grid_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d)
-    pairs = geo.near(p.select(*[F.col(c).alias(f"l_{c}") for c in ("id", "lat", "lon")]), p.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "lat", "lon")]), 900)
+    p = _dense(spark, d)
+    pairs = geo.near(p.select(*[F.col(c).alias(f"l_{c}") for c in ("id", "lat", "lon")]), p.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "lat", "lon")]), 800)
     return pairs.where("l_id <> r_id").select("l_id", "r_id", F.round("metres", 3).alias("metres"))
 
 
