@@ -155,6 +155,12 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, limit: int = 1024, end
     alone.  Only documents beyond ``limit`` are cut.  Every row of ``docs`` is packed,
     repeated rows and rows without a doc_id too.
     """
-    pieces = materialize(tokenized(docs, vocabulary_path, limit, end, ids))
-    packed = pack(pieces, limit, F.struct("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if ids else []))
+    pieces = tokenized(docs, vocabulary_path, limit, end, ids)
+    if not ids:
+        packed = pack(materialize(pieces), limit, F.struct("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
+        return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    # Ids are many times wider than the rest; they stay out of the ranking and meet the places once.
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    narrow = pieces.select("_row", "doc_id", "piece", "length", "ids_crc32")
+    placed = pack(narrow, limit, F.struct("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("_row")]).select("_row", "sequence_id", "offset")
+    return pieces.join(placed, "_row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
