@@ -106,8 +106,11 @@ def train(docs: DataFrame, sample: int = 2000) -> Model:
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~_held_out("doc_id"))
     one = labelled.groupBy("doc_id").agg(F.min(F.struct("lang", F.xxhash64("text").alias("key"))).alias("one")).select("doc_id", "one.*")
     most = max(20, sample // max(1, one.select("lang").distinct().count()))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # limited before its shuffle
-    chosen = one.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+    # First within 64 parts of a language, then among what they leave, so that no task ranks a language.
+    chosen, order = one.withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))), [F.xxhash64("doc_id"), F.col("doc_id")]
+    for keys in (["lang", "_part"], ["lang"]):
+        chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_nth") <= most).drop("_nth")
+    chosen = chosen.drop("_part")
     picked = small_batches(docs).select("doc_id", "lang", "text", F.xxhash64("text").alias("key")).join(F.broadcast(chosen), ["doc_id", "lang", "key"])
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
