@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zipfile
+
 import pytest
 
 from tripwright.sources import readers, sinks
@@ -39,3 +41,73 @@ def test_sinks_do_not_overwrite(spark, tmp_path):
     sinks.write_report(frame, {"run": 1}, str(tmp_path / "r"))
     with pytest.raises(Exception, match="exists|EXISTS"):
         sinks.write_report(frame, {"run": 1}, str(tmp_path / "r"))
+
+
+def test_strict_width_shows_in_a_narrow_select(spark, tmp_path):
+    (path := tmp_path / "w.csv").write_text("id,name,x\n1,a,b\n2,c\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        readers.strict_csv(spark, str(path), ["id"]).select("id").collect()
+
+
+def test_marks_inference_and_roles(spark, tmp_path):
+    (path := tmp_path / "u.csv").write_bytes("ID,Straße\n1,ä\n".encode("utf-16"))
+    assert readers.encoding(spark, str(path)) == "UTF-16LE"
+    assert [tuple(r) for r in readers.loose_csv(spark, str(path), ["STRASSE"]).collect()] == [("ä",)]
+    (good := tmp_path / "g.csv").write_text("a,b\n1,x\n2,y\n")
+    frame, status = readers.inferred_csv(spark, str(good))
+    assert status == "inferred" and dict(frame.dtypes)["a"] == "int"
+    (bad := tmp_path / "b.csv").write_bytes(b"a,b\n1,\xff\xfe\xfd\n")
+    assert readers.inferred_csv(spark, str(bad)) == (None, "unsupported_encoding")
+    assert readers.text_csv(spark, str(good), ["b"]).columns == ["b"]
+    (more := tmp_path / "m.csv").write_text("b,c\nz,w\n")
+    assert sorted(map(tuple, readers.union_csv(spark, [str(good), str(more)]).select("b", "c").collect())) == [("x", None), ("y", None), ("z", "w")]
+    assert readers.role(["d/VISIT.csv", "d/visit_a.csv", "d/visits.csv"], "visit") == ["d/VISIT.csv", "d/visit_a.csv"]
+    seen = readers.observations(readers.text_csv(spark, str(good), ["a", "b"]), {"poi": "a", "name": "b"}, "west")
+    assert [r.region for r in seen.collect()] == ["west", "west"] and seen.columns == ["poi", "name", "region"]
+
+
+def test_json_policy_archive_and_cache(spark, tmp_path):
+    (tmp_path / "v.json").write_text('[{"a": 1}, {"a": 2, "b": "x"}]')
+    assert readers.json_view(spark, str(tmp_path / "v.json")).count() == 2
+    (tmp_path / "p.json").write_text('{"west": ["1", "2"], "east": ["3"]}')
+    codes, mark = readers.policy(spark, str(tmp_path / "p.json"))
+    assert codes.count() == 3 and len(mark) == 64
+    (tmp_path / "q.json").write_text('{"west": ["1"], "east": ["1"]}')
+    with pytest.raises(ValueError):
+        readers.policy(spark, str(tmp_path / "q.json"))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d/t.csv", "a\n1\n")
+    members = readers.archive_members(spark, str(tmp_path / "a.zip"))
+    assert members.select("name", "bytes").first() == ("d/t.csv", 4)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/t.csv").write_text("a\n1\n")
+    files = readers.inventory(spark, str(tmp_path / "in"))
+    assert files.select("class", "label").first() == ("tabular", "table_000001.csv")
+    assert readers.provenance(members, files.select("path", "sha256")).first().same
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("../x", "1")
+    with pytest.raises(ValueError):
+        readers.archive_members(spark, str(tmp_path / "b.zip"))
+    calls = spark.createDataFrame([(1,)], "a int")
+    assert readers.cached(calls, str(tmp_path / "c"), "k").count() == readers.cached(calls.union(calls), str(tmp_path / "c"), "k").count() == 1
+    assert readers.cached(calls.union(calls), str(tmp_path / "c"), "other").count() == 2
+    (tmp_path / "west.json").write_text('{"region": "west", "n": 1}')
+    assert readers.profiles(spark, {"west": str(tmp_path / "west.json")}).count() == 1
+    with pytest.raises(ValueError):
+        readers.profiles(spark, {"east": str(tmp_path / "west.json")})
+
+
+def test_manifests_hashes_and_reports(spark, tmp_path):
+    frame = spark.createDataFrame([("2", "b"), ("1", None)], "k string, v string")
+    assert sinks.content_hash(frame, "k") == sinks.content_hash(frame.orderBy("k").repartition(3), "k") != sinks.content_hash(frame.where("k = '1'"), "k")
+    assert sinks.manifest("run-1", {"a": 1}, {"rows": 2})["counts"] == {"rows": 2}
+    with pytest.raises(ValueError):
+        sinks.manifest("../x", {}, {})
+    assert sinks.markdown(frame, "T") == "## T\n\n| k | v |\n|-|-|\n| 1 |  |\n| 2 | b |\n"
+    sinks.write_profile({"a": frame, "b": frame}, str(tmp_path / "p"))
+    sinks.write_profile({"a": frame.limit(1)}, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p/a")).count() == 1 and spark.read.parquet(str(tmp_path / "p/b")).count() == 2
+    sinks.check_ignored("/x/private/run", ["private/"])
+    with pytest.raises(ValueError):
+        sinks.check_ignored("/x/run", ["private/"])
+    assert readers.normalized(spark.createDataFrame([(" a ", None)], "x string, y string"), ["x", "y", "z"]).first() == ("a", "", "")

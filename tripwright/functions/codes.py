@@ -37,8 +37,10 @@ def in_domain(c: Column, domain: Iterable[str]) -> Column:
 
 def parse_count(c: Column) -> Column:
     """A whole, non-negative number, written as an integer or an integral decimal; else null."""
-    x = clean(c).try_cast("double")
-    return F.when((x >= 0) & (x == F.floor(x)), x.cast("long"))
+    text = clean(c)
+    x = text.try_cast("double")
+    whole = F.when((x >= 0) & (x == F.floor(x)), x.try_cast("long"))
+    return F.when(text.rlike("^[+]?[0-9]+$"), text.try_cast("long")).otherwise(whole)
 
 
 def _lookup(values: dict[str, str], c: Column) -> Column:
