@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import difference
 from tripwright.functions import bands, codes, geo, temporal, text
-from tripwright.operators import association, contract, profile, recommend, split
+from tripwright.operators import association, contract, profile, publish, ranking, recommend, split, training
 from tripwright.functions.keys import ITEM_TIE_KEY, USER_TIE_KEY
 from tripwright.plans import ORACLE_SQL, QUERIES
 
@@ -47,26 +48,95 @@ def test_dates(spark):
 
 
 def test_districts(spark):
-    yes = [("1111000000", "11", "110"), ("4211000000", "51", "110"), ("29110", "12", "210"), ("46170", "12", "170"), ("36110", "36110", "36110"), ("36", "36110", "110"), ("41110", "41", "111"), ("41111", "41", "110"), ("45110", "52", "111"), ("48120", "48", "121")]
-    no = [("1111000000", "41", "110"), ("29110", "12", "110"), ("46110", "12", "210"), ("29", "12", ""), ("36110", "11", "110"), ("41110", "41", "131"), ("41111", "41", "135")]
+    """Codes agree with themselves in either province numbering, with their city for a ward, and with nothing else."""
+    yes = [("26350", "26", "350"), ("4282000000", "51", "820"), ("45790", "52", "790"), ("29155", "12", "270"), ("46900", "12", "860"), ("26", "26", ""), ("48121", "48", "120"), ("41280", "41", "285"), ("36110", "36110", "36110")]
+    no = [("26350", "27", "350"), ("26350", "26", "351"), ("42820", "52", "820"), ("29155", "12", "155"), ("46900", "12", "900"), ("41280", "41", "291"), ("26", "27", "")]
     frame = spark.createDataFrame([(*x, True) for x in yes] + [(*x, False) for x in no], "c string, r string, g string, want boolean")
-    assert frame.where(codes.sgg_compatible(F.col("c"), F.col("r"), F.col("g")) != F.col("want")).count() == 0
+    assert [tuple(r) for r in frame.where(codes.sgg_compatible(F.col("c"), F.col("r"), F.col("g")) != F.col("want")).collect()] == []
 
 
 def test_distance(spark):
-    metres = one(spark, geo.haversine(*map(F.lit, (37.5663, 126.9779, 37.5759, 126.9768))))
-    assert 900 < metres < 1200 and one(spark, geo.haversine(*map(F.lit, (1.0, 2.0, 1.0, 2.0)))) == 0
-    assert [one(spark, geo.in_korea(F.lit(a), F.lit(b))) for a, b in ((37.582, 126.984), (0.0, 0.0), (40.0, 127.0))] == [True, False, False]
+    metres = lambda *at: one(spark, geo.haversine(*map(F.lit, map(float, at))))
+    degree = math.radians(1) * geo.RADIUS_M
+    assert metres(0, 0, 0, 1) == pytest.approx(degree) and metres(10, 20, 11, 20) == pytest.approx(degree) and metres(60, 0, 60, 1) == pytest.approx(degree / 2, rel=1e-4)
+    assert metres(35.5, 128.25, 35.5, 128.25) == 0 and metres(0, 0, 0, 180) == pytest.approx(math.pi * geo.RADIUS_M)
+    assert [one(spark, geo.in_korea(F.lit(a), F.lit(b))) for a, b in ((33.0, 132.5), (32.9, 127.0), (35.0, 140.0))] == [True, False, False]
+    frame = spark.createDataFrame([(1, 1.0, 1.0)], "l_id int, l_lat double, l_lon double")
+    with pytest.raises(ValueError):
+        geo.near(frame, frame, 900)
 
 
 def test_cf_literals(spark):
-    pairs = spark.createDataFrame([("r", u, i) for u, items in (("t", "xy"), ("n1", "xz"), ("n2", "xz")) for i in items], "region string, traveler string, poi string")
-    scores = {r.poi: r.score for r in recommend.user_cf(pairs, 2).where("traveler = 't'").collect()}
-    assert scores["z"] == pytest.approx(1.0) and "y" not in scores
-    two = spark.createDataFrame([("r", "u1", "a"), ("r", "u1", "b"), ("r", "u2", "a"), ("r", "u2", "b"), ("r", "u2", "c"), ("east", "u1", "c")], "region string, traveler string, poi string")
-    got = {r.poi: r.score for r in recommend.item_cf(two, 30).where("region = 'r' AND traveler = 'u1'").collect()}
-    assert got["a"] == pytest.approx(1.0) and got["c"] == pytest.approx(2 / math.sqrt(2))
-    assert recommend.neighbours(two, "traveler", "poi", USER_TIE_KEY, 5).where("region = 'east'").count() == 0
+    """Scores by hand: A and B share two of three places, C shares one with A; what only a neighbour has seen gets its cosine."""
+    seen = {"A": "pqr", "B": "pqs", "C": "rt"}
+    pairs = spark.createDataFrame([("x", u, i) for u, items in seen.items() for i in items] + [("y", "A", "s")], "region string, traveler string, poi string")
+    ab, ac = 2 / 3, 1 / math.sqrt(6)
+    scores = {r.poi: r.score for r in recommend.user_cf(pairs, 5).where("region = 'x' AND traveler = 'A'").collect()}
+    assert scores == {k: pytest.approx(v) for k, v in {"p": ab, "q": ab, "s": ab, "r": ac, "t": ac}.items()}
+    assert {r.poi for r in recommend.user_cf(pairs, 1).where("region = 'x' AND traveler = 'A'").collect()} == {"p", "q", "s"}
+    items = {r.poi: r.score for r in recommend.item_cf(pairs, 5).where("region = 'x' AND traveler = 'C'").collect()}
+    assert items["r"] == pytest.approx(1 / math.sqrt(2)) and items["p"] == pytest.approx(1 / 2)  # r is one of p's two travelers' places
+    assert recommend.neighbours(pairs, "traveler", "poi", USER_TIE_KEY, 5).where("region = 'y'").count() == 0
+
+
+def test_lists_hold_the_whole_universe(spark):
+    """A traveler with one scored place is ranked over all training places, in tie order after it."""
+    rows = [("r", "TL", f"t{i}", f"u{i}", f"p{i}", "1", "1") for i in range(30)] + [("r", "VL", "v", "u0", "p5", "1", "1"), ("r", "VL", "w", "quiet", "p5", "1", "1")]
+    events = spark.createDataFrame(rows, "region string, split string, trip string, traveler string, poi string, kind string, feedback string")
+    scores = spark.createDataFrame([("r", "u0", "p7", 0.5)], "region string, traveler string, poi string, score double")
+    got = recommend.score_lists(events, scores, 20).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 21)) and got[0].poi == "p7" and len({r.poi for r in got}) == 20 and {r.traveler for r in got} == {"u0"}
+
+
+def test_draws_are_even_and_apart(spark):
+    """Every place is drawn about equally often, and no two places go together."""
+    catalog = spark.createDataFrame([("r", f"p{i}") for i in range(20)], "region string, poi string")
+    queries = spark.createDataFrame([("r", f"q{i}", "p0") for i in range(600)], "region string, query string, poi string")
+    drawn = ranking.sample_unobserved(queries, catalog, 2, "seed").toPandas()
+    assert (drawn.groupby("query").size() == 2).all() and "p0" not in set(drawn["poi"])
+    assert drawn["poi"].value_counts().between(30, 105).all() and drawn["poi"].nunique() == 19
+    pairs = drawn.groupby("query")["poi"].apply(lambda x: tuple(sorted(x))).value_counts()
+    assert len(pairs) > 120 and pairs.max() < 20  # of 171 pairs; neighbours in one order would be 19
+
+
+def test_hot_features_are_cut(spark, monkeypatch):
+    pairs = spark.createDataFrame([("r", f"u{i}", "hot") for i in range(40)] + [("r", f"u{i}", f"p{i % 7}") for i in range(40)], "region string, traveler string, poi string")
+    whole = sorted(map(tuple, recommend.neighbours(pairs, "traveler", "poi", USER_TIE_KEY, 5).collect()))
+    monkeypatch.setattr(recommend, "PART", 6)
+    assert sorted(map(tuple, recommend.neighbours(pairs, "traveler", "poi", USER_TIE_KEY, 5).collect())) == whole and len(whole) == 200
+
+
+def test_catalogue_scoring_in_blocks(spark, monkeypatch):
+    """The blocks' best merge to the best of the whole matrix, ties by name; a score that is no number is an error."""
+    rng = np.random.default_rng(3)
+    items, queries = [("r", f"i{k:03}", float(rng.integers(0, 9))) for k in range(300)], [("r", f"q{k}", float(k % 4)) for k in range(20)]
+    predict = lambda q, i: (i["w"].to_numpy()[None, :] * q["m"].to_numpy()[:, None]) % 5
+    catalog, asked = spark.createDataFrame(items, "region string, poi string, w double"), spark.createDataFrame(queries, "region string, query string, m double")
+    monkeypatch.setattr(training, "BLOCK_ITEMS", 40)
+    monkeypatch.setattr(training, "BLOCK_QUERIES", 3)
+    got = sorted((r.query, r["rank"], r.poi, r.score) for r in training.score_catalogue(asked, catalog, predict, 7).collect())
+    want = sorted((q, k + 1, i, -s) for _, q, m in queries for k, (s, i) in enumerate(sorted((-(w * m % 5), i) for _, i, w in items)[:7]))
+    assert got == want
+    with pytest.raises(Exception, match="not finite"):
+        training.score_catalogue(asked, catalog, lambda q, i: np.full((len(q), len(i)), np.nan), 7).collect()
+
+
+def test_rules_of_a_run(spark):
+    frame = spark.createDataFrame([("r", "a", 1), ("r", "a", 2)], "region string, poi string, x int")
+    with pytest.raises(training.ContractError):
+        training.check_columns(frame, ["region", "poi"])
+    with pytest.raises(training.ContractError):
+        training.check_columns(frame, frame.columns, ["x"])
+    with pytest.raises(training.ContractError):
+        training.inner_features(frame, frame, frame, frame)
+    with pytest.raises(training.ContractError):
+        training.require_split(spark.createDataFrame([("VL",)], "split string"))
+    with pytest.raises(Exception, match="negative"):
+        frame.select(training.feature_value(-F.col("x"), "count")).collect()
+    assert training.feature_columns({"a": ["x", "y", "z"], "b": ["z", "w"]}, ["a", "b"], 2, "a") == ["x", "y", "z", "w"]
+    model = training.fit_pointwise(spark.createDataFrame([(k % 2, float(k % 2 + k % 3)) for k in range(60)], "label int, x double"), ["x"])
+    assert model.coefficients[0] > 0
+    assert publish.name_words("visitAreaNm_2") == ["visit", "area", "nm", "2"] and [publish.name_kind(x) for x in ("mapX", "poi_id", "place", "weight")] == ["coordinate", "identifier", "text", None]
 
 
 def test_validation_rows_change_no_training_output(spark):
