@@ -581,6 +581,14 @@ def test_packing(docs, odd, empty):
     assert packing.pack_documents(empty, PLAIN).count() == 0
 
 
+def test_packing_carries_ids(docs):
+    truth = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = {r.doc_id: truth.encode(r.text or "", add_special_tokens=False).ids + [2] for r in docs.select("doc_id", "text").collect()}
+    rows = packing.pack_documents(docs, PLAIN, ids=True).collect()
+    assert sum(r.length for r in rows) == sum(map(len, whole.values()))
+    assert all(r.ids == whole[r.doc_id][r.start : r.start + r.length] and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=25))
 def test_packing_plan_uses_every_piece(counts):

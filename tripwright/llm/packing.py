@@ -159,8 +159,14 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, limit: int = 1024, end
     if not ids:
         packed = pack(materialize(pieces), limit, F.struct("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
         return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-    # Ids are many times wider than the rest; they stay out of the ranking and meet the places once.
+    # Ids are many times wider than the rest; they stay out of the ranking and meet the places once,
+    # as 16-bit numbers where the vocabulary allows it.
+    half = 1 << 15
+    short = _encoding(vocabulary_path).max_token_value < 2 * half and end < 2 * half
+    if short:
+        pieces = pieces.withColumn("ids", F.transform("ids", lambda x: (x - half).cast("short")))
     pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()))
     narrow = pieces.select("_row", "doc_id", "piece", "length", "ids_crc32")
     placed = pack(narrow, limit, F.struct("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("_row")]).select("_row", "sequence_id", "offset")
-    return pieces.join(placed, "_row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    out = pieces.join(placed, "_row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    return out.withColumn("ids", F.transform("ids", lambda x: x.cast("int") + half)) if short else out
