@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tripwright.llm import bpe, langid, packing, pii, preference, quality, sharding, simhash, topk, vecdedup
+from tripwright.llm import bpe, langid, packing, pii, preference, quality, sharding, simhash, substrings, topk, vecdedup
 from tripwright.llm.common import table
 
 
@@ -51,9 +51,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"), window=13)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_pii, op3_simhash, op4_quality, op5_language, op6_topk, op7_sharding, op8_vector_dedup, op9_preference, op10_packing)
+    for f in (op1_byte_bpe, op2_pii, op3_simhash, op4_quality, op5_language, op6_topk, op7_sharding, op8_vector_dedup, op9_preference, op10_packing, op11_substring_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_substring_dedup": r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, t.i, array_to_string(words[t.i:t.i + 12], ' ') AS passage FROM split, unnest(range(1, len(words) - 11)) AS t(i)),
+starts AS (SELECT passage, min(doc_id) AS first_doc FROM windows GROUP BY passage),
+repeated AS (SELECT w.doc_id, w.i FROM windows w JOIN starts s ON w.passage = s.passage AND w.doc_id > s.first_doc),
+gone AS (SELECT DISTINCT doc_id, i + k.k AS i FROM repeated, range(13) AS k(k)),
+kept AS (SELECT s.doc_id, count(g.i) AS removed, string_agg(s.words[t.i], ' ' ORDER BY t.i) FILTER (WHERE g.i IS NULL) AS line
+    FROM split s, unnest(range(1, len(words) + 1)) AS t(i) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.i = t.i GROUP BY s.doc_id)
+SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
+""",
+}
