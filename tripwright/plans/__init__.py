@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by topic, each registered with its oracle."""
 
-from tripwright.plans import dataset, evaluation, identities, places, publishing, queries, studies, training
+from tripwright.plans import dataset, evaluation, identities, places, publishing, queries, ranker, studies, training
 from tripwright.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "dataset", "evaluation", "identities", "places", "publishing", "queries", "studies", "training"]
+__all__ = ["ORACLE_SQL", "QUERIES", "dataset", "evaluation", "identities", "places", "publishing", "queries", "ranker", "studies", "training"]
