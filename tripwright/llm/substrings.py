@@ -22,8 +22,10 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripwright.llm.common import group_batches, small_batches
@@ -42,7 +44,7 @@ LAST_DOC = np.iinfo(np.int64).max
 
 def split(text: str | None) -> list[bytes]:
     """The words of a text: runs of anything but the six ASCII white spaces."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+    return text.encode().split() if text else []
 
 
 @lru_cache(maxsize=4)
@@ -151,26 +153,35 @@ def _joined(blobs: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return np.repeat(docs, counts), np.repeat(salts, counts), np.frombuffer(b"".join(blobs["hashes"]), np.uint64)
 
 
-def _counter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted buckets to (doc, salt, hashes): the windows that a smaller document holds."""
-    for _, groups in group_batches(frames, ["bucket"]):
-        for _, group in groups:
-            known = group["repeated"].to_numpy(bool)
-            docs, salts, hashes = _joined(group[~known])
-            found = [_joined(group[known])]
-            if len(hashes):
-                order = np.argsort(hashes)
-                docs, salts, hashes = docs[order], salts[order], hashes[order]
-                starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-                later = docs > np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.append(starts, len(hashes))))
-                found.append((docs[later], salts[later], hashes[later]))
-            docs, salts, hashes = (np.concatenate(x) for x in zip(*found))
-            if not len(docs):
-                continue
-            order = np.lexsort((hashes, salts, docs))
-            docs, salts, hashes = docs[order], salts[order], hashes[order]
-            cuts = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (salts[1:] != salts[:-1])))
-            yield pd.DataFrame({"__tw_doc": docs[cuts], "__tw_salt": salts[cuts].astype("i4"), "hashes": [hashes[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(docs)))]})
+def _cell(doc, salt, cells: int, mod):
+    """Where a document's rows and what is told of it meet, of numpy's numbers or of columns."""
+    return mod(mod(doc, 1_000_003) * 7_919 + salt, cells)
+
+
+def _counter(cells: int):
+    """Sorted buckets to the windows that a smaller document holds, by cells of the documents to tell."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, groups in group_batches(frames, ["bucket"]):
+            for _, group in groups:
+                known = group["repeated"].to_numpy(bool)
+                docs, salts, hashes = _joined(group[~known])
+                found = [_joined(group[known])]
+                if len(hashes):
+                    order = np.argsort(hashes)
+                    docs, salts, hashes = docs[order], salts[order], hashes[order]
+                    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+                    later = docs > np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.append(starts, len(hashes))))
+                    found.append((docs[later], salts[later], hashes[later]))
+                docs, salts, hashes = (np.concatenate(x) for x in zip(*found))
+                if len(docs):
+                    order = np.lexsort((hashes, salts, docs))
+                    docs, salts, hashes = docs[order], salts[order], hashes[order]
+                    place = np.cumsum(np.append(False, (docs[1:] != docs[:-1]) | (salts[1:] != salts[:-1])))
+                    first = np.append(True, place[1:] != place[:-1])
+                    yield _blobs(_cell(docs, salts.astype(np.int64), cells, np.mod), place, hashes, docs[first], salts[first], True).rename(columns={"bucket": "__tw_cell"}).drop(columns="repeated")
+
+    return run
 
 
 def covered(words: list[bytes], repeated: np.ndarray, window: int) -> np.ndarray:
@@ -188,30 +199,65 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
 
 
-def _apply(docs: DataFrame, window: int, outcome: Callable[[list[bytes], np.ndarray], tuple], schema: str) -> DataFrame:
-    """``docs`` with ``__tw_found``, what ``outcome`` makes of a text's words and which of them to remove."""
-    keyed = small_batches(docs).withColumn("__tw_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_DOC)))).withColumn("__tw_salt", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (WORD_BYTES * BUCKET)))
-    blobs = keyed.select(F.col("__tw_doc").alias("doc"), F.col("__tw_salt").alias("salt"), "text").mapInPandas(_sender(window, buckets, FLUSH), "bucket int, repeated boolean, docs binary, salts binary, counts binary, hashes binary")
-    told = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(_counter, "__tw_doc long, __tw_salt int, hashes binary")
-    told = told.groupBy("__tw_doc", "__tw_salt").agg(F.collect_list("hashes").alias("__tw_hashes"))
+BLOB = "docs binary, salts binary, counts binary, hashes binary"
+
+
+def _finisher(columns: list[str], window: int, outcome: Callable[[list[bytes], np.ndarray], tuple], kinds: dict[str, pa.DataType]):
+    """Rows sorted by cell, what is told before the documents, to documents with what ``outcome`` makes of their words and of which are repeated."""
 
-    @F.pandas_udf(schema)
-    def finish(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, lists in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, told = None, []
+        known: dict[tuple[int, int], np.ndarray] | None = None
+        for batch in batches:
             rows = []
-            for text, found in zip(texts, lists):
-                words = split(text)
-                mask = np.zeros(len(words), bool) if found is None else covered(words, np.frombuffer(b"".join(found), np.uint64), window)
-                rows.append(outcome(words, mask))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+            names = ["__tw_cell", "__tw_doc", "__tw_salt", "text", *(f"__tw_{x.split()[0]}" for x in BLOB.split(", "))]
+            for own, doc, salt, text, docs, *blob in zip(*[batch.column(n).to_pylist() for n in names]):
+                if own != cell:
+                    cell, told, known = own, [], None
+                if docs is not None:
+                    told.append((docs, *blob))
+                    continue
+                if known is None:
+                    known = _by_document(told)
+                words, found = split(text), known.get((doc, salt))
+                rows.append(outcome(words, np.zeros(len(words), bool) if found is None else covered(words, found, window)))
+            mine = batch.filter(pc.is_null(batch.column("__tw_docs")))
+            added = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([*(mine.column(c) for c in columns), *added], names=[*columns, *kinds])
 
-    return keyed.join(told, ["__tw_doc", "__tw_salt"], "left").withColumn("__tw_found", finish(F.col("text"), F.col("__tw_hashes")))
+    return run
+
+
+def _by_document(told: list[tuple[bytes, ...]]) -> dict[tuple[int, int], np.ndarray]:
+    """The repeated windows of each (document, salt)."""
+    if not told:
+        return {}
+    docs, salts, hashes = _joined(pd.DataFrame(told, columns=[x.split()[0] for x in BLOB.split(", ")]))
+    order = np.lexsort((salts, docs))
+    docs, salts, hashes = docs[order], salts[order], hashes[order]
+    cuts = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (salts[1:] != salts[:-1])))
+    return {(d, s): h for d, s, h in zip(docs[cuts].tolist(), salts[cuts].tolist(), np.split(hashes, cuts[1:]))}
+
+
+def _apply(docs: DataFrame, window: int, outcome: Callable[[list[bytes], np.ndarray], tuple], kinds: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """``docs`` and the columns ``kinds``, which ``outcome`` makes of a text's words and of which of them are repeated.
 
+    What is told of documents and the documents meet in cells, whose number grows with
+    the input; a cell's messages come first, and its documents stream past them.
+    """
+    salt = F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
+    keyed = small_batches(docs).withColumns({"__tw_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_DOC))), "__tw_salt": salt})
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (WORD_BYTES * BUCKET)))
+    blobs = keyed.select(F.col("__tw_doc").alias("doc"), F.col("__tw_salt").alias("salt"), "text").mapInPandas(_sender(window, buckets, FLUSH), f"bucket int, repeated boolean, {BLOB}")
+    told = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(_counter(buckets), f"__tw_cell int, {BLOB}")
+    told = told.withColumnsRenamed({x.split()[0]: f"__tw_{x.split()[0]}" for x in BLOB.split(", ")})
 
-def _own(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{c}`") for c in docs.columns]
+    cell = _cell(F.col("__tw_doc"), F.col("__tw_salt"), buckets, lambda x, n: F.pmod(x, F.lit(n))).cast("int")
+    both = keyed.withColumn("__tw_cell", cell).unionByName(told, allowMissingColumns=True)
+    both = both.repartition(buckets, "__tw_cell").sortWithinPartitions("__tw_cell", F.isnull("__tw_docs"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{name} {kind}" for name, (kind, _) in kinds.items())])
+    return both.mapInArrow(_finisher(docs.columns, window, outcome, {name: kind for name, (_, kind) in kinds.items()}), schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -223,8 +269,13 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     row without a doc_id comes after all rows that have one.  A text of fewer words
     than ``window`` keeps all.
     """
-    found = _apply(docs, window, lambda words, mask: (b" ".join(w for w, gone in zip(words, mask) if not gone).decode("utf-8", "surrogatepass"), [{"start": a, "stop": b} for a, b in intervals(mask)]), "kept string, removed array<struct<start:int,stop:int>>")
-    return found.withColumn("text", F.when(F.col("text").isNotNull(), F.col("__tw_found.kept"))).select(*_own(docs), F.col("__tw_found.removed").alias("__tw_removed"))
+
+    def outcome(words: list[bytes], mask: np.ndarray) -> tuple[str, list[dict]]:
+        return b" ".join(w for w, gone in zip(words, mask) if not gone).decode(), [{"start": a, "stop": b} for a, b in intervals(mask)]
+
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    found = _apply(docs, window, outcome, {"__tw_kept": ("string", pa.string()), "__tw_removed": ("array<struct<start:int,stop:int>>", spans)})
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), F.col("__tw_kept"))).drop("__tw_kept")
 
 
 def digests(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -234,5 +285,5 @@ def digests(docs: DataFrame, window: int = 13) -> DataFrame:
         kept = [w for w, gone in zip(words, mask.tolist()) if not gone] if mask.any() else words
         return len(words), int(mask.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    found = _apply(docs.select("doc_id", "text"), window, outcome, "n_words long, n_removed long, kept_sha256 string")
-    return found.select("doc_id", "__tw_found.*")
+    long = ("long", pa.int64())
+    return _apply(docs.select("doc_id", "text"), window, outcome, {"n_words": long, "n_removed": long, "kept_sha256": ("string", pa.string())}).drop("text")
