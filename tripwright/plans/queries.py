@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwright.functions import bands, codes, geo, keys, temporal, text
-from tripwright.operators import association, contract, identity, profile, ranking, recommend, split
+from tripwright.operators import ablation, association, contract, identity, profile, ranking, recommend, split
 from tripwright.plans.registry import query
 from tripwright.sources import mapping
 
@@ -426,9 +426,10 @@ def trip_pair_association(spark: SparkSession, d: str) -> DataFrame:
   pr AS (SELECT id, y, class FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, class) = 1)
   SELECT count(*) AS rows, round(avg(CASE WHEN y = class THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(CASE WHEN y = (SELECT class FROM cl ORDER BY nc DESC, class LIMIT 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS majority_accuracy FROM pr""")
 def nb_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    rows = _context(spark, d).withColumn("y", codes.in_domain(F.col("feedback"), codes.FEEDBACK)).withColumn("id", F.monotonically_increasing_id())
-    train, test = rows.where("split = 'TL'"), rows.where("split = 'VL'")
-    return association.accuracy(association.naive_bayes(train, test, "id", ["segment", "priority", "kind"], "y"), train, "y")
+    fields = ["segment", "priority", "kind"]
+    rows = _context(spark, d).withColumn("y", codes.in_domain(F.col("feedback"), codes.FEEDBACK))
+    stats = ablation.patterns(rows, fields, "y", F.col("split") == "VL")
+    return ablation.evaluate(stats, fields, ablation.single({"all": fields})).select("rows", "accuracy", "majority_accuracy")
 
 
 # Places

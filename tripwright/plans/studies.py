@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwright.functions import codes
-from tripwright.operators import association, profile
+from tripwright.operators import ablation, association, profile
 from tripwright.plans.queries import VALID, M, _context
 from tripwright.plans.registry import query
 from tripwright.sources import mapping
@@ -19,10 +17,16 @@ CTX = f"""{M}, ctx AS (SELECT row_number() OVER (ORDER BY area, poi, v.kind, v.f
   CASE WHEN v.feedback <> '6' THEN v.feedback END AS y, t.segment || chr(31) || CASE WHEN v.kind IN {VALID} THEN v.kind END AS joint FROM visits v JOIN trips t ON v.trip = t.trip)"""
 
 
-def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+FIELDS = ["segment", "priority", "month", "kind", "joint"]
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
     rows = _context(spark, d).withColumn("y", codes.in_domain(F.col("feedback"), codes.FEEDBACK)).withColumn("kind", codes.in_domain(F.col("kind"), codes.VISIT_KIND))
-    rows = association.with_joint(rows, "segment", "kind", "joint").withColumn("id", F.monotonically_increasing_id())
-    return rows.where("split = 'TL'"), rows.where("split = 'VL'")
+    return ablation.patterns(association.with_joint(rows, "segment", "kind", "joint"), FIELDS, "y", F.col("split") == "VL")
+
+
+def _paired(spark: SparkSession, d: str, sets: dict[str, list[str]], pairs: list[tuple[str, str, str]]) -> DataFrame:
+    return ablation.paired(ablation.evaluate(_stats(spark, d), FIELDS, ablation.compared(sets, pairs))).drop("train_rows", "status")
 
 
 def _nb(n: str, features: list[str], need: list[str]) -> str:
@@ -42,14 +46,14 @@ def _need(left: str, right: str) -> list[str]:
 
 @query(f"{CTX}, " + ", ".join(_nb(n, f, f) for n, f in SETS.items()) + " " + " UNION ALL ".join(f"SELECT '{n}' AS features, *, round(accuracy - majority_accuracy, 6) AS delta FROM acc_{n}" for n in SETS))
 def nb_ablation(spark: SparkSession, d: str) -> DataFrame:
-    return association.ablation(*_rows(spark, d), "id", SETS, "y")
+    found = ablation.evaluate(_stats(spark, d), FIELDS, ablation.single(SETS))
+    return found.select(F.col("run").alias("features"), "rows", "accuracy", "majority_accuracy", "delta")
 
 
 @query(f"{CTX}, " + ", ".join(_nb(f"{n}_l", SETS[a], _need(a, b)) + ", " + _nb(f"{n}_r", SETS[b], _need(a, b)) for n, a, b in COMPARED) + " "
        + " UNION ALL ".join(f"SELECT '{n}' AS comparison, l.rows, l.accuracy AS left_accuracy, r.accuracy AS right_accuracy, round(r.accuracy - l.accuracy, 6) AS difference FROM acc_{n}_l l, acc_{n}_r r" for n, _, _ in COMPARED))
 def pairwise_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    train, test = _rows(spark, d)
-    return reduce(DataFrame.unionByName, [association.paired(train, test, "id", SETS[a], SETS[b], "y").select(F.lit(n).alias("comparison"), "*") for n, a, b in COMPARED])
+    return _paired(spark, d, SETS, COMPARED)
 
 
 MAIN, JOINT = ["segment", "kind"], ["segment", "kind", "joint"]
@@ -57,7 +61,7 @@ MAIN, JOINT = ["segment", "kind"], ["segment", "kind", "joint"]
 
 @query(f"{CTX}, {_nb('l', MAIN, JOINT)}, {_nb('r', JOINT, JOINT)} SELECT l.rows, l.accuracy AS left_accuracy, r.accuracy AS right_accuracy, round(r.accuracy - l.accuracy, 6) AS difference FROM acc_l l, acc_r r")
 def joint_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return association.paired(*_rows(spark, d), "id", MAIN, JOINT, "y")
+    return _paired(spark, d, {"main": MAIN, "joint": JOINT}, [("joint", "main", "joint")]).drop("comparison")
 
 
 AUDITED = ["segment", "priority", "month", "kind", "y"]
