@@ -63,20 +63,34 @@ def feature_columns(groups: dict[str, list[str]], chosen: Iterable[str], depth:
     return list(dict.fromkeys(found))
 
 
-def power_set(spark, names: list[str]) -> DataFrame:
-    """mask, members, n: every set of the names but the empty one."""
-    bits = F.array(*[F.when(F.col("id").bitwiseAND(1 << k) > 0, n) for k, n in enumerate(names)])
-    members = F.array_compact(bits)
-    return spark.range(1, 1 << len(names)).select(F.col("id").alias("mask"), F.array_join(members, "|").alias("members"), F.size(members).alias("n"))
-
-
-def search_space(spark, **choices: list) -> DataFrame:
-    """Every combination of the named choices; they are few."""
-    out = None
-    for name, values in choices.items():
-        side = spark.createDataFrame([(x,) for x in values], [name])
-        out = side if out is None else out.crossJoin(F.broadcast(side))
-    return out
+def power_set(items: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """mask, members, n, items: every set of the feature groups but the empty one, and how many of ``items`` have all features of all its groups.
+
+    Items are counted once by the groups that they have; sets are summed over these counts.
+    """
+    names = list(groups)
+    has = lambda columns: F.forall(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x)
+    own = sum((F.when(has(groups[n]), F.lit(1 << k)).otherwise(0) for k, n in enumerate(names)), F.lit(0))
+    counts = items.groupBy(own.cast("long").alias("own")).agg(F.count("*").alias("c"))  # at most a row a set
+    fits = F.filter(F.sequence(F.lit(1), F.lit((1 << len(names)) - 1)), lambda m: F.col("own").bitwiseAND(m) == m)
+    summed = counts.select(F.explode(fits).alias("mask"), "c").groupBy(F.col("mask").cast("long").alias("mask")).agg(F.sum("c").alias("items"))
+    members = F.array_compact(F.array(*[F.when(F.col("id").bitwiseAND(1 << k) > 0, n) for k, n in enumerate(names)]))
+    sets = items.sparkSession.range(1, 1 << len(names)).select(F.col("id").alias("mask"), F.array_join(members, "|").alias("members"), F.size(members).alias("n"))
+    return sets.join(summed, "mask", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+
+
+def search_space(positives: DataFrame, catalog: DataFrame, strategies: list[str], ratios: list[int], objectives: list[str]) -> DataFrame:
+    """strategy, ratio, objective, queries, positives, negatives: every configuration of a search and the rows that it would train on.
+
+    Negatives are ``ratio`` for each positive of the catalogue, and no more than the places of the query's region that are left.
+    """
+    inside = positives.select("region", "query", "poi").distinct().join(catalog.select("region", "poi").distinct(), ["region", "poi"], "left_semi")
+    sizes = catalog.select("region", "poi").distinct().groupBy("region").agg(F.count("*").alias("size"))
+    per = inside.groupBy("region", "query").agg(F.count("*").alias("n")).join(sizes, "region").withColumn("ratio", F.explode(F.array(*[F.lit(r).cast("long") for r in ratios])))
+    rows = per.groupBy("ratio").agg(F.count("*").alias("queries"), F.sum("n").alias("positives"), F.sum(F.least(F.col("n") * F.col("ratio"), F.col("size") - F.col("n"))).alias("negatives"))
+    for name, values in (("strategy", strategies), ("objective", objectives)):
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows.select("strategy", "ratio", "objective", "queries", "positives", "negatives")
 
 
 # The inner training side

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripwright.functions import codes
 from tripwright.operators import audit, contract, dataset, split, training
 from tripwright.operators.ranks import rank_in_buckets
 from tripwright.plans.dataset import ITEM_KEY, RUN, TRIP_KEY, _context, _items
@@ -17,17 +18,34 @@ from tripwright.sources import mapping
 
 # Features, frame, scoring
 
-GROUPS = ["temporal", "context", "category", "region", "popularity", "kinds"]
+#: The columns of each feature group of an item.
+GROUP_COLUMNS = {"category": ["p_type", "p_brand"], "size": ["p_size"], "region": ["region"], "popularity": ["popularity"], "kinds": ["kinds"], "price": ["price"]}
+ITEMS = f"""p AS (SELECT region, poi, count(*) AS popularity, max(CASE WHEN kind IN {CORE} THEN kind END) AS kinds FROM seen WHERE split = 'TL' GROUP BY ALL),
+  items AS (SELECT m.*, popularity, kinds FROM (SELECT r_name AS region, CAST(p_partkey AS VARCHAR) AS poi, p_type, CASE WHEN p_partkey % 9 <> 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS p_size, CASE WHEN p_retailprice > 1000 THEN p_retailprice END AS price
+    FROM part JOIN region ON p_partkey % 5 = r_regionkey) m LEFT JOIN p ON p.region = m.region AND p.poi = m.poi)"""
 
 
-@query(f"""SELECT m AS mask, array_to_string(list_filter([{", ".join(f"CASE WHEN m & {1 << k} > 0 THEN '{g}' END" for k, g in enumerate(GROUPS))}], lambda x: x IS NOT NULL), '|') AS members, CAST(bit_count(m) AS INT) AS n FROM range(1, {1 << len(GROUPS)}) t(m)""")
+def _feature_items(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    seen = _events(spark, d).where("split = 'TL'").groupBy("region", "poi").agg(F.count("*").alias("popularity"), F.max(codes.in_domain(F.col("kind"), codes.TOURISM_CORE)).alias("kinds"))
+    master = mapping.table(spark, d, "part").withColumn("r_regionkey", k % 5).join(mapping.table(spark, d, "region"), "r_regionkey")
+    master = master.select(F.col("r_name").alias("region"), k.cast("string").alias("poi"), "p_type", F.when(k % 9 != 0, F.col("p_brand")).alias("p_brand"), F.when(k % 4 != 0, F.col("p_size")).alias("p_size"), F.when(F.col("p_retailprice") > 1000, F.col("p_retailprice")).alias("price"))
+    return master.join(seen, ["region", "poi"], "left")
+
+
+@query(f"""{M}, {ITEMS}, s AS (SELECT m, list_filter([{", ".join(f"CASE WHEN m & {1 << k} > 0 THEN '{g}' END" for k, g in enumerate(GROUP_COLUMNS))}], lambda x: x IS NOT NULL) AS members FROM range(1, {1 << len(GROUP_COLUMNS)}) t(m))
+  SELECT m AS mask, array_to_string(members, '|') AS members, CAST(len(members) AS INT) AS n, count(poi) AS items FROM s LEFT JOIN items ON {" AND ".join(f"(NOT list_contains(members, '{g}') OR ({' AND '.join(f'{c} IS NOT NULL' for c in cs)}))" for g, cs in GROUP_COLUMNS.items())} GROUP BY ALL""")
 def feature_power_set(spark: SparkSession, d: str) -> DataFrame:
-    return training.power_set(spark, GROUPS)
+    return training.power_set(_feature_items(spark, d), GROUP_COLUMNS)
 
 
-@query("""SELECT s AS strategy, r AS ratio, o AS objective FROM (SELECT unnest(['uniform', 'popularity', 'mixed', 'hard']) AS s), (SELECT unnest([1, 2, 4, 8, 16])::BIGINT AS r), (SELECT unnest(['pairwise', 'listwise', 'pointwise']) AS o)""")
+@query(f"""{M}, {VL}, n AS (SELECT region, query, count(*) AS n FROM rel SEMI JOIN cat USING (region, poi) GROUP BY ALL), z AS (SELECT region, count(*) AS size FROM cat GROUP BY ALL),
+  c AS (SELECT r AS ratio, count(*) AS queries, CAST(sum(n) AS BIGINT) AS positives, CAST(sum(least(n * r, size - n)) AS BIGINT) AS negatives FROM n JOIN z USING (region), (SELECT unnest([1, 2, 4, 8, 16])::BIGINT AS r) GROUP BY r)
+  SELECT s AS strategy, ratio, o AS objective, queries, positives, negatives FROM c, (SELECT unnest(['uniform', 'popularity', 'mixed', 'hard']) AS s), (SELECT unnest(['pairwise', 'lambda', 'listwise']) AS o)""")
 def search_space(spark: SparkSession, d: str) -> DataFrame:
-    return training.search_space(spark, strategy=["uniform", "popularity", "mixed", "hard"], ratio=[1, 2, 4, 8, 16], objective=["pairwise", "listwise", "pointwise"])
+    e = _events(spark, d)
+    positives = e.where("split = 'VL'").select("region", F.col("trip").alias("query"), "poi")
+    return training.search_space(positives, e.where("split = 'TL'"), ["uniform", "popularity", "mixed", "hard"], [1, 2, 4, 8, 16], ["pairwise", "lambda", "listwise"])
 
 
 @query(f"""{M}, p AS (SELECT region, poi, count(*) AS n, list(DISTINCT kind) AS kinds FROM seen WHERE split = 'TL' GROUP BY ALL)
