@@ -219,3 +219,24 @@ def test_nearest_is_exact_for_large_integers():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     assert difference(queries.QUERIES[name](spark, SMALL), SMALL, queries.ORACLE_SQL[name]) == ""
+
+
+# The exchange of co-training, and the languages that a code is made for
+
+
+def test_both_views_hand_texts_over(spark):
+    from tripwright.llm import quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert sum(a for a, _ in model.exchanged) > 0 and sum(b for _, b in model.exchanged) > 0
+    assert all(a <= 400 and b <= 400 for a, b in model.exchanged)
+
+
+def test_languages_beyond_the_commonest_are_not_learned(spark):
+    from tripwright.llm import langid
+
+    rows = [(k, f"{'abc' if k % 2 else 'xyz'} {k % 5} words here", "one" if k % 2 else "two", "s", 0, "s", "b", "f", "l") for k in range(400)]
+    rows += [(1000 + k, f"noise {k}", f"lang{k}", "s", 0, "s", "b", "f", "l") for k in range(50)]
+    model = langid.train(spark.createDataFrame(rows, DOCS), most_languages=2)
+    assert model.languages == ["one", "two"]

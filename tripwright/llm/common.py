@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from typing import TypeVar
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +47,17 @@ def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
     return df
 
 
+T = TypeVar("T")
+
+
+def released(batches: Iterator[T]) -> Iterator[T]:
+    """The batches of a task; after the last, what its Python worker no longer uses goes back to the system, since workers outlive tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _path(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tripwright-{uuid.uuid4().hex}"
 

@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import small_batches
+from tripwright.llm.common import released, small_batches
 
-BINS, SLICE = 1024, 256
+BINS, SLICE = 2048, 256
 
 
 def code(languages: int, seed: int = 7) -> np.ndarray:
@@ -34,7 +34,7 @@ def code(languages: int, seed: int = 7) -> np.ndarray:
 def features(text: str) -> np.ndarray:
     """Square roots of hashed trigram counts of the lower-cased bytes, at length one, in single precision."""
     data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    grams = (data[:-2] * 2654435761 + data[1:-1] * 40503 + data[2:] * 97) * np.uint32(2246822519) >> np.uint32(22)
+    grams = (data[:-2] * 2654435761 + data[1:-1] * 40503 + data[2:] * 97) * np.uint32(2246822519) >> np.uint32(21)
     counts = np.sqrt(np.bincount(grams, minlength=BINS).astype(np.float32))
     return counts / (np.linalg.norm(counts) or np.float32(1))
 
@@ -94,18 +94,21 @@ def _held_out(doc: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = 2000) -> Model:
+def train(docs: DataFrame, sample: int = 3000, most_languages: int = 200) -> Model:
     """Fit on about ``sample`` labelled documents, whole texts, an equal number of each language where there are enough.
 
     Labelled: a doc_id, a language, a letter in the text, and not held out.  Each
     language gives those of the smallest doc_id hash, at least 20 of them, so that a rare one
-    has a codeword too.  A doc_id on several rows is learned from once, by its smallest
+    has a codeword too.  Learned are the ``most_languages`` values of ``lang`` with the most
+    labelled documents, the smaller of equal ones, so that neither the sample nor the code grows with a dirty column.  A doc_id on several rows is learned from once, by its smallest
     (language, text hash).  The sample is the only thing that comes to the driver,
     as feature vectors of BINS single-precision floats.
     """
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~_held_out("doc_id"))
     one = labelled.groupBy("doc_id").agg(F.min(F.struct("lang", F.xxhash64("text").alias("key"))).alias("one")).select("doc_id", "one.*")
-    most = max(20, sample // max(1, one.select("lang").distinct().count()))
+    langs = one.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
+    one = one.join(F.broadcast(langs), "lang", "left_semi")  # at most ``most_languages`` rows
+    most = max(20, sample // max(1, langs.count()))
     # First within 64 parts of a language, then among what they leave, so that no task ranks a language.
     chosen, order = one.withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))), [F.xxhash64("doc_id"), F.col("doc_id")]
     for keys in (["lang", "_part"], ["lang"]):
@@ -114,7 +117,7 @@ def train(docs: DataFrame, sample: int = 2000) -> Model:
     picked = small_batches(docs).select("doc_id", "lang", "text", F.xxhash64("text").alias("key")).join(F.broadcast(chosen), ["doc_id", "lang", "key"])
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in released(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "x": [features(x) for x in frame["text"]]})
 
     seen = picked.select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, x array<float>")
@@ -133,13 +136,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, is_ambiguous boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in released(batches):
             yield model.predict(batch.reset_index(drop=True))
 
     return small_batches(docs).withColumn("__tw_language", run(F.col(text)))
 
 
-def identify(docs: DataFrame, sample: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, sample: int = 3000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, is_ambiguous of each row.
 
     A null, empty or letterless text is ``und`` with score 0.  Without any labelled

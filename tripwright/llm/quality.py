@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import materialize, small_batches
+from tripwright.llm.common import materialize, released, small_batches
 from tripwright.llm.langid import fit_linear
 
 #: Classes of bytes: lower, upper, digit, space, newline, other letters' bytes, and the marks.
@@ -96,7 +96,7 @@ def _calibrated(z: np.ndarray, w: np.ndarray, y: np.ndarray, share: np.ndarray)
 
 
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+    for frame in released(frames):
         if frame.empty:
             continue
         yield pd.DataFrame(
@@ -125,12 +125,14 @@ def _chances(features: DataFrame, weights: list[np.ndarray]) -> DataFrame:
     return features.mapInPandas(run, "doc_id long, key long, p0 double, p1 double")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, rounds: int = 4, step: int = 200, sure: float = 0.97) -> Model:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, rounds: int = 4, step: int = 200) -> Model:
     """Co-train on at most ``labelled`` labelled documents, half of each class where there are enough, and all unlabelled ones.
 
     Every third labelled document is kept for calibration, at the classes' shares of
     all labels.  A round scores all unlabelled documents in Spark; each view hands the
-    other at most ``step`` new texts a side, those it is surest of, at a calibrated ``sure`` or more.
+    other at most ``step`` new texts a side, the first in its own calibrated order, if it
+    gives them a chance above one half and above the class's share of all labels; so a view that
+    knows little hands on what it knows best, and one that knows nothing hands on nothing.
     Labels that contradict each other for one doc_id and null ones are none.  With
     labels of one class only, the score is the base rate.
     """
@@ -166,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, rounds: int
         for k in (0, 1):
             fresh = scored.where(~F.col("key").isin(sorted(given[1 - k])))  # at most 2 x step x rounds keys
             for side, q in ((1, F.col(f"p{k}")), (-1, 1 - F.col(f"p{k}"))):
-                best = fresh.select("key", q.alias("q")).where(F.col("q") >= sure).orderBy(F.desc("q"), "key").limit(step).collect()
+                floor = max(0.5, prior if side > 0 else 1 - prior)
+                best = fresh.select("key", q.alias("q")).where(F.col("q") > floor).orderBy(F.desc("q"), "key").limit(step).collect()
                 new[1 - k].update({r["key"]: side for r in best})
         exchanged.append((len(new[0]), len(new[1])))
         if not (new[0] or new[1]):
@@ -190,7 +193,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("score double, text_score double, meta_score double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, lang, source, chars in batches:
+        for text, lang, source, chars in released(batches):
             out = np.zeros((len(text), 3))
             for at in range(0, len(text), SLICE):
                 t = np.stack([text_view(x or "") for x in text.iloc[at : at + SLICE]])
