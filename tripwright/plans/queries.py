@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripwright.functions import bands, codes, geo, keys, temporal, text
 from tripwright.operators import ablation, association, contract, identity, profile, ranking, recommend, split
+from tripwright.operators.tables import written
 from tripwright.plans.registry import query
 from tripwright.sources import mapping
 
@@ -17,6 +18,11 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return contract.events(mapping.visits(spark, d), mapping.trips(spark, d))
 
 
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    """The events, computed once for a query that reads them in many branches."""
+    return written(_events(spark, d))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return contract.positives(_events(spark, d))
 
@@ -197,13 +203,13 @@ def popularity_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{M}, {POP}, {POP_HITS.replace('SELECT DISTINCT s.region, s.trip AS query, rank', 'SELECT DISTINCT s.region, s.trip AS query, poi, rank')}, {METRICS} SELECT * FROM metrics")
 def popularity_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.evaluate_popularity(_events(spark, d))
+    return recommend.evaluate_popularity(_once(spark, d))
 
 
 @query(f"""{M}, {POP}, {POP_HITS}, {METRICS}, long AS (UNPIVOT metrics ON precision, recall, ndcg, mrr, hit_rate INTO NAME metric VALUE v)
   SELECT region, k, metric, CASE WHEN queries >= 10 AND hits >= 10 THEN format('{{:.6f}}', v) ELSE 'suppressed' END AS value, CASE WHEN queries >= 10 AND hits >= 10 THEN 'observed' ELSE 'suppressed_k10' END AS status FROM long""")
 def popularity_metrics_suppressed(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.suppressed(recommend.evaluate_popularity(_events(spark, d)))
+    return recommend.suppressed(recommend.evaluate_popularity(_once(spark, d)))
 
 
 @query(f"""{M}, known AS (SELECT DISTINCT region, poi, 1 AS known FROM seen WHERE split = 'TL'), p AS (SELECT DISTINCT s.region, s.trip, s.poi, known FROM seen s LEFT JOIN known USING (region, poi) WHERE s.split = 'VL'),
@@ -211,7 +217,7 @@ def popularity_metrics_suppressed(spark: SparkSession, d: str) -> DataFrame:
   SELECT region, count(*) AS trips, CAST(sum(n) AS BIGINT) AS positives, CAST(sum(k) AS BIGINT) AS covered, count_if(k > 0) AS covered_trips, any_value(items) AS items, any_value(known_items) AS known_items, round(sum(k) / sum(n), 6) AS positive_coverage
   FROM t JOIN (SELECT region, count(DISTINCT poi) AS items, count(DISTINCT CASE WHEN known = 1 THEN poi END) AS known_items FROM p GROUP BY ALL) USING (region) GROUP BY region""")
 def popularity_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.coverage(_events(spark, d))
+    return recommend.coverage(_once(spark, d))
 
 
 HIST = "hist AS (SELECT DISTINCT region, traveler, poi FROM seen WHERE split = 'TL')"
@@ -239,27 +245,27 @@ ITEM_SCORES = "scores AS (SELECT h.region, h.traveler, n.other AS poi, sum(cosin
 
 @query(f"{M}, {HIST}, {_near('traveler', 'poi', (USER_IN, USER_OUT))} {_near_rows('traveler')}")
 def user_cf_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.neighbours(recommend.history(_events(spark, d)), "traveler", "poi", keys.USER_TIE_KEY, 30).withColumn("cosine", F.round("cosine", 9))
+    return recommend.neighbours(recommend.history(_once(spark, d)), "traveler", "poi", keys.USER_TIE_KEY, 30).withColumn("cosine", F.round("cosine", 9))
 
 
 @query(f"{M}, {HIST}, {_near('poi', 'traveler', (ITEM_IN, ITEM_OUT))} {_near_rows('poi')}")
 def item_cf_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.neighbours(recommend.history(_events(spark, d)), "poi", "traveler", keys.ITEM_TIE_KEY, 30).withColumn("cosine", F.round("cosine", 9))
+    return recommend.neighbours(recommend.history(_once(spark, d)), "poi", "traveler", keys.ITEM_TIE_KEY, 30).withColumn("cosine", F.round("cosine", 9))
 
 
 @query(f"{M}, {HIST}, {_near('traveler', 'poi', (USER_IN, USER_OUT))}, {USER_SCORES} SELECT region, traveler, poi, round(score, 6) AS score FROM scores")
 def user_cf_scores(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.user_cf(recommend.history(_events(spark, d))).withColumn("score", F.round("score", 6))
+    return recommend.user_cf(recommend.history(_once(spark, d))).withColumn("score", F.round("score", 6))
 
 
 @query(f"{M}, {HIST}, {_near('poi', 'traveler', (ITEM_IN, ITEM_OUT))}, {ITEM_SCORES} SELECT region, traveler, poi, round(score, 6) AS score FROM scores")
 def item_cf_scores(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.item_cf(recommend.history(_events(spark, d))).withColumn("score", F.round("score", 6))
+    return recommend.item_cf(recommend.history(_once(spark, d))).withColumn("score", F.round("score", 6))
 
 
 @query(f"{M}, {HIST}, {_near('traveler', 'poi', (USER_IN, USER_OUT))}, {USER_SCORES}, {CF_HITS}, {METRICS} SELECT * FROM metrics")
 def cf_metrics(spark: SparkSession, d: str) -> DataFrame:
-    events = _events(spark, d)
+    events = _once(spark, d)
     return recommend.evaluate_scores(events, recommend.user_cf(recommend.history(events)))
 
 
@@ -536,7 +542,7 @@ DRAWS = f"""places AS (SELECT region, poi, row_number() OVER (PARTITION BY regio
 
 @query(f"{M}, {VL}, {DRAWS} SELECT region, query, poi FROM draws WHERE k <= n * 2")
 def sample_uniform(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
+    e = _once(spark, d)
     return ranking.sample_unobserved(e.where("split = 'VL'").select("region", F.col("trip").alias("query"), "poi").distinct(), e.where("split = 'TL'").select("region", "poi").distinct(), 2, SEED)
 
 
@@ -544,7 +550,7 @@ def sample_uniform(spark: SparkSession, d: str) -> DataFrame:
   SELECT region, query, poi FROM (SELECT s.region, s.traveler AS query, s.poi, n, row_number() OVER (PARTITION BY s.region, s.traveler ORDER BY round(score, 9) DESC, s.poi) AS k FROM scores s JOIN w ON w.region = s.region AND w.query = s.traveler
     WHERE NOT EXISTS (SELECT 1 FROM rel r WHERE r.region = s.region AND r.query = s.traveler AND r.poi = s.poi)) WHERE k <= n""")
 def sample_hard(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
+    e = _once(spark, d)
     scored = recommend.user_cf(recommend.history(e)).select("region", F.col("traveler").alias("query"), "poi", F.round("score", 9).alias("score"))
     return ranking.sample_hard(e.where("split = 'VL'").select("region", F.col("traveler").alias("query"), "poi").distinct(), scored, 1)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwright.operators import rankmodel
+from tripwright.operators.tables import written
 from tripwright.plans.queries import M
 from tripwright.plans.registry import query
 from tripwright.plans.training import FRAME, _frame
@@ -53,7 +54,7 @@ def _told(objective: str) -> str:
 def rank_rounds(spark: SparkSession, d: str) -> DataFrame:
     """What each round of each objective measures, and the weights after the last."""
     parts = mapping.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("poi"), "p_size", "p_brand", "p_type")
-    frame = _frame(spark, d).join(parts, "poi")
+    frame = written(_frame(spark, d).join(parts, "poi"))
     models = {o: rankmodel.fit_ranker(frame, FEATURES, o, ROUNDS, RATE, L2, TOP) for o in rankmodel.OBJECTIVES}
     told = rankmodel.history_frame(spark, models).withColumn("measure", F.explode(F.array(F.lit("loss"), F.lit("ndcg"))))
     told = told.select("name", "round", "measure", F.lit(None).cast("string").alias("value"), F.when(F.col("measure") == "loss", F.col("loss")).otherwise(F.col("ndcg")).alias("x"))

@@ -20,7 +20,7 @@ from tripwright.sources import mapping
 
 #: The columns of each feature group of an item.
 GROUP_COLUMNS = {"category": ["p_type", "p_brand"], "size": ["p_size"], "region": ["region"], "popularity": ["popularity"], "kinds": ["kinds"], "price": ["price"]}
-ITEMS = f"""p AS (SELECT region, poi, count(*) AS popularity, max(CASE WHEN kind IN {CORE} THEN kind END) AS kinds FROM seen WHERE split = 'TL' GROUP BY ALL),
+FEATURE_ITEMS = f"""p AS (SELECT region, poi, count(*) AS popularity, max(CASE WHEN kind IN {CORE} THEN kind END) AS kinds FROM seen WHERE split = 'TL' GROUP BY ALL),
   items AS (SELECT m.*, popularity, kinds FROM (SELECT r_name AS region, CAST(p_partkey AS VARCHAR) AS poi, p_type, CASE WHEN p_partkey % 9 <> 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS p_size, CASE WHEN p_retailprice > 1000 THEN p_retailprice END AS price
     FROM part JOIN region ON p_partkey % 5 = r_regionkey) m LEFT JOIN p ON p.region = m.region AND p.poi = m.poi)"""
 
@@ -33,7 +33,7 @@ def _feature_items(spark: SparkSession, d: str) -> DataFrame:
     return master.join(seen, ["region", "poi"], "left")
 
 
-@query(f"""{M}, {ITEMS}, s AS (SELECT m, list_filter([{", ".join(f"CASE WHEN m & {1 << k} > 0 THEN '{g}' END" for k, g in enumerate(GROUP_COLUMNS))}], lambda x: x IS NOT NULL) AS members FROM range(1, {1 << len(GROUP_COLUMNS)}) t(m))
+@query(f"""{M}, {FEATURE_ITEMS}, s AS (SELECT m, list_filter([{", ".join(f"CASE WHEN m & {1 << k} > 0 THEN '{g}' END" for k, g in enumerate(GROUP_COLUMNS))}], lambda x: x IS NOT NULL) AS members FROM range(1, {1 << len(GROUP_COLUMNS)}) t(m))
   SELECT m AS mask, array_to_string(members, '|') AS members, CAST(len(members) AS INT) AS n, count(poi) AS items FROM s LEFT JOIN items ON {" AND ".join(f"(NOT list_contains(members, '{g}') OR ({' AND '.join(f'{c} IS NOT NULL' for c in cs)}))" for g, cs in GROUP_COLUMNS.items())} GROUP BY ALL""")
 def feature_power_set(spark: SparkSession, d: str) -> DataFrame:
     return training.power_set(_feature_items(spark, d), GROUP_COLUMNS)
@@ -102,9 +102,11 @@ def training_frame(spark: SparkSession, d: str) -> DataFrame:
     return _frame(spark, d)
 
 
-@query(f"{M}, {FRAME}, g AS (SELECT region, query, count(*) AS n, sum(label) AS p FROM frame GROUP BY ALL) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(p) AS BIGINT) AS positives, count_if(p = 0 OR p = n) AS one_sided, 0::BIGINT AS odd_labels FROM g")
+@query(f"{M}, {FRAME}, g AS (SELECT region, query, count(*) AS n, count_if(label = 1 AND poi NOT LIKE '%7') AS p, count_if(poi LIKE '%7') AS odd FROM frame GROUP BY ALL) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(p) AS BIGINT) AS positives, count_if(p = 0 OR p = n) AS one_sided, CAST(sum(odd) AS BIGINT) AS odd_labels FROM g")
 def group_layout(spark: SparkSession, d: str) -> DataFrame:
-    return training.group_layout(_frame(spark, d))
+    """A frame in which the labels of places ending in 7 are spoilt, some to 2 and some to nothing."""
+    spoilt = F.when(F.col("poi").like("%77"), None).when(F.col("poi").like("%7"), 2).otherwise(F.col("label"))
+    return training.group_layout(_frame(spark, d).withColumn("label", spoilt))
 
 
 @query(f"""{M}, {FRAME}, {SPLIT}, it AS (SELECT region, poi, round(ln(1 + count(*)::DOUBLE), 9) AS popularity FROM seen WHERE split = 'TL' AND poi NOT LIKE '%7' GROUP BY ALL)
@@ -274,29 +276,28 @@ ITEMS = """items AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 5 = 0 THEN
   req AS (SELECT n_nationkey AS request, n_regionkey AS region, CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN '' ELSE CAST(n_nationkey AS VARCHAR) END AS district FROM nation),
   reasons AS (SELECT request, item, CASE WHEN region = 4 THEN 'request_region_unmapped' WHEN type NOT IN ('0', '1', '2') THEN 'unsupported_content_type' WHEN NOT (a = region OR b = region OR a = region + 1 OR b = region + 1) THEN 'outside_request_region'
     WHEN req.district = '' THEN 'request_district_invalid' WHEN req.district <> items.district THEN 'outside_request_district' ELSE 'eligible' END AS reason FROM items CROSS JOIN req)"""
-REASONS = ["request_region_unmapped", "unsupported_content_type", "outside_request_region", "request_district_invalid", "outside_request_district", "eligible"]
 
-
-def _reasons(spark: SparkSession, d: str) -> DataFrame:
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     key = F.col("p_partkey")
     items = mapping.table(spark, d, "part").select(key.alias("item"), F.when(key % 5 == 0, "99").otherwise((F.col("p_size") % 4).cast("string")).alias("type"), F.array((key % 3).cast("string"), (key % 7).cast("string")).alias("region_codes"), F.array((key % 25).cast("string")).alias("district_codes"))
     n = F.col("n_nationkey")
     requests = mapping.table(spark, d, "nation").select(n.alias("request"), F.col("n_regionkey").alias("region"), F.when(n % 4 == 1, "").when(n % 4 > 1, n.cast("string")).alias("district"))
     regions = mapping.table(spark, d, "region").where("r_regionkey < 4").select(F.col("r_regionkey").alias("region"), F.array(F.col("r_regionkey").cast("string"), (F.col("r_regionkey") + 1).cast("string")).alias("codes"))
-    return audit.eligibility_reason(items, requests, regions, ["0", "1", "2"])
+    return items, requests, regions, ["0", "1", "2"]
 
 
-@query(f"WITH {ITEMS}, u AS (SELECT request, unnest({REASONS}) AS reason FROM req), c AS (SELECT request, reason, count(*) AS n FROM reasons GROUP BY ALL) SELECT request, reason, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM items)::DOUBLE, 6) AS share FROM u LEFT JOIN c USING (request, reason)")
+@query(f"WITH {ITEMS}, u AS (SELECT request, unnest({audit.REASONS}) AS reason FROM req), c AS (SELECT request, reason, count(*) AS n FROM reasons GROUP BY ALL) SELECT request, reason, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM items)::DOUBLE, 6) AS share FROM u LEFT JOIN c USING (request, reason)")
 def catalog_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Reasons of eligibility by request, every reason listed."""
-    return audit.funnel(_reasons(spark, d), ["request"], "reason", REASONS)
+    return audit.funnel(audit.eligibility_counts(*_asked(spark, d)), ["request"], "reason", audit.REASONS)
 
 
 @query(f"""WITH {ITEMS}, f AS (SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_quantity > 40), c AS (SELECT request, count_if(reason = 'eligible') AS eligible, count_if(reason = 'eligible' AND item IN (SELECT item FROM f)) AS found FROM reasons GROUP BY ALL)
   SELECT *, CASE WHEN eligible = 0 THEN 'privacy_limited' WHEN eligible < 10 OR found BETWEEN 1 AND 9 THEN '<10/suppressed' WHEN found / eligible < 0.1 THEN '0-<10%' WHEN found / eligible < 0.25 THEN '10-<25%' WHEN found / eligible < 0.5 THEN '25-<50%' WHEN found / eligible < 0.75 THEN '50-<75%' WHEN found / eligible < 0.9 THEN '75-<90%' ELSE '90-100%' END AS band FROM c""")
 def request_coverage(spark: SparkSession, d: str) -> DataFrame:
     found = mapping.table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("item")).distinct()
-    return audit.request_coverage(_reasons(spark, d), found)
+    asked = _asked(spark, d)
+    return audit.request_coverage(audit.eligible_pairs(*asked), asked[1], found)
 
 
 SIGNALS = """sig AS (SELECT l_partkey AS poi, CASE WHEN l_partkey % 6 = 0 THEN l_linestatus WHEN l_partkey % 6 = 1 AND l_linenumber > 3 THEN ' Rail ' ELSE 'rail' END AS name, CASE WHEN l_partkey % 5 = 0 THEN l_returnflag ELSE 'A' END AS sgg,
