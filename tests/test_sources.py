@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import random
 import zipfile
 
 import pytest
 
-from tripwright.sources import readers, sinks
+from tripwright.sources import archives, readers, sinks
 
 
 def test_csv_tolerance(spark, tmp_path):
@@ -77,7 +80,7 @@ def test_json_policy_archive_and_cache(spark, tmp_path):
         readers.policy(spark, str(tmp_path / "q.json"))
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("d/t.csv", "a\n1\n")
-    members = readers.archive_members(spark, str(tmp_path / "a.zip"))
+    members = archives.archive_members(spark, str(tmp_path / "a.zip"))
     assert members.select("name", "bytes").first() == ("d/t.csv", 4)
     (tmp_path / "in").mkdir()
     (tmp_path / "in/t.csv").write_text("a\n1\n")
@@ -87,7 +90,7 @@ def test_json_policy_archive_and_cache(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
         z.writestr("../x", "1")
     with pytest.raises(ValueError):
-        readers.archive_members(spark, str(tmp_path / "b.zip"))
+        archives.archive_members(spark, str(tmp_path / "b.zip"))
     calls = spark.createDataFrame([(1,)], "a int")
     assert readers.cached(calls, str(tmp_path / "c"), "k").count() == readers.cached(calls.union(calls), str(tmp_path / "c"), "k").count() == 1
     assert readers.cached(calls.union(calls), str(tmp_path / "c"), "other").count() == 2
@@ -99,7 +102,8 @@ def test_json_policy_archive_and_cache(spark, tmp_path):
 
 def test_manifests_hashes_and_reports(spark, tmp_path):
     frame = spark.createDataFrame([("2", "b"), ("1", None)], "k string, v string")
-    assert sinks.content_hash(frame, "k") == sinks.content_hash(frame.orderBy("k").repartition(3), "k") != sinks.content_hash(frame.where("k = '1'"), "k")
+    assert sinks.content_hash(frame) == sinks.content_hash(frame.orderBy("k").repartition(3)) != sinks.content_hash(frame.where("k = '1'"))
+    assert sinks.content_hash(frame) != sinks.content_hash(frame.union(frame)) and sinks.content_hash(frame.limit(0)) == sinks.content_hash(frame.limit(0))
     assert sinks.manifest("run-1", {"a": 1}, {"rows": 2})["counts"] == {"rows": 2}
     with pytest.raises(ValueError):
         sinks.manifest("../x", {}, {})
@@ -111,3 +115,56 @@ def test_manifests_hashes_and_reports(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.check_ignored("/x/run", ["private/"])
     assert readers.normalized(spark.createDataFrame([(" a ", None)], "x string, y string"), ["x", "y", "z"]).first() == ("a", "", "")
+
+
+def test_values_that_do_not_fit_are_text(spark, tmp_path):
+    (path := tmp_path / "n.csv").write_text("a,b\n" + "".join(f"{k},x\n" for k in range(50)) + "1,2,3\n")
+    frame, status = readers.inferred_csv(spark, str(path))
+    assert status == "all_text" and dict(frame.dtypes)["a"] == "string" and frame.count() == 51
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):  # not taken for a table of texts
+        readers.inferred_csv(spark, str(tmp_path / "none.csv"))
+
+
+class Stream(io.RawIOBase):
+    """Takes bytes only one after the other, so that sizes come after the members."""
+
+    def __init__(self):
+        self.data = bytearray()
+
+    def writable(self):
+        return True
+
+    def write(self, b):
+        self.data += b
+        return len(b)
+
+
+def test_archives_in_many_splits(spark, tmp_path):
+    rng, inner = random.Random(3), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a.txt", "inside " * 50)
+        z.writestr("b.txt", "PK\x03\x04" * 9)
+    want = {f"d/{k}.bin": bytes(rng.randrange(256) for _ in range(rng.choice([0, 5, 3000, 40_000]))) for k in range(20)}
+    want |= {"a.txt": b"PK\x03\x04PK\x03\x04 twice" * 40, "nested.zip": inner.getvalue(), "text.csv": b"x,y\n" * 30_000, "é.txt": b"", "plain.txt": b"only here once!"}  # odd lengths are stored
+    stream, path = Stream(), tmp_path / "all.zip"
+    with zipfile.ZipFile(stream, "w") as z:
+        for name, data in want.items():
+            z.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_STORED if len(data) % 2 else zipfile.ZIP_DEFLATED)
+    path.write_bytes(bytes(stream.data))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("10k", old):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            got = {r.name: (r.bytes, r.sha256, bytes(r.content)) for r in archives.archive_members(spark, str(path), content=True).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == {n: (len(d), hashlib.sha256(d).hexdigest(), d) for n, d in want.items()}
+    with pytest.raises(ValueError):
+        archives.archive_members(spark, str(path), most=5)
+    with pytest.raises(ValueError):
+        archives.archive_members(spark, str(path), largest=1000)
+    spoilt = bytearray(stream.data)
+    spoilt[spoilt.find(b"only here")] = ord("O")
+    (tmp_path / "bad.zip").write_bytes(bytes(spoilt))
+    with pytest.raises(Exception, match="checksum of plain.txt"):
+        archives.archive_members(spark, str(tmp_path / "bad.zip")).collect()

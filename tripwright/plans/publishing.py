@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwright.functions import bands
-from tripwright.operators import profile, publish
+from tripwright.operators import disclosure, profile, publish
 from tripwright.plans.queries import PROFILED, _profiled
 from tripwright.plans.registry import query
 from tripwright.sources import mapping
@@ -182,3 +182,48 @@ def type_conflicts(spark: SparkSession, d: str) -> DataFrame:
     turn = F.col("p_size") % 6
     schemas = mapping.table(spark, d, "part").select(F.col("p_brand").alias("unit"), F.concat(F.lit("c"), turn.cast("string")).alias("column"), F.when((turn < 2) & (F.col("p_partkey") % 10 == 0), "text").when(turn < 4, "int").otherwise("date").alias("type"))
     return publish.type_conflicts(schemas)
+
+
+# The whole profile
+
+#: The columns of each table with their kinds, and the code books of some.
+WHOLE = {
+    "orders": {"o_orderstatus": ("category", ["F", "O"]), "o_orderpriority": ("category", None), "o_totalprice": ("number", None), "o_orderdate": ("date", None)},
+    "customer": {"c_name": ("text", None), "c_mktsegment": ("category", ["BUILDING", "MACHINERY"]), "c_acctbal": ("number", None)},
+    "lineitem": {"l_returnflag": ("category", None), "l_linestatus": ("category", ["O"]), "l_quantity": ("number", None), "l_shipdate": ("date", None)},
+    "part": {"p_name": ("text", None), "p_brand": ("category", None), "p_size": ("number", None), "p_retailprice": ("number", None)},
+}
+#: A table's key, and the key of another that must be there.
+KEYS = {"orders": ("o_orderkey", "o_custkey", "customer", "c_custkey"), "customer": ("c_name", "c_nationkey", "nation", "n_nationkey"), "lineitem": ("l_orderkey", "l_suppkey", "supplier", "s_suppkey"), "part": ("p_name", "p_partkey", "lineitem", "l_partkey")}
+
+
+def _profile(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of four tables in twelve sections."""
+    out = None
+    for name, columns in WHOLE.items():
+        key, own, other, theirs = KEYS[name]
+        frame = mapping.table(spark, d, name)
+        if name == "orders":  # no table has a missing or blank text
+            frame = frame.withColumn("o_orderpriority", F.when(F.col(key) % 50 == 0, " ").when(F.col(key) % 51 > 0, F.col("o_orderpriority")))
+        many = frame.groupBy(key).agg((F.count("*") > 1).alias("_many"))
+        there = mapping.table(spark, d, other).select(F.col(theirs).alias(own)).distinct().withColumn("_there", F.lit(True))
+        frame = frame.join(many, key, "left").join(there, own, "left")
+        spec = [cell for c, (kind, book) in columns.items() for cell in disclosure.column_cells(c, kind, book)]
+        spec.append(("duplicates", "duplicates", F.when(F.col("_many"), f"{key} repeated").otherwise(f"{key} once"), disclosure.ROWS))
+        spec.append(("relations", f"relations/{own}", F.when(F.col("_there"), f"{own} in {other}").otherwise(f"{own} not in {other}"), disclosure.ROWS))
+        counts = disclosure.cells(frame, name, spec)
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+@query()
+def protected_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of four tables, with every count that is small, or that others would give away, hidden."""
+    return disclosure.published(disclosure.protected(_profile(spark, d)))
+
+
+@query()
+def refreshed_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The same after its code book section has been counted anew."""
+    counts = _profile(spark, d)
+    return disclosure.published(disclosure.refreshed(disclosure.protected(counts), "codebook_check", counts))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
-import zipfile
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -13,14 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tripwright.sources.files import first_bytes
+
 #: Byte-order marks and the encodings that they stand for.
 MARKS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"))
 
 
+#: Marks a row that does not fit its types.
+CORRUPT = "_corrupt_row"
+
+
 def encoding(spark: SparkSession, path: str, default: str = "UTF-8") -> str:
     """The encoding that a file's byte-order mark names, else the default."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4)).first()
-    start = bytes(first[0]) if first else b""
+    start = first_bytes(spark, path)
     return next((name for mark, name in MARKS if start.startswith(mark)), default)
 
 
@@ -64,20 +68,18 @@ def loose_csv(spark: SparkSession, path: str, selected: list[str], encoding_: st
 def inferred_csv(spark: SparkSession, path: str) -> tuple[DataFrame | None, str]:
     """The file with inferred types and ``inferred``; as text and ``all_text`` where a value does not fit its type; or nothing and ``unsupported_encoding``."""
     found = encoding(spark, path)
-    sample = spark.read.format("binaryFile").load(path).select("content").first()
-    if found == "UTF-8" and sample is not None:
-        valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
-        if valid is False:
-            return None, "unsupported_encoding"
+    if found == "UTF-8" and spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0] is False:
+        return None, "unsupported_encoding"
     names = header(spark, path, found)
     base = spark.read.option("header", True).option("encoding", found).option("multiLine", found != "UTF-8")  # lines of two-byte characters cannot be split as bytes
-    try:
-        types = base.option("inferSchema", True).csv(path).schema
-        frame = base.schema(StructType([StructField(n, f.dataType) for n, f in zip(names, types)])).option("mode", "FAILFAST").csv(path)
-        frame.agg(*[F.count(F.col(f"`{n}`")) for n in names]).collect()
-        return frame, "inferred"
-    except Exception:  # a value that does not fit, found only by reading
-        return base.schema(_schema(names)).option("mode", "PERMISSIVE").csv(path), "all_text"
+    types = base.option("inferSchema", True).csv(path).schema
+    typed = StructType([StructField(n, f.dataType) for n, f in zip(names, types)])
+    # Rows that do not fit are marked, not raised, so that any other failure stays one.
+    marked = base.schema(StructType([*typed, StructField(CORRUPT, StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    fits = marked.agg(F.count(CORRUPT), *[F.count(F.col(f"`{n}`")) for n in names]).first()[0] == 0  # all columns, since only those are parsed
+    if fits:
+        return base.schema(typed).option("mode", "FAILFAST").csv(path), "inferred"
+    return base.schema(_schema(names)).option("mode", "PERMISSIVE").csv(path), "all_text"
 
 
 def text_csv(spark: SparkSession, path: str, allowed: list[str]) -> DataFrame:
@@ -120,29 +122,6 @@ def role(paths: Iterable[str], table: str) -> list[str]:
     return sorted(p for p, s in stems.items() if s == name or s.startswith(f"{name}_"))
 
 
-def archive_members(spark: SparkSession, path: str, most: int = 10_000, largest: int = 1 << 30) -> DataFrame:
-    """name, bytes, compressed, sha256 of a ZIP file's members, each read whole, which checks its CRC; nothing is extracted.
-
-    An unsafe name, a member that stands twice, too many members or too large ones are errors.
-    """
-    rows = []
-    with zipfile.ZipFile(path) as archive:
-        members = [m for m in archive.infolist() if not m.is_dir()]
-        names = [m.filename for m in members]
-        if len(members) > most or len(set(names)) < len(names):
-            raise ValueError("too many or repeated members")
-        for m in members:
-            parts = m.filename.replace("\\", "/").split("/")
-            if m.filename.startswith(("/", "\\")) or ".." in parts or ":" in parts[0] or m.file_size > largest:
-                raise ValueError("unsafe or too large member")
-            digest = hashlib.sha256()
-            with archive.open(m) as body:
-                while block := body.read(1 << 20):
-                    digest.update(block)
-            rows.append((m.filename, m.file_size, m.compress_size, digest.hexdigest()))
-    return spark.createDataFrame(rows, "name string, bytes long, compressed long, sha256 string")
-
-
 def provenance(members: DataFrame, tables: DataFrame) -> DataFrame:
     """table, name, same: the archive members that carry a table's file name, and whether the content is the same; ``tables(path, sha256)``."""
     base = lambda c: F.lower(F.element_at(F.split(c, "/"), -1))

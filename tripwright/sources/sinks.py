@@ -46,9 +46,24 @@ def write_report(frame: DataFrame, metadata: dict, path: str) -> None:
 
 
 def write_profile(sections: dict[str, DataFrame], path: str) -> None:
-    """The sections of a profile, one folder each; a section that is there already is replaced alone."""
+    """The sections of a profile, one folder each; a section that is there already is replaced alone.
+
+    All are written beside it first.  A section changes by two renames, and the old one is
+    deleted after the new one is there, so a failure leaves one of them whole.
+    """
+    staged = {}
     for name, frame in sections.items():
-        frame.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        frame.write.parquet(f"{path.rstrip('/')}/.{(mark := uuid.uuid4().hex)}-{name}")
+        staged[name] = mark
+    for name, mark in staged.items():
+        spark, base = sections[name].sparkSession, path.rstrip("/")
+        files, target = _files(spark, f"{base}/{name}")
+        new, old = (_files(spark, f"{base}/.{mark}{kind}-{name}")[1] for kind in ("", "-old"))
+        if files.exists(target) and not files.rename(target, old):
+            raise OSError(f"{name} cannot be put aside")
+        if not files.rename(new, target):
+            raise OSError(f"{name} cannot be replaced")
+        files.delete(old, True)
 
 
 def manifest(run: str, config: dict, counts: dict[str, int], code: bytes = b"") -> dict:
@@ -72,17 +87,16 @@ def markdown(frame: DataFrame, title: str, limit: int = 200) -> str:
     return "\n".join(lines + ["| " + " | ".join(map(shown, r)) + " |" for r in rows]) + "\n"
 
 
-def content_hash(frame: DataFrame, key: str) -> str:
-    """A hash of all rows that neither their order nor their files change.
+def content_hash(frame: DataFrame) -> str:
+    """A hash of all rows, repeated ones too, that neither their order nor their files change.
 
-    Rows are hashed in Spark, and the hashes, in the order of the key, by buckets of its first
-    digits; only one hash a bucket comes to the driver.
+    Rows are hashed in Spark, and the parts of their hashes added up, so that tasks hand
+    on five numbers each, whatever the size.
     """
-    columns = sorted(frame.columns)
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    rows = frame.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2).alias("b"), F.col(key).cast("string").alias("k"), row.alias("h"))
-    per = rows.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return hashlib.sha256("".join(r["h"] for r in per.orderBy("b").collect()).encode()).hexdigest()
+    row = F.sha2(F.to_json(F.struct(*sorted(frame.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.conv(F.substring(row, 1 + 16 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    one = frame.agg(F.count("*"), *[F.coalesce(F.sum(p), F.lit(0)) for p in parts]).first()
+    return hashlib.sha256(":".join(map(str, one)).encode()).hexdigest()
 
 
 def check_ignored(path: str, patterns: list[str]) -> None:
