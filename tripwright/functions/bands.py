@@ -29,6 +29,20 @@ def support_band(n: Column) -> Column:
     return F.when(n <= 0, "0").when(n == 1, "1").when(n <= 4, "2-4").when(n <= 9, "5-9").otherwise("10+")
 
 
+def choice_size_band(n: Column) -> Column:
+    """Of how many candidates there are."""
+    return F.when(n < 1, "0").when(n < 10, "1-9").when(n < 50, "10-49").when(n < 100, "50-99").when(n < 500, "100-499").otherwise("500+")
+
+
+def density_band(positives: Column, candidates: Column) -> Column:
+    r = positives / F.nullif(candidates, F.lit(0))
+    return F.when(candidates <= 0, "not_applicable").when(r == 0, "0%").when(r < 0.01, "0-<1%").when(r < 0.10, "1-<10%").when(r < 0.25, "10-<25%").otherwise("25%+")
+
+
+def positive_band(n: Column) -> Column:
+    return F.when(n == 0, "0").when(n == 1, "1").when(n <= 4, "2-4").when(n <= 9, "5-9").otherwise("10+")
+
+
 SMALL = "<10/suppressed"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripwright.functions import bands
 from tripwright.functions.keys import surrogate_key
 from tripwright.functions.temporal import trip_time
 from tripwright.operators.contract import single_owner
@@ -95,18 +96,43 @@ def funnel(trips: DataFrame, visits: DataFrame, pairs: DataFrame) -> DataFrame:
     return wide.select("region", "split", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("n")) for c in names])))
 
 
-def choice_sets(trips: DataFrame, events: DataFrame) -> DataFrame:
-    """region, status, trips: whether each validation trip's positives can be ranked among its region's training places."""
+def choice_rows(trips: DataFrame, events: DataFrame) -> DataFrame:
+    """region, trip, size, inside, outside of each validation trip: its region's training places, and its positives among and beside them."""
     known = events.where("split = 'TL'").select("region", "poi").distinct()
     sizes = known.groupBy("region").agg(F.count("*").alias("size"))
     pairs = events.where("split = 'VL'").select("region", "trip", "poi").distinct().join(known.withColumn("k", F.lit(1)), ["region", "poi"], "left")
     per = pairs.groupBy("region", "trip").agg(F.count("k").alias("inside"), F.count_if(F.col("k").isNull()).alias("outside"))
-    rows = single_owner(trips).where("split = 'VL'").select("region", "trip").join(sizes, "region", "left").join(per, ["region", "trip"], "left").fillna(0)
-    status = (
+    return single_owner(trips).where("split = 'VL'").select("region", "trip").join(sizes, "region", "left").join(per, ["region", "trip"], "left").fillna(0)
+
+
+def _choice_status() -> Column:
+    return (
         F.when(F.col("size") == 0, "empty_candidate").when(F.col("size") < 2, "insufficient_candidate_support").when((F.col("inside") > 0) & (F.col("outside") > 0), "positive_outside_candidate_universe")
         .when(F.col("outside") > 0, "cold_start_only").when(F.col("inside") > 0, "evaluable").otherwise("no_observed_positive")
     )
-    return rows.groupBy("region", status.alias("status")).agg(F.count("*").alias("trips"))
+
+
+def choice_sets(trips: DataFrame, events: DataFrame) -> DataFrame:
+    """region, status, trips: whether each validation trip's positives can be ranked among its region's training places."""
+    return choice_rows(trips, events).groupBy("region", _choice_status().alias("status")).agg(F.count("*").alias("trips"))
+
+
+def choice_histograms(trips: DataFrame, events: DataFrame) -> DataFrame:
+    """region, metric, bucket, trips: sizes and densities of choice sets, their support, and how their positives are covered, all in one pass.
+
+    Trips without candidates have no size and no density.
+    """
+    size, inside, outside = F.col("size"), F.col("inside"), F.col("outside")
+    support = F.when(size == 0, "empty_candidate").when(size < 2, "insufficient_candidate_support").otherwise("rankable_candidate_support")
+    covered = (
+        F.when((inside == 0) & (outside == 0), "no_usable_positive").when((inside > 0) & (outside > 0), "positive_outside_candidate_universe").when(outside > 0, "cold_start_only").otherwise("all_positives_in_candidate_universe")
+    )
+    metrics = {
+        "choice_set_status": _choice_status(), "candidate_support_status": support, "positive_coverage_status": covered, "candidate_size": F.when(size > 0, bands.choice_size_band(size)),
+        "candidate_positive_density": F.when(size > 0, bands.density_band(inside, size)), "positives_a_trip": bands.positive_band(inside + outside),
+    }
+    cells = F.filter(F.array(*[F.struct(F.lit(m).alias("metric"), b.alias("bucket")) for m, b in metrics.items()]), lambda c: c["bucket"].isNotNull())
+    return choice_rows(trips, events).select("region", F.inline(cells)).groupBy("region", "metric", "bucket").agg(F.count("*").alias("trips"))
 
 
 def structure(trips: DataFrame, events: DataFrame) -> DataFrame:

@@ -53,12 +53,17 @@ def containment(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     return out.agg(F.count("*").alias("distinct_values"), F.count_if(missing).alias("unmatched_values"), F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("unmatched_rows"))
 
 
+# The forms of dates in texts, and in numbers of eight digits.
+TEXT_DATE = r"^(\d{4})[-./]?(\d{2})[-./]?\d{2}([ T]\d{1,2}:?\d{2}(:?\d{2}(\.\d+)?)?)?$"
+NUMBER_DATE = r"^(\d{4})(\d{2})\d{2}$"
+
+
 def month_of(column: Column, kind: str) -> Column:
     """yyyy-MM of a ``date``, of a ``text`` that starts with a date in digits, or of an ``int`` of eight digits; null where it is none."""
     if kind == "date":
         return F.date_format(column, "yyyy-MM")
     text = F.btrim(column) if kind == "text" else column.cast("string")
-    form = r"^(\d{4})[-./]?(\d{2})[-./]?\d{2}([ T]\d{1,2}:?\d{2}(:?\d{2}(\.\d+)?)?)?$" if kind == "text" else r"^(\d{4})(\d{2})\d{2}$"
+    form = TEXT_DATE if kind == "text" else NUMBER_DATE
     found = F.concat_ws("-", F.regexp_extract(text, form, 1), F.regexp_extract(text, form, 2))
     return F.when(found.rlike("^(19|20)[0-9]{2}-(0[1-9]|1[0-2])$"), found)
 

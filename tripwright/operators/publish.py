@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwright.functions.bands import K, count_bucket, length_band
-from tripwright.operators.profile import NUMBERS, columns
+from tripwright.operators.profile import NUMBERS, TEXT_DATE, columns
 
 # The words of column names that stand for coordinates, identifiers and texts, and parts of names that do.
 COORDINATE = ["lat", "latitude", "lon", "lng", "long", "longitude", "x", "y", "mapx", "mapy", "coord", "coords", "coordinate", "coordinates", "gps", "geom", "geometry", "wkt"]
@@ -47,10 +47,33 @@ def type_class(dtype: str) -> str:
     return {"boolean": "boolean", "string": "varchar", "binary": "blob"}.get(dtype, "other")
 
 
-def policies(frame: DataFrame, shown: list[str] = []) -> DataFrame:  # noqa: B006
+#: Most values of which the counts are shown, and the share of a column's values that must be dates.
+MOST_VALUES, DATES = 50, 0.95
+
+
+def _date_counts(frame: DataFrame) -> DataFrame:
+    """column, dates: how many values of each date, text and whole-number column are dates; eight-digit numbers from 1900 to 2100."""
+    counted = {}
+    for c, t in frame.dtypes:
+        v = F.col(f"`{c}`")
+        if type_class(t) == "datetime":
+            counted[c] = v.isNotNull()
+        elif type_class(t) == "varchar":
+            counted[c] = F.btrim(v).rlike(TEXT_DATE)
+        elif type_class(t) == "integer":
+            n = v.cast("long")
+            counted[c] = n.between(19000101, 21001231) & F.pmod(F.expr(f"`{c}` div 100"), F.lit(100)).between(1, 12) & F.pmod(n, F.lit(100)).between(1, 31)
+    if not counted:
+        return frame.sparkSession.createDataFrame([], "column string, dates long")
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(x, F.lit(False)).alias("d")) for c, x in counted.items()]))
+    return frame.select(cells).groupBy("column").agg(F.count_if("d").alias("dates"))
+
+
+def policies(frame: DataFrame, shown: list[str] = [], least: int = K) -> DataFrame:  # noqa: B006
     """column, class, policy of every column: whether its values may be shown, from its name and one row of statistics.
 
-    Texts named in ``shown`` may be.
+    Texts named in ``shown`` may be.  Of dates only months are shown, whatever their number of
+    values; of what has few values their counts, if there are ``least`` values or more.
     """
     known = frame.sparkSession.createDataFrame([(c, type_class(t), name_kind(c), c.lower() in [x.lower() for x in shown]) for c, t in frame.dtypes], "column string, class string, name string, shown boolean")
     ratio = F.try_divide("distinct_values", "present")
@@ -61,9 +84,12 @@ def policies(frame: DataFrame, shown: list[str] = []) -> DataFrame:  # noqa: B00
         .when(F.col("name") == "identifier", "suppressed:identifier_name").when((F.col("name") == "text") & ~F.col("shown"), "suppressed:name_or_text_like")
         .when((F.col("class") == "float") & (low >= -180) & (high <= 180) & (ratio >= 0.5), "suppressed:coordinate_like_range")
         .when((F.col("class") == "integer") & epoch, "suppressed:epoch_like").when((F.col("class") == "integer") & (ratio >= 0.9), "suppressed:row_unique_integer")
-        .when((F.col("class") == "varchar") & ((F.col("mean_length") > 40) | (ratio > 0.2)), "suppressed:high_cardinality_or_text_like").otherwise("profile")
+        .when(((F.col("class") != "integer") | ((low >= 19000101) & (high <= 21001231))) & (F.col("dates") >= DATES * F.col("present")), "date_month_only")
+        .when((F.col("class") == "varchar") & ((F.col("mean_length") > 40) | (ratio > 0.2)), "suppressed:high_cardinality_or_text_like")
+        .when((F.col("distinct_values") <= MOST_VALUES) & (ratio <= 0.2), F.when(F.col("present") < least, "suppressed:cohort_below_k").otherwise("profile+value_counts")).otherwise("profile")
     )
-    return columns(frame).join(F.broadcast(known), "column").select("column", "class", policy.alias("policy"))
+    stats = columns(frame).join(_date_counts(frame), "column", "left")
+    return stats.join(F.broadcast(known), "column").select("column", "class", policy.alias("policy"))
 
 
 def public_columns(profile: DataFrame) -> DataFrame:

@@ -77,3 +77,18 @@ def choice_set_status(spark: SparkSession, d: str) -> DataFrame:
   SELECT region, split, count(*) AS trips, count_if(e > p) AS with_repeats, round(sum(e - p) / sum(e), 6) AS repeat_share, round(avg(p), 6) AS mean_places, max(p) AS most_places FROM t GROUP BY ALL""")
 def structural_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return dataset.structure(mapping.trips(spark, d), _events(spark, d))
+
+
+@query(f"""{M}, k AS (SELECT DISTINCT region, poi, 1 AS k FROM seen WHERE split = 'TL'), z AS (SELECT region, count(*) AS size FROM k GROUP BY ALL),
+  p AS (SELECT region, trip, count(k) AS i, count(*) - count(k) AS o FROM (SELECT DISTINCT region, trip, poi FROM seen WHERE split = 'VL') LEFT JOIN k USING (region, poi) GROUP BY ALL),
+  t AS (SELECT region, trip, coalesce(size, 0) AS size, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM trips LEFT JOIN z USING (region) LEFT JOIN p USING (region, trip) WHERE split = 'VL'),
+  c AS (SELECT region, unnest(['choice_set_status', 'candidate_support_status', 'positive_coverage_status', 'candidate_size', 'candidate_positive_density', 'positives_a_trip']) AS metric, unnest([
+    CASE WHEN size = 0 THEN 'empty_candidate' WHEN size < 2 THEN 'insufficient_candidate_support' WHEN i > 0 AND o > 0 THEN 'positive_outside_candidate_universe' WHEN o > 0 THEN 'cold_start_only' WHEN i > 0 THEN 'evaluable' ELSE 'no_observed_positive' END,
+    CASE WHEN size = 0 THEN 'empty_candidate' WHEN size < 2 THEN 'insufficient_candidate_support' ELSE 'rankable_candidate_support' END,
+    CASE WHEN i = 0 AND o = 0 THEN 'no_usable_positive' WHEN i > 0 AND o > 0 THEN 'positive_outside_candidate_universe' WHEN o > 0 THEN 'cold_start_only' ELSE 'all_positives_in_candidate_universe' END,
+    CASE WHEN size = 0 THEN NULL WHEN size < 10 THEN '1-9' WHEN size < 50 THEN '10-49' WHEN size < 100 THEN '50-99' WHEN size < 500 THEN '100-499' ELSE '500+' END,
+    CASE WHEN size = 0 THEN NULL WHEN i = 0 THEN '0%' WHEN i / size::DOUBLE < 0.01 THEN '0-<1%' WHEN i / size::DOUBLE < 0.1 THEN '1-<10%' WHEN i / size::DOUBLE < 0.25 THEN '10-<25%' ELSE '25%+' END,
+    CASE WHEN i + o = 0 THEN '0' WHEN i + o = 1 THEN '1' WHEN i + o <= 4 THEN '2-4' WHEN i + o <= 9 THEN '5-9' ELSE '10+' END]) AS bucket FROM t)
+  SELECT region, metric, bucket, count(*) AS trips FROM c WHERE bucket IS NOT NULL GROUP BY ALL""")
+def choice_histograms(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.choice_histograms(mapping.trips(spark, d), _events(spark, d))

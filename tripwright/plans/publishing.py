@@ -23,17 +23,29 @@ KINDS = {"customer": [("c_custkey", "integer"), ("c_name", "varchar"), ("c_natio
 
 
 def _policy(c: str, kind: str, table: str) -> str:
-    low = f"min({c})::DOUBLE" if kind != "varchar" else "NULL"
-    high = f"max({c})::DOUBLE" if kind != "varchar" else "NULL"
+    number = kind in ("integer", "float")
+    low, high = (f"min({c})::DOUBLE", f"max({c})::DOUBLE") if number else ("NULL::DOUBLE", "NULL::DOUBLE")
     return f"""SELECT '{c}' AS "column", '{kind}' AS class, CASE WHEN count({c}) = 0 THEN 'all_null' WHEN regexp_matches('{c}', {_words(publish.COORDINATE)}) THEN 'suppressed:coordinate_name' WHEN regexp_matches('{c}', {_words(publish.IDENTIFIER)}) THEN 'suppressed:identifier_name'
   WHEN regexp_matches('{c}', {_words(publish.TEXT)}) THEN 'suppressed:name_or_text_like' WHEN '{kind}' = 'float' AND {low} >= -180 AND {high} <= 180 AND count(DISTINCT {c}) / count({c}) >= 0.5 THEN 'suppressed:coordinate_like_range'
   WHEN '{kind}' = 'integer' AND {low} >= 946684800 AND {high} <= 4102444800 THEN 'suppressed:epoch_like' WHEN '{kind}' = 'integer' AND count(DISTINCT {c}) / count({c}) >= 0.9 THEN 'suppressed:row_unique_integer'
-  WHEN '{kind}' = 'varchar' AND (avg(length({c}::VARCHAR)) > 40 OR count(DISTINCT {c}) / count({c}) > 0.2) THEN 'suppressed:high_cardinality_or_text_like' ELSE 'profile' END AS policy FROM {table}"""
+  WHEN '{kind}' = 'datetime' OR '{kind}' = 'varchar' AND count_if(regexp_full_match(trim({c}::VARCHAR), '[0-9]{{4}}[-./]?[0-9]{{2}}[-./]?[0-9]{{2}}')) >= 0.95 * count({c}) OR '{kind}' = 'integer' AND {low} >= 19000101 AND {high} <= 21001231 AND count_if(({c}::VARCHAR)[5:6] BETWEEN '01' AND '12' AND ({c}::VARCHAR)[7:8] BETWEEN '01' AND '31') >= 0.95 * count({c}) THEN 'date_month_only'
+  WHEN '{kind}' = 'varchar' AND (avg(length({c}::VARCHAR)) > 40 OR count(DISTINCT {c}) / count({c}) > 0.2) THEN 'suppressed:high_cardinality_or_text_like' WHEN count(DISTINCT {c}) <= 50 AND count(DISTINCT {c}) / count({c}) <= 0.2 THEN CASE WHEN count({c}) < 10 THEN 'suppressed:cohort_below_k' ELSE 'profile+value_counts' END ELSE 'profile' END AS policy FROM {table}"""
 
 
-@query(" UNION ALL ".join(_policy(c, k, t) for t, cs in KINDS.items() for c, k in cs))
+#: Orders with dates in three forms, a text that is a date too seldom, and columns of few rows and few values.
+DATED = """(SELECT o_orderdate AS moment, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 10 = 0 THEN 'May' ELSE strftime(o_orderdate, '%Y%m%d') END AS mixed, strftime(o_orderdate, '%Y%m%d')::BIGINT AS digits,
+  o_orderstatus AS state, CASE WHEN o_orderkey < 5 THEN 'few' END AS rare, CASE WHEN o_orderkey < 0 THEN 1 END AS nothing FROM orders)"""
+DATED_KINDS = [("moment", "datetime"), ("day", "varchar"), ("mixed", "varchar"), ("digits", "integer"), ("state", "varchar"), ("rare", "varchar"), ("nothing", "integer")]
+
+
+@query(" UNION ALL ".join([*(_policy(c, k, t) for t, cs in KINDS.items() for c, k in cs), *(_policy(c, k, DATED) for c, k in DATED_KINDS)]))
 def value_policies(spark: SparkSession, d: str) -> DataFrame:
-    return publish.policies(mapping.table(spark, d, "customer")).unionByName(publish.policies(mapping.table(spark, d, "part")))
+    key, when = F.col("o_orderkey"), F.col("o_orderdate")
+    digits = F.date_format(when, "yyyyMMdd")
+    dated = mapping.table(spark, d, "orders").select(
+        when.alias("moment"), F.date_format(when, "yyyy-MM-dd").alias("day"), F.when(key % 10 == 0, "May").otherwise(digits).alias("mixed"), digits.cast("long").alias("digits"), F.col("o_orderstatus").alias("state"), F.when(key < 5, "few").alias("rare"), F.when(key < 0, 1).alias("nothing"),
+    )
+    return publish.policies(mapping.table(spark, d, "customer")).unionByName(publish.policies(mapping.table(spark, d, "part"))).unionByName(publish.policies(dated))
 
 
 def _bucket(c: str) -> str:
@@ -96,12 +108,15 @@ def month_forms(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("form", "month").agg(F.count("*").alias("n"))
 
 
-@query("SELECT a, b, k AS is_key FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(DISTINCT ({a}, {b})) = count(*) AS k FROM part" for a, b in combinations(("p_partkey", "p_name", "p_retailprice"), 2)) + ")")
+KEY_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS n FROM part" for c in KEY_COLUMNS) + "), top AS (SELECT c, row_number() OVER (ORDER BY n DESC, c) AS r FROM c ORDER BY r LIMIT 4), p AS ("
+       + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(DISTINCT ({a}, {b})) = count(*) AS k FROM part" for a, b in combinations(KEY_COLUMNS, 2)) + ") SELECT l.c AS a, r.c AS b, k AS is_key FROM top l JOIN top r ON l.r < r.r JOIN p ON (x = l.c AND y = r.c) OR (x = r.c AND y = l.c)")
 def key_search(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of the three most varied columns of a table."""
+    """Pairs of the four most varied columns of a table."""
     part = mapping.table(spark, d, "part")
-    names = [c for c in ("p_partkey", "p_name", "p_retailprice") if c in profile.most_varied(part, 3)]
-    return profile.composite_keys(part, names)
+    return profile.composite_keys(part, profile.most_varied(part, 4))
 
 
 @query("""WITH k AS (SELECT unnest(json_keys(props)) AS key, props FROM events), v AS (SELECT key, json_extract(props, '$."' || key || '"') AS v FROM k),
