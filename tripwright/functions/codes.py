@@ -43,6 +43,11 @@ def parse_count(c: Column) -> Column:
     return F.when(text.rlike("^[+]?[0-9]+$"), text.try_cast("long")).otherwise(whole)
 
 
+def parse_coordinate(c: Column) -> Column:
+    """A number that may stand in quotation marks; anything else is null."""
+    return F.btrim(F.btrim(c), F.lit('"')).try_cast("double")
+
+
 def _lookup(values: dict[str, str], c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), c)
 

@@ -35,6 +35,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()))
 
 
+@F.pandas_udf(StringType())
+def compact(texts: pd.Series) -> pd.Series:
+    """NFKC without white space, case-folded: a key for codes and names; a missing text is empty."""
+    return texts.map(lambda x: "".join(unicodedata.normalize("NFKC", x or "").split()).casefold())
+
+
 def squeeze(c: Column | str) -> Column:
     """Lower case without white space: a key for names that are in NFKC."""
     return F.regexp_replace(F.lower(c), r"\s+", "")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwright.operators import schemas
+from tripwright.functions import text
+from tripwright.operators import checks, schemas
 from tripwright.plans.registry import query
 from tripwright.sources import mapping
 
@@ -59,3 +60,38 @@ def alias_pairs(spark: SparkSession, d: str) -> DataFrame:
     number = F.regexp_extract("alias", "_0*([0-9]+)", 1)
     files = found.where((F.col("role") != "slow") | (number.cast("long") % 2 == 0)).select("role", F.concat(F.lit("raw/"), F.reverse(number), F.lit(".csv")).alias("path"))
     return schemas.paired(found, files)
+
+
+# Code books, settings and keys of texts
+
+
+@query("""WITH book AS (SELECT trim(code) AS code, trim(label) AS label FROM (SELECT n_nationkey::VARCHAR || ' ' AS code, n_name AS label FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT n_nationkey::VARCHAR, 'x' || n_name FROM nation WHERE n_nationkey % 10 = 0 UNION ALL SELECT ' ', 'none' UNION ALL SELECT '99', 'nowhere')),
+  wanted AS (SELECT DISTINCT n_nationkey::VARCHAR AS code, CASE WHEN n_nationkey % 7 = 0 THEN lower(n_name) ELSE n_name END AS label FROM nation JOIN supplier ON s_nationkey = n_nationkey),
+  cohorts AS (SELECT DISTINCT CASE WHEN c_acctbal < 0 THEN 'poor' ELSE 'rich' END AS cohort, c_nationkey::VARCHAR AS code FROM customer WHERE c_nationkey % 6 = 0 AND c_acctbal < 9000 OR c_acctbal > 9990),
+  o AS (SELECT code, list(DISTINCT label) AS labels FROM book WHERE code <> '' GROUP BY code), g AS (SELECT code, count(DISTINCT cohort) AS n FROM cohorts GROUP BY code),
+  b AS (SELECT coalesce(o.code, w.code) AS code, labels, w.label AS wanted, g.n FROM o FULL JOIN wanted w ON o.code = w.code LEFT JOIN g ON g.code = coalesce(o.code, w.code))
+  SELECT 'missing' AS problem, code FROM b WHERE labels IS NULL UNION ALL SELECT 'unexpected', code FROM b WHERE wanted IS NULL UNION ALL SELECT 'label_mismatch', code FROM b WHERE labels IS NOT NULL AND wanted IS NOT NULL AND labels <> [wanted]
+  UNION ALL SELECT 'conflicting_label', code FROM b WHERE len(labels) > 1 UNION ALL SELECT 'outside_cohorts', code FROM b WHERE labels IS NOT NULL AND n IS NULL UNION ALL SELECT 'cohort_overlap', code FROM g WHERE n > 1""")
+def book_problems(spark: SparkSession, d: str) -> DataFrame:
+    """A book of nations, without one and with some entered twice, against the suppliers' nations and cohorts of customers."""
+    n, key = mapping.table(spark, d, "nation"), F.col("n_nationkey")
+    book = n.where(key != 3).select(F.concat(key.cast("string"), F.lit(" ")).alias("code"), F.col("n_name").alias("label"))
+    book = book.unionByName(n.where(key % 10 == 0).select(key.cast("string").alias("code"), F.concat(F.lit("x"), "n_name").alias("label"))).unionByName(spark.createDataFrame([(" ", "none"), ("99", "nowhere")], "code string, label string"))
+    wanted = n.join(mapping.table(spark, d, "supplier"), F.col("s_nationkey") == key).select(key.cast("string").alias("code"), F.when(key % 7 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("label")).distinct()
+    c, money = mapping.table(spark, d, "customer"), F.col("c_acctbal")
+    cohorts = c.where(((F.col("c_nationkey") % 6 == 0) & (money < 9000)) | (money > 9990)).select(F.when(money < 0, "poor").otherwise("rich").alias("cohort"), F.col("c_nationkey").cast("string").alias("code"))
+    return checks.book_problems(book, wanted, cohorts)
+
+
+@query("""SELECT doc_id, length(k) AS letters, sha256(k) AS key_sha256 FROM (SELECT doc_id, regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', '', 'g') AS k FROM documents)""")
+def compact_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = mapping.table(spark, d, "documents").select("doc_id", text.compact(F.col("text")).alias("k"))
+    return key.select("doc_id", F.length("k").cast("long").alias("letters"), F.sha2("k", 256).alias("key_sha256"))
+
+
+@query("""SELECT p_partkey, coalesce(p_type, '__MISSING__') AS p_type, CASE WHEN p_partkey % 9 > 0 THEN p_brand ELSE '__MISSING__' END AS p_brand, round(ln(1 + p_size::DOUBLE), 9) AS p_size FROM part""")
+def prepared_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of a run's feature groups as a model takes them: two of three categories, and a count in logarithms."""
+    config = checks.RunConfig(("category", "size"), depth=2, popularity="log1p", known={"category": ("p_type", "p_brand", "p_name"), "size": ("p_size",), "price": ("p_retailprice",)})
+    frame = mapping.table(spark, d, "part").withColumn("p_brand", F.when(F.col("p_partkey") % 9 > 0, F.col("p_brand")))
+    return config.prepared(frame, {"p_type": "category", "p_brand": "category", "p_size": "count"}, deep="category", keys=("p_partkey",)).withColumn("p_size", F.round("p_size", 9))

@@ -139,8 +139,16 @@ def policy(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     return spark.createDataFrame(codes, "region string, code string"), hashlib.sha256(json.dumps(regions, sort_keys=True).encode()).hexdigest()
 
 
-def profiles(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """The profile documents of the named regions, each with its ``region``; a document of another label is an error."""
+def profiles(spark: SparkSession, paths: dict[str, str], expected: Iterable[str] | None = None) -> DataFrame:
+    """The profile documents of the named regions, each with its ``region``; a document of another label is an error.
+
+    With ``expected``, the regions must be exactly these, and each document must lie in a folder of its region's name.
+    """
+    if expected is not None:
+        if set(paths) != set(expected):
+            raise ValueError("not exactly the expected regions")
+        if odd := sorted(r for r, p in paths.items() if posixpath.basename(posixpath.dirname(p)) != r):
+            raise ValueError(f"folders of another name: {odd}")
     out = None
     for region, path in sorted(paths.items()):
         frame = json_view(spark, path)
