@@ -20,9 +20,13 @@ CTX = f"""{M}, ctx AS (SELECT row_number() OVER (ORDER BY area, poi, v.kind, v.f
 FIELDS = ["segment", "priority", "month", "kind", "joint"]
 
 
-def _stats(spark: SparkSession, d: str) -> DataFrame:
+def _rows(spark: SparkSession, d: str) -> DataFrame:
     rows = _context(spark, d).withColumn("y", codes.in_domain(F.col("feedback"), codes.FEEDBACK)).withColumn("kind", codes.in_domain(F.col("kind"), codes.VISIT_KIND))
-    return ablation.patterns(association.with_joint(rows, "segment", "kind", "joint"), FIELDS, "y", F.col("split") == "VL")
+    return association.with_joint(rows, "segment", "kind", "joint")
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    return ablation.patterns(_rows(spark, d), FIELDS, "y", F.col("split") == "VL")
 
 
 def _paired(spark: SparkSession, d: str, sets: dict[str, list[str]], pairs: list[tuple[str, str, str]]) -> DataFrame:
@@ -71,8 +75,7 @@ AUDITED = ["segment", "priority", "month", "kind", "y"]
   SELECT split, field, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (v IS NOT NULL), 0) AS BIGINT) AS present, count(v) AS cardinality, count_if(v IS NOT NULL AND n < 10) AS below, count_if(v IS NOT NULL AND n >= 10) AS at_least,
   round(max(n) FILTER (v IS NOT NULL) / sum(n) FILTER (v IS NOT NULL), 6) AS largest_share FROM c GROUP BY ALL""")
 def availability_audit(spark: SparkSession, d: str) -> DataFrame:
-    train, test = _rows(spark, d)
-    return association.availability(train.union(test), AUDITED, ["split"])
+    return association.availability(_rows(spark, d), AUDITED, ["split"])
 
 
 ODD_CODES = ["1", "9", "7,8", "7;x", "7, 8", "3|", " 4", "11", "12", "77", "abc", "5/6", "1;9"]
