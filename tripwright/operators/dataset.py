@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwright.functions import bands
+from tripwright.functions.codes import TOURISM_CORE, VISIT_KIND, in_domain
 from tripwright.functions.keys import surrogate_key
 from tripwright.functions.temporal import trip_time
+from tripwright.functions.text import clean
 from tripwright.operators.contract import single_owner
 
 #: Names of the two splits in the output.
@@ -143,3 +145,71 @@ def structure(trips: DataFrame, events: DataFrame) -> DataFrame:
         F.count("*").alias("trips"), F.count_if(F.col("e") > F.col("p")).alias("with_repeats"), F.round(F.try_divide(F.sum(F.col("e") - F.col("p")), F.sum("e")), 6).alias("repeat_share"),
         F.round(F.avg("p"), 6).alias("mean_places"), F.max("p").alias("most_places"),
     )
+
+
+#: The parts of a trip's context, in the order in which they are reported.
+CONTEXT = ("style", "motive", "destination", "companion", "temporal")
+
+
+def _long(wide: DataFrame, keys: list[str]) -> DataFrame:
+    names = [c for c in wide.columns if c not in keys]
+    return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("n")) for c in names])))
+
+
+def whole_funnel(trips: DataFrame, visits: DataFrame, masters: DataFrame, feedback: tuple[str, ...]) -> DataFrame:
+    """region, split, metric, n of the whole way from trips to positives; ``all`` stands for all regions and for both splits together.
+
+    ``trips(region, split, trip, traveler, style, motive, destination, companion, temporal, inverted, relations)``
+    say which parts of a trip's context are complete; ``visits(region, split, trip,
+    area, poi, kind, sgg, sgg_known, *feedback)`` whether a district code is in the crosswalk and each answer valid;
+    ``masters(region, poi, sgg_known, rich)`` have a row for each row of a region's master.
+    A metric that does not occur is 0.
+    """
+    keys = ["region", "split"]
+    once = F.col("rows") == 1
+    per = trips.groupBy(*keys, "trip").agg(F.count("*").alias("rows"), F.count_distinct("traveler").alias("owners"), *[F.coalesce(F.bool_and(c), F.lit(False)).alias(c) for c in (*CONTEXT, "inverted", "relations")])
+    whole = F.lit(True)
+    for c in CONTEXT:
+        whole = whole & F.col(c)
+    per = per.withColumn("owned", once & (F.col("owners") == 1)).withColumn("whole", F.col("owned") & whole)
+    owned = lambda c: F.count_if(F.col("owned") & F.col(c))
+    trip_side = per.groupBy(*keys).agg(
+        F.count_if(once).alias("trips_total"), F.count_if("owned").alias("trips_valid_owner"), F.count_if("whole").alias("trips_primary_context_complete"), *[owned(c).alias(f"trips_{c}_complete") for c in CONTEXT],
+        owned("inverted").alias("trips_inverted_dates"), owned("relations").alias("trips_companion_relation_recorded"),
+    )
+
+    state = per.select(*keys, "trip", "rows", "owned", "whole")
+    kind = in_domain(F.col("kind"), VISIT_KIND)
+    rows = visits.join(state, [*keys, "trip"], "left").withColumn("core", F.coalesce(kind.isin(*TOURISM_CORE), F.lit(False))).withColumn("poi", clean(F.col("poi")))
+    unmapped = F.coalesce(F.col("rows"), F.lit(0)) != 1
+    rows = rows.withColumn("event", ~unmapped & F.coalesce(F.col("owned"), F.lit(False)) & clean(F.col("area")).isNotNull())
+    event, core, place = F.col("event"), F.col("core"), F.col("poi").isNotNull()
+    valid = {f: F.coalesce(F.col(f), F.lit(False)) for f in feedback}
+    every = F.lit(True)
+    for v in valid.values():
+        every = every & v
+    sgg = clean(F.col("sgg")).isNotNull()
+    visit_side = rows.groupBy(*keys).agg(
+        F.count("*").alias("visit_rows_total"), F.count_if(event).alias("visit_events_valid"), F.count_if(event & ~place).alias("visit_rows_missing_poi_id"), F.count_if(unmapped).alias("visit_rows_unmapped_trip"), F.count_if(~unmapped & ~F.coalesce(F.col("owned"), F.lit(False))).alias("visit_rows_ambiguous_traveler"),
+        F.count_if(event & core).alias("visit_events_tourism_core"), F.count_if(event & ~core).alias("visit_events_non_tourism"), F.count_if(event & core & place).alias("visit_events_with_poi_tourism_core"), F.count_if(event & ~core & place).alias("visit_events_with_poi_non_tourism"),
+        F.count_if(event & sgg).alias("visit_events_sgg_nonblank"), F.count_if(event & sgg & F.coalesce(F.col("sgg_known"), F.lit(False))).alias("visit_events_sgg_crosswalk_valid"),
+        *[F.count_if(event & v).alias(f"visit_events_{f}_valid") for f, v in valid.items()], F.count_if(event & every).alias("visit_events_all_feedback_valid"),
+    )
+
+    master = masters.groupBy("region", "poi").agg(F.count("*").alias("m"), F.bool_or("sgg_known").alias("m_known"), F.bool_and("rich").alias("m_rich"))
+    pairs = rows.where(event & place).groupBy(*keys, "trip", "poi").agg(F.count("*").alias("k"), F.bool_or("core").alias("core"), F.first("whole").alias("whole"), F.bool_or(F.coalesce(F.col("sgg_known"), F.lit(False)) & sgg).alias("known"))
+    pairs = pairs.join(master, ["region", "poi"], "left")
+    joined = F.coalesce(F.col("m"), F.lit(0)) == 1
+    kinds = {"primary_context_complete": F.col("whole"), "sgg_crosswalk_valid": F.col("known") | (joined & F.coalesce(F.col("m_known"), F.lit(False))), "master_unique_join": joined, "master_rich_complete": joined & F.coalesce(F.col("m_rich"), F.lit(False))}
+    pair_side = pairs.groupBy(*keys).agg(
+        F.count("*").alias("trip_poi_positives_all"), F.count_if("core").alias("trip_poi_positives_tourism_core"), F.count_if(~F.col("core")).alias("trip_poi_positives_non_tourism_only"), F.count_if(F.col("k") > 1).alias("trip_poi_within_trip_repeat_pairs"), F.sum(F.col("k") - 1).alias("trip_poi_within_trip_repeat_extra_events"),
+        *[F.count_if(t & c).alias(f"trip_poi_{n}_{name}") for n, t in kinds.items() for name, c in (("all", F.lit(True)), ("tourism_core", F.col("core")))],
+        F.count_distinct("trip").alias("trips_with_any_poi_visit"), F.count_distinct(F.when(F.col("core"), F.col("trip"))).alias("trips_with_tourism_core_visit"), F.count_distinct("poi").alias("distinct_pois_all"), F.count_distinct(F.when(F.col("core"), F.col("poi"))).alias("distinct_pois_tourism_core"),
+    )
+    out = None
+    cells = trip_side.select(*keys).union(visit_side.select(*keys)).distinct()
+    for side in (trip_side, visit_side, pair_side):
+        filled = _long(cells.join(side, keys, "left").fillna(0), keys)
+        out = filled if out is None else out.unionByName(filled)
+    sums = F.explode(F.array(F.struct("region", "split"), F.struct(F.lit("all").alias("region"), "split"), F.struct(F.lit("all").alias("region"), F.lit("all").alias("split")))).alias("c")
+    return out.select(sums, "metric", "n").groupBy("c.region", "c.split", "metric").agg(F.sum("n").alias("n"))

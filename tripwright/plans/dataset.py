@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwright.operators import dataset
-from tripwright.plans.queries import PAIRS, M, _events, _pairs
+from tripwright.plans.queries import CORE, PAIRS, M, _events, _pairs
 from tripwright.plans.registry import query
 from tripwright.sources import mapping
 
@@ -92,3 +92,41 @@ def structural_diagnostics(spark: SparkSession, d: str) -> DataFrame:
   SELECT region, metric, bucket, count(*) AS trips FROM c WHERE bucket IS NOT NULL GROUP BY ALL""")
 def choice_histograms(spark: SparkSession, d: str) -> DataFrame:
     return dataset.choice_histograms(mapping.trips(spark, d), _events(spark, d))
+
+
+def _funnel_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trips, visits and masters with gaps by rule: trips on two rows, visits of unknown trips, codes and answers outside their domains."""
+    t, key = mapping.trips(spark, d), F.col("trip").cast("long")
+    trips = t.select("region", "split", "trip", "traveler", (F.col("segment") != "BUILDING").alias("style"), (F.col("priority") != "5-LOW").alias("motive"), (F.col("status") != "P").alias("destination"), (key % 5 > 0).alias("companion"), (key % 11 > 0).alias("temporal"), (key % 11 == 0).alias("inverted"), (key % 3 == 0).alias("relations"))
+    twice = trips.where(key % 41 == 0).withColumn("traveler", F.when(key % 82 == 0, F.col("traveler")).otherwise("other"))
+    v = mapping.visits(spark, d).join(t.select("region", "split", "trip"), "trip")
+    visits = v.select(
+        "region", "split", F.when(key % 97 == 0, F.concat(F.lit("x"), "trip")).otherwise(F.col("trip")).alias("trip"), F.when(F.col("kind") != "9", F.col("area")).alias("area"), "poi", "kind", F.when(F.col("feedback") != "4", F.concat("kind", F.lit("0"))).alias("sgg"),
+        (F.col("kind").cast("int") < 15).alias("sgg_known"), F.col("feedback").isin("1", "2", "3", "4", "5").alias("a"), (F.col("feedback") != "1").alias("b"), F.when(F.col("feedback") != "2", True).alias("c"),
+    )
+    p = F.col("p_partkey")
+    masters = mapping.table(spark, d, "part").withColumn("r_regionkey", p % 5).join(mapping.table(spark, d, "region"), "r_regionkey")
+    masters = masters.withColumn("_copy", F.explode(F.when(p % 29 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select(F.col("r_name").alias("region"), p.cast("string").alias("poi"), (F.col("p_size") > 25).alias("sgg_known"), (p % 9 > 0).alias("rich"))
+    return trips.unionByName(twice), visits, masters
+
+
+FUNNEL_PAIRS = ["primary_context_complete", "sgg_crosswalk_valid", "master_unique_join", "master_rich_complete"]
+
+
+@query(f"""{M}, tt AS (SELECT region, split, trip, trip::BIGINT AS k, traveler, segment <> 'BUILDING' AS style, priority <> '5-LOW' AS motive, status <> 'P' AS destination FROM trips),
+  per AS (SELECT *, k % 5 > 0 AS companion, k % 11 > 0 AS temporal, k % 11 = 0 AS inverted, k % 3 = 0 AS relations, k % 41 <> 0 AS once FROM tt), pw AS (SELECT *, once AND style AND motive AND destination AND companion AND temporal AS whole FROM per),
+  vs AS (SELECT t.region, t.split, CASE WHEN t.k % 97 = 0 THEN NULL ELSE t.trip END AS trip, v.kind <> '9' AS area, nullif(v.poi, '') AS poi, v.kind IN {CORE} AS core, v.feedback <> '4' AS sgg, v.kind::INT < 15 AS known, v.feedback <> '6' AS a, v.feedback <> '1' AS b, v.feedback <> '2' AS c FROM visits v JOIN pw t ON v.trip = t.trip),
+  rw AS (SELECT vs.*, p.whole, coalesce(p.once, false) AS mapped, coalesce(p.once, false) AND area AS event FROM vs LEFT JOIN pw p ON p.trip = vs.trip),
+  ms AS (SELECT r_name AS region, CAST(p_partkey AS VARCHAR) AS poi, p_size > 25 AS m_known, p_partkey % 9 > 0 AS m_rich FROM part JOIN region ON p_partkey % 5 = r_regionkey WHERE p_partkey % 29 <> 0),
+  pr AS (SELECT region, split, trip, poi, count(*) AS k, bool_or(core) AS core, any_value(whole) AS primary_context_complete, bool_or(known AND sgg) AS known FROM rw WHERE event AND poi IS NOT NULL GROUP BY ALL),
+  pj AS (SELECT pr.*, m.poi IS NOT NULL AS master_unique_join, known OR coalesce(m_known, false) AS sgg_crosswalk_valid, coalesce(m_rich, false) AS master_rich_complete FROM pr LEFT JOIN ms m ON m.region = pr.region AND m.poi = pr.poi),
+  a AS (SELECT region, split, count_if(once) AS trips_total, count_if(once) AS trips_valid_owner, count_if(whole) AS trips_primary_context_complete, {", ".join(f"count_if(once AND {c}) AS trips_{c}_complete" for c in dataset.CONTEXT)}, count_if(once AND inverted) AS trips_inverted_dates, count_if(once AND relations) AS trips_companion_relation_recorded FROM pw GROUP BY ALL),
+  b AS (SELECT region, split, count(*) AS visit_rows_total, count_if(event) AS visit_events_valid, count_if(event AND poi IS NULL) AS visit_rows_missing_poi_id, count_if(NOT mapped) AS visit_rows_unmapped_trip, 0::BIGINT AS visit_rows_ambiguous_traveler, count_if(event AND core) AS visit_events_tourism_core, count_if(event AND NOT core) AS visit_events_non_tourism,
+    count_if(event AND core AND poi IS NOT NULL) AS visit_events_with_poi_tourism_core, count_if(event AND NOT core AND poi IS NOT NULL) AS visit_events_with_poi_non_tourism, count_if(event AND sgg) AS visit_events_sgg_nonblank, count_if(event AND sgg AND known) AS visit_events_sgg_crosswalk_valid, count_if(event AND a) AS visit_events_a_valid,
+    count_if(event AND b) AS visit_events_b_valid, count_if(event AND c) AS visit_events_c_valid, count_if(event AND a AND b AND c) AS visit_events_all_feedback_valid FROM rw GROUP BY ALL),
+  c AS (SELECT region, split, count(*) AS trip_poi_positives_all, count_if(core) AS trip_poi_positives_tourism_core, count_if(NOT core) AS trip_poi_positives_non_tourism_only, count_if(k > 1) AS trip_poi_within_trip_repeat_pairs, CAST(sum(k - 1) AS BIGINT) AS trip_poi_within_trip_repeat_extra_events,
+    {", ".join(f"count_if({n}) AS trip_poi_{n}_all, count_if({n} AND core) AS trip_poi_{n}_tourism_core" for n in FUNNEL_PAIRS)}, count(DISTINCT trip) AS trips_with_any_poi_visit, count(DISTINCT CASE WHEN core THEN trip END) AS trips_with_tourism_core_visit, count(DISTINCT poi) AS distinct_pois_all, count(DISTINCT CASE WHEN core THEN poi END) AS distinct_pois_tourism_core FROM pj GROUP BY ALL),
+  l AS (SELECT region, split, metric, n FROM (UNPIVOT a ON COLUMNS(* EXCLUDE (region, split)) INTO NAME metric VALUE n) UNION ALL SELECT region, split, metric, n FROM (UNPIVOT b ON COLUMNS(* EXCLUDE (region, split)) INTO NAME metric VALUE n) UNION ALL SELECT region, split, metric, n FROM (UNPIVOT c ON COLUMNS(* EXCLUDE (region, split)) INTO NAME metric VALUE n))
+  SELECT region, split, metric, n FROM l UNION ALL SELECT 'all', split, metric, CAST(sum(n) AS BIGINT) FROM l GROUP BY split, metric UNION ALL SELECT 'all', 'all', metric, CAST(sum(n) AS BIGINT) FROM l GROUP BY metric""")
+def whole_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.whole_funnel(*_funnel_tables(spark, d), ("a", "b", "c"))
