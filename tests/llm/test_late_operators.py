@@ -240,3 +240,19 @@ def test_languages_beyond_the_commonest_are_not_learned(spark):
     rows += [(1000 + k, f"noise {k}", f"lang{k}", "s", 0, "s", "b", "f", "l") for k in range(50)]
     model = langid.train(spark.createDataFrame(rows, DOCS), most_languages=2)
     assert model.languages == ["one", "two"]
+
+
+def test_levels_end_on_any_number_of_partitions(spark, monkeypatch):
+    """More partitions than chunks must not keep a level from shrinking."""
+    from tripwright.llm import sharding
+
+    monkeypatch.setattr(sharding, "CHUNK", 256)
+    monkeypatch.setattr(sharding, "LAST", 512)
+    kind = type(spark.range(1))
+    many = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *cols: many(self, max(64, n), *cols) if cols else many(self, n))
+    rows = [(k, "x" * (1 + k * k % 997)) for k in range(3000)]
+    got = sharding.shard(frame(spark, rows), 8).collect()
+    totals = [sum(r["size"] for r in got if r.shard == s) for s in range(8)]
+    assert sorted(r.doc_id for r in got) == list(range(3000)) and max(totals) - min(totals) <= 8
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
