@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tripwright.functions.geo import haversine
+from tripwright.operators.tables import written
 
 
 def evidence(source: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -52,15 +53,38 @@ def match(source: DataFrame, pairs: DataFrame, close: float = 200.0, far: float
     return out.select("source_id", status.alias("status"), "stage", "content_id")
 
 
+#: Titles of a catalogue that one bigram may have without being hot.
+HOT = 2048
+
+
 def bigram_candidates(source: DataFrame, catalog: DataFrame, top: int) -> DataFrame:
     """source_id, content_id, shared, rank by the number of shared name bigrams.
 
     ``source(source_id, grams)`` and ``catalog(content_id, grams)``; ties to the smaller content_id.
+
+    Titles meet by the bigrams that at most HOT titles of the catalogue have, and are
+    then counted whole.  A title that shares hot bigrams only can share no more than a source has
+    of these, so only the sources whose last candidate shares no more than that meet the catalogue by hot bigrams too.
     """
-    a, b = source.select("source_id", F.explode("grams").alias("g")), catalog.select("content_id", F.explode("grams").alias("g"))
-    shared = a.join(b, "g").groupBy("source_id", "content_id").agg(F.count("*").alias("shared"))
     order = Window.partitionBy("source_id").orderBy(F.desc("shared"), "content_id")
-    return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    a, b = source.select("source_id", F.explode("grams").alias("g")), catalog.select("content_id", F.explode("grams").alias("g"))
+    hot = b.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("g")
+    count = lambda x, y: x.join(y, "g").groupBy("source_id", "content_id").agg(F.count("*").alias("shared"))
+    if hot.isEmpty():
+        return best(count(a, b))
+    hot = written(hot)
+    hot_a, hot_b = (written(x.join(hot, "g")) for x in (a, b))
+    sets = lambda x, key: x.groupBy(key).agg(F.collect_set("g").alias(f"{key}_hot"))
+    met = count(a.join(hot, "g", "left_anti"), b.join(hot, "g", "left_anti"))
+    met = met.join(sets(hot_a, "source_id"), "source_id", "left").join(sets(hot_b, "content_id"), "content_id", "left")
+    both = F.coalesce(F.size(F.array_intersect("source_id_hot", "content_id_hot")), F.lit(0))
+    first = written(best(met.select("source_id", "content_id", (F.col("shared") + F.greatest(both, F.lit(0))).alias("shared"))).drop("rank"))
+    reach = hot_a.groupBy("source_id").agg(F.count("*").alias("most"))
+    last = first.groupBy("source_id").agg(F.count("*").alias("many"), F.min("shared").alias("least"))
+    open_ = reach.join(last, "source_id", "left").where(F.col("many").isNull() | (F.col("many") < top) | (F.col("least") <= F.col("most"))).select("source_id")
+    rest = count(hot_a.join(open_, "source_id"), hot_b)
+    return best(first.unionByName(rest).groupBy("source_id", "content_id").agg(F.max("shared").alias("shared")))
 
 
 @F.pandas_udf(DoubleType())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwright.functions.bands import K, count_bucket, length_band
-from tripwright.operators.profile import NUMBERS, TEXT_DATE, columns
+from tripwright.operators.profile import TEXT_DATE, columns
 
 # The words of column names that stand for coordinates, identifiers and texts, and parts of names that do.
 COORDINATE = ["lat", "latitude", "lon", "lng", "long", "longitude", "x", "y", "mapx", "mapy", "coord", "coords", "coordinate", "coordinates", "gps", "geom", "geometry", "wkt"]
