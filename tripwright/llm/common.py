@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -50,14 +51,20 @@ def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
 T = TypeVar("T")
 
 
-def released(batches: Iterator[T]) -> Iterator[T]:
-    """The batches of a task; after the last, what its Python worker no longer uses goes back to the system, since workers outlive tasks."""
-    yield from batches
+def give_back() -> None:
+    """Return what this Python process no longer uses to the system."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(batches: Iterator[T]) -> Iterator[T]:
+    """The batches of a task; after the last, memory is given back, since workers outlive tasks."""
+    yield from batches
+    give_back()
+
+
 def _path(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tripwright-{uuid.uuid4().hex}"
 

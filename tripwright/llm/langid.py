@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import released, small_batches
+from tripwright.llm.common import give_back, released, small_batches
 
 BINS, SLICE = 2048, 256
 
@@ -118,17 +118,20 @@ def train(docs: DataFrame, sample: int = 3000, most_languages: int = 200) -> Mod
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in released(frames):
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "x": [features(x) for x in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "x": [features(x).tobytes() for x in frame["text"]]})
 
-    seen = picked.select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, x array<float>")
+    seen = picked.select("doc_id", "lang", "text").mapInPandas(vectors, "doc_id long, lang string, x binary")
     got = seen.groupBy("doc_id", "lang").agg(F.first("x").alias("x")).toPandas().sort_values(["doc_id", "lang"])
     languages = sorted(got["lang"].unique().tolist())
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((BINS + 1, 0)))
     table, place = code(len(languages)), got["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
     share = np.bincount(place, minlength=len(languages))
-    x = np.stack(got.pop("x").to_numpy())  # stays in single precision: what the driver holds is sample x BINS x 4 bytes
-    return Model(languages, table, fit_linear(x, table[place], 1.0 / share[place]))
+    x = np.frombuffer(b"".join(got.pop("x")), np.float32).reshape(len(got), BINS)  # stays in single precision: what the driver holds is sample x BINS x 4 bytes
+    model = Model(languages, table, fit_linear(x, table[place], 1.0 / share[place]))
+    del x, got
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import gapless_index, hash_buckets, materialize, small_batches
+from tripwright.llm.common import gapless_index, hash_buckets, materialize, released, small_batches
 
 
 @lru_cache(maxsize=2)
@@ -58,7 +58,7 @@ def tokenized(docs: DataFrame, vocabulary_path: str, limit: int, end: int, ids:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = _encoding(vocabulary_path)
-        for frame in frames:
+        for frame in released(frames):
             rows = []
             for doc, text in zip(frame["doc_id"].array, frame["text"].array):
                 tokens = np.append(encoding.encode_to_numpy(text, allowed_special="all").astype("<u4") if text else np.zeros(0, "<u4"), np.array([end], "<u4"))

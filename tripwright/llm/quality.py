@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import materialize, released, small_batches
+from tripwright.llm.common import give_back, materialize, released, small_batches
 from tripwright.llm.langid import fit_linear
 
 #: Classes of bytes: lower, upper, digit, space, newline, other letters' bytes, and the marks.
@@ -161,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, rounds: int
     drawn = {side: (y[held] == side).sum() for side in (1, -1)}
     share = np.array([total[side] / drawn[side] for side in y[held]])  # back to the shares of all labels
     exchanged: list[tuple[int, int]] = []
+    got = handed = None
     for _ in range(rounds):
         sure_of = [_calibrated(_logit(x[held], w), w, y[held], share) for x, w in zip(views, weights)]
         scored = _chances(features, sure_of).join(clean, "doc_id", "left_anti").groupBy("key").agg(F.max("p0").alias("p0"), F.max("p1").alias("p1"))
@@ -185,6 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, rounds: int
             weights[k] = _fit(rows[k], sides[k])
     z = np.stack([_logit(views[0][held], weights[0]), _logit(views[1][held], weights[1])], axis=1)
     joint = fit_linear(z, y[held][:, None].astype(float), share, 1e-3, 300)
+    del one, views, rows, got, handed
+    give_back()
     return Model((weights[0], weights[1]), joint, prior, tuple(exchanged))
 
 
