@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwright.llm.common import gapless_index, hash_buckets, join_by_key, materialize
+from tripwright.llm.common import forget, gapless_index, group_batches, hash_buckets, join_by_key, materialize
 
 CHUNK, BANDS, SUBSETS, SINGLES, LAST = 4096, 6, 12, 48, 4096
 
@@ -77,26 +77,18 @@ def even_out(sizes: np.ndarray, labels: np.ndarray, parts: int, turns: int = 64)
 
 
 def _chunk(singles: int):
-    """Items of a partition to the items of the next level, in chunks of CHUNK, about ``singles`` of which stay single."""
+    """Whole chunks of items to the items of the next level, about ``singles`` of which stay single."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        count = 0
-        for frame in frames:
-            for at in range(0, len(frame), CHUNK):
-                held.append(frame.iloc[at : at + CHUNK])
-                count += len(held[-1])
-                if count >= CHUNK:
-                    yield _merged(held, singles)
-                    held, count = [], 0
-        if count:
-            yield _merged(held, singles)
+        for _, groups in group_batches(frames, ["chunk"]):
+            for _, group in groups:
+                yield _merged(group, singles)
 
     return run
 
 
-def _merged(held: list[pd.DataFrame], singles: int) -> pd.DataFrame:
-    frame = pd.concat(held, ignore_index=True).sort_values(["size", "item"], ignore_index=True)
+def _merged(frame: pd.DataFrame, singles: int) -> pd.DataFrame:
+    frame = frame.sort_values(["size", "item"], ignore_index=True)
     single = np.arange(len(frame)) % max(2, len(frame) // singles) == 0
     first = frame["item"].iloc[0].hex()
     names = np.empty(len(frame), object)
@@ -118,10 +110,12 @@ def assign(groups: DataFrame, shards: int) -> DataFrame:
     """
     levels, now = [], groups
     while (n := now.count()) > LAST or not levels:
-        parts = max(1, -(-n // (4 * CHUNK)))
+        # Chunks are as many as the items ask for, on however many partitions they lie, so that every level is smaller than the one before.
+        chunks, parts = max(1, -(-n // CHUNK)), max(1, -(-n // (4 * CHUNK)))
         # The singles of all chunks are about LAST / 2 at least, however few chunks there are.
-        singles = max(SINGLES, LAST // 2 // max(1, -(-n // CHUNK)))
-        level = materialize(now.repartition(parts, "item").sortWithinPartitions("item").mapInPandas(_chunk(singles), "item binary, parent binary, size long"))
+        singles = max(SINGLES, LAST // 2 // chunks)
+        chunked = now.withColumn("chunk", F.pmod(F.xxhash64("item"), F.lit(chunks))).repartition(parts, "chunk").sortWithinPartitions("chunk", "item")
+        level = materialize(chunked.mapInPandas(_chunk(singles), "item binary, parent binary, size long"))
         levels.append(level)
         now = level.groupBy(F.col("parent").alias("item")).agg(F.sum("size").alias("size"))
     last = now.orderBy("item").toPandas()
@@ -145,5 +139,6 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     groups = materialize(rows.groupBy("item").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
     found = materialize(assign(groups.select("item", "size"), shards).join(groups.select("item", "n"), "item"))
     placed = materialize(join_by_key(rows, found, "item", "n").drop("item"))
+    forget(rows, groups, found)  # nothing reads them any more
     out = gapless_index(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], hash_buckets(placed, "doc_id", "text_crc32"), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
