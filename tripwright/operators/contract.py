@@ -93,3 +93,13 @@ def traveler_distribution(trips: DataFrame) -> DataFrame:
         F.count("*").alias("travelers"), F.round(F.avg("n"), 6).alias("mean_trips"), F.percentile("n", 0.5).alias("median_trips"), F.max("n").alias("max_trips"),
         F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"), F.count_if(F.col("n") >= 3).alias("three_or_more"),
     )
+
+
+def positive_districts(visits: DataFrame, trips: DataFrame) -> DataFrame:
+    """region, split, trip, poi, events, districts, core: the positives of ``visits(trip, poi, kind, sgg)`` with their distinct district codes in order.
+
+    Blank codes are none, and a positive without any has an empty list.
+    """
+    kind, sgg = in_domain(F.col("kind"), VISIT_KIND), clean(F.col("sgg"))
+    rows = visits.where(blank_to_null(F.col("poi")).isNotNull()).join(single_owner(trips), "trip")
+    return rows.groupBy("region", "split", "trip", "poi").agg(F.count("*").alias("events"), F.array_join(F.array_sort(F.collect_set(sgg)), "|").alias("districts"), F.coalesce(F.bool_or(kind.isin(*TOURISM_CORE)), F.lit(False)).alias("core"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwright.operators import dataset
+from tripwright.operators import contract, dataset
 from tripwright.plans.queries import CORE, PAIRS, M, _events, _pairs
 from tripwright.plans.registry import query
 from tripwright.sources import mapping
@@ -130,3 +130,13 @@ FUNNEL_PAIRS = ["primary_context_complete", "sgg_crosswalk_valid", "master_uniqu
   SELECT region, split, metric, n FROM l UNION ALL SELECT 'all', split, metric, CAST(sum(n) AS BIGINT) FROM l GROUP BY split, metric UNION ALL SELECT 'all', 'all', metric, CAST(sum(n) AS BIGINT) FROM l GROUP BY metric""")
 def whole_funnel(spark: SparkSession, d: str) -> DataFrame:
     return dataset.whole_funnel(*_funnel_tables(spark, d), ("a", "b", "c"))
+
+
+@query(f"""{M}, v AS (SELECT t.region, t.split, v.trip, v.poi, v.kind, CASE WHEN l.l_suppkey % 4 = 0 THEN ' ' ELSE CAST(l.l_suppkey % 30 AS VARCHAR) END AS sgg FROM visits v JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS trip, concat(l_orderkey, '-', l_linenumber) AS area, any_value(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL HAVING count(*) = 1) l ON l.trip = v.trip AND l.area = v.area JOIN trips t ON t.trip = v.trip WHERE v.poi <> '')
+  SELECT region, split, trip, poi, count(*) AS events, coalesce(string_agg(DISTINCT CASE WHEN sgg <> ' ' THEN sgg END, '|' ORDER BY CASE WHEN sgg <> ' ' THEN sgg END), '') AS districts, bool_or(kind IN {CORE}) AS core FROM v GROUP BY ALL""")
+def positive_districts(spark: SparkSession, d: str) -> DataFrame:
+    """Positives of the visits whose order line stands once, with the districts of their suppliers."""
+    line = mapping.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("trip"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("area")).agg(F.count("*").alias("n"), F.first("l_suppkey").alias("s")).where("n = 1")
+    sgg = F.when(F.col("s") % 4 == 0, " ").otherwise((F.col("s") % 30).cast("string"))
+    visits = mapping.visits(spark, d).join(line, ["trip", "area"]).select("trip", "poi", "kind", sgg.alias("sgg"))
+    return contract.positive_districts(visits, mapping.trips(spark, d))
