@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripwright.functions.text import label as clean_label
+
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -80,6 +82,11 @@ def numeric(frame: DataFrame, names: list[str]) -> DataFrame:
     return frame.select(cells).groupBy("column").agg(F.count_if(finite).alias("finite"), F.count_if(v < 0).alias("negative"), F.count_if(v == 0).alias("zero"))
 
 
+def value_counts(frame: DataFrame, name: str) -> DataFrame:
+    """label, n of a column's values as they may be shown: control characters as spaces, 60 characters at most, those that then agree counted together."""
+    return frame.where(F.col(name).isNotNull()).groupBy(clean_label(F.col(name).cast("string")).alias("label")).agg(F.count("*").alias("n"))
+
+
 def safe_counts(counts: DataFrame, least: int = 10, keep_small_total: bool = True) -> DataFrame:
     """label, n with cells under ``least`` merged, and shown ones with them until the merged sum is ``least``.
 

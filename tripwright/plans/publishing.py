@@ -242,3 +242,11 @@ def refreshed_profile(spark: SparkSession, d: str) -> DataFrame:
     """The same after its code book section has been counted anew."""
     counts = _profile(spark, d)
     return disclosure.published(disclosure.refreshed(disclosure.protected(counts), "codebook_check", counts))
+
+
+@query("""SELECT substr(regexp_replace(raw, '[\\x00-\\x1f\\x7f]', ' ', 'g'), 1, 60) AS label, count(*) AS n FROM (SELECT p_type || CASE p_partkey % 3 WHEN 0 THEN chr(9) WHEN 1 THEN chr(10) ELSE ' ' END || repeat(p_brand || '/', CASE WHEN p_size > 40 THEN 9 ELSE 1 END) || CASE WHEN p_size > 40 THEN p_name ELSE '' END AS raw FROM part) GROUP BY ALL""")
+def shown_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with control characters and of more than 60 characters, some of which then agree."""
+    turn, long = F.col("p_partkey") % 3, F.col("p_size") > 40
+    raw = F.concat("p_type", F.when(turn == 0, "\t").when(turn == 1, "\n").otherwise(" "), F.expr("repeat(concat(p_brand, '/'), CASE WHEN p_size > 40 THEN 9 ELSE 1 END)"), F.when(long, F.col("p_name")).otherwise(""))
+    return profile.value_counts(mapping.table(spark, d, "part").select(raw.alias("raw")), "raw")
