@@ -76,6 +76,19 @@ def sgg_compatible(code: Column, regn: Column, signgu: Column) -> Column:
     return F.when(F.length(code) >= 5, long_code).when(F.length(code) == 2, short_code).otherwise(F.lit(False))
 
 
+def catalogue_pair(code: Column, known: Column | None = None) -> Column:
+    """The catalogue's (province, district) of a source district code by its first five digits, null where it does not start with five.
+
+    ``known`` is what a loaded crosswalk says of the code, if it says anything; the renumbering answers otherwise.
+    """
+    text = clean(code)
+    five, one, two = F.left(text, F.lit(5)), F.left(text, F.lit(2)), F.substr(text, F.lit(3), F.lit(3))
+    pair = lambda regn, signgu: F.struct(regn.alias("regn"), signgu.alias("signgu"))
+    merged = _lookup(GWANGJU | JEONNAM, five)
+    whole = F.when(one == "36", pair(F.lit("36110"), F.lit("36110"))).when(merged.isNotNull(), pair(F.lit("12"), merged)).otherwise(pair(F.coalesce(_lookup(PROVINCES, one), one), two))
+    return F.when(five.rlike("^[0-9]{5}$"), whole if known is None else F.coalesce(known, whole))
+
+
 def anomaly(value: Column, allowed: Iterable[str], listed: Iterable[str] = (), special: Iterable[str] = (), elsewhere: Iterable[str] = ()) -> Column:
     """Why a code is outside its domain.
 
