@@ -4,7 +4,8 @@ Fingerprints at 3 or fewer differing bits agree on two of five blocks of bits, s
 they meet under one of ten keys.  Under a key they are compared 64 at a time: bit
 planes hold one bit of 64 fingerprints in each word, carry-save counters add the
 differing planes, and a block of 64 is abandoned once all its counters are past the
-radius.  The bits of the key are equal and not compared.
+radius.  The bits of the key are equal and not compared.  ``nearcopies`` compares with
+a wider radius what its bands bring together.
 """
 
 from __future__ import annotations
@@ -33,6 +34,20 @@ SMALL, STEP = 8, 8
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _over_half(total: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of hashes: the bits that over half of them have; zero for none."""
+    return _over_half(sum((_ones(hashes[at : at + (1 << 15)]) for at in range(0, len(hashes), 1 << 15)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of the text's word shingles, by majority of their XXH64."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
@@ -46,9 +61,8 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     digest, total, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(parts) - words + 1
     stops = (ends[words - 1 :] - 1).tolist()
     for at in range(0, n, 1 << 15):
-        h = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)])), "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
+        total += _ones(np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)])), "<u8"))
+    return _over_half(total, n)
 
 
 @F.pandas_udf(LongType())
@@ -66,23 +80,28 @@ def planes(values: np.ndarray) -> np.ndarray:
 
 
 class Counters:
-    """Carry-save counters of differing bits, 0 to 3 and ``over``, for blocks of 64 lanes; dead blocks leave the working set."""
+    """Carry-save counters of differing bits for blocks of 64 lanes, and ``over``: the lanes past the radius.
 
-    def __init__(self, over: np.ndarray):
+    They start at what makes the first bit past the radius overflow the highest
+    counter.  Dead blocks leave the working set.
+    """
+
+    def __init__(self, over: np.ndarray, radius: int):
+        width = radius.bit_length()
+        start = (1 << width) - 1 - radius
         self.over = over
-        self.ones, self.twos = np.zeros_like(over), np.zeros_like(over)
+        self.counts = [np.full_like(over, _ALL if start >> k & 1 else 0) for k in range(width)]
 
     def add(self, carry: np.ndarray) -> None:
-        self.ones, carry = self.ones ^ carry, self.ones & carry
-        self.twos, carry = self.twos ^ carry, self.twos & carry
+        for k, count in enumerate(self.counts):
+            self.counts[k], carry = count ^ carry, count & carry
         self.over = self.over | carry
 
-    def within(self, radius: int) -> np.ndarray:
-        past = (self.twos | self.ones, self.twos, self.twos & self.ones, np.uint64(0))[radius]
-        return ~(self.over | past)
+    def within(self) -> np.ndarray:
+        return ~self.over
 
     def keep(self, live: np.ndarray) -> None:
-        self.ones, self.twos, self.over = self.ones[live], self.twos[live], self.over[live]
+        self.over, self.counts = self.over[live], [c[live] for c in self.counts]
 
 
 def _lanes(blocks: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,16 +110,9 @@ def _lanes(blocks: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return blocks[at], lane
 
 
-def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, skip: int = 0, same: bool = False, work: Counter | None = None) -> np.ndarray:
-    """``[n, 2]`` places of the pairs of ``left`` and ``right`` that differ in at most ``radius`` <= 3 bits.
-
-    A block is one fingerprint of ``left`` against 64 of ``right``.  Every STEP bits
-    the blocks in which all lanes are past the radius are abandoned.  Bits set in ``skip`` are
-    known to be equal and passed over.  With ``same``, ``right`` is ``left``: a pair is
-    found once, smaller place first, and itself not at all.  ``work`` counts the
-    blocks, and those abandoned before their last bit.
-    """
-    table, out = planes(right), []
+def _compared(left: np.ndarray, right: np.ndarray, radius: int, skip: int, same: bool, work: Counter | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The blocks left at the last bit: place in ``left``, word of ``right``, lanes within the radius."""
+    table = planes(right)
     width, order = table.shape[1], [b for b in range(64) if not skip >> b & 1]
     empty = np.zeros(width, np.uint64)
     if len(right) % 64:
@@ -113,7 +125,7 @@ def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, skip: int =
         if same:  # lanes at or before the row's own place
             own = at + row - 64 * word
             over |= np.where(own >= 63, _ALL, np.where(own < 0, np.uint64(0), (np.uint64(2) << np.clip(own, 0, 62).astype(np.uint64)) - np.uint64(1)))
-        counters = Counters(over)
+        counters = Counters(over, radius)
         counted = len(over)
         for done, bit in enumerate(order):
             if done % STEP == 0:
@@ -128,18 +140,40 @@ def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, skip: int =
         if work is not None:
             work.update(blocks=counted, abandoned=counted - len(row))
         if len(row):
-            block, lane = _lanes(np.arange(len(row)), counters.within(radius))
-            out.append(np.stack([at + row[block], 64 * word[block] + lane], axis=1))
+            yield at + row, word, counters.within()
+
+
+def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, skip: int = 0, same: bool = False, work: Counter | None = None) -> np.ndarray:
+    """``[n, 2]`` places of the pairs of ``left`` and ``right`` that differ in at most ``radius`` bits.
+
+    A block is one fingerprint of ``left`` against 64 of ``right``.  Every STEP bits
+    the blocks in which all lanes are past the radius are abandoned.  Bits set in ``skip`` are
+    known to be equal and passed over.  With ``same``, ``right`` is ``left``: a pair is
+    found once, smaller place first, and itself not at all.  ``work`` counts the
+    blocks, and those abandoned before their last bit.
+    """
+    out = []
+    for row, word, lanes in _compared(left, right, radius, skip, same, work):
+        block, lane = _lanes(np.arange(len(row)), lanes)
+        out.append(np.stack([row[block], 64 * word[block] + lane], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def reach(values: np.ndarray, radius: int) -> np.ndarray:
+    """``[i, word]``: in bit ``lane`` whether ``values[i]`` and ``values[64 * word + lane]`` differ in at most ``radius`` bits; 64 pairs take 8 bytes."""
+    out = np.zeros((len(values), -(-len(values) // 64)), np.uint64)
+    for row, word, lanes in _compared(values, values, radius, 0, False, None):
+        out[row, word] = lanes
+    return out
+
+
 def near_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, work: Counter | None = None) -> np.ndarray:
     """The places at which the two arrays, as long as each other, differ in at most ``radius`` bits: 64 pairs a block."""
     table = planes(left ^ right)
     over = np.zeros(table.shape[1], np.uint64)
     if len(left) % 64:
         over[-1] = _ALL << np.uint64(len(left) % 64)
-    counters, word = Counters(over), np.arange(table.shape[1])
+    counters, word = Counters(over, radius), np.arange(table.shape[1])
     for bit in range(64):
         if bit % STEP == 0:
             live = np.flatnonzero(counters.over != _ALL)
@@ -148,7 +182,7 @@ def near_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, work:
         counters.add(table[bit][word])
     if work is not None:
         work.update(blocks=table.shape[1], abandoned=table.shape[1] - len(word))
-    block, lane = _lanes(np.arange(len(word)), counters.within(radius))
+    block, lane = _lanes(np.arange(len(word)), counters.within())
     return 64 * word[block] + lane
 
 
