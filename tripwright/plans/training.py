@@ -135,7 +135,7 @@ def catalogue_scoring(spark: SparkSession, d: str) -> DataFrame:
     sizes = mapping.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("poi"), F.col("p_size").alias("size"))
     items = e.join(sizes, "poi").select("region", "poi", "size", F.round(training.feature_value("w", "log_count"), 9).alias("popularity"))
     asked = mapping.trips(spark, d).where("split = 'VL'").select("region", F.col("trip").alias("query"), F.month("start_at").alias("month")).distinct()
-    return training.score_catalogue(asked, items, _linear, 10)
+    return training.score_catalogue(asked, items, _linear, 10, reads=["month"])
 
 
 # Integrity and reconciliation
